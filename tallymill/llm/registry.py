@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import op1_token_files, op9_bpe
+from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op9_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files.query,
+    "op2_quality": op2_quality.query,
+    "op3_topk": op3_topk.query,
+    "op4_toxicity": op4_toxicity.query,
     "op9_bpe": op9_bpe.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL}
