@@ -25,7 +25,7 @@ SAMPLE_PER_CLASS = 4000
 HASH_BITS, MOST_FEATURES, EVIDENCE, MIN_DOCS = 20, 768, 24.0, 3
 #: A feature is this many times as frequent in toxic texts as in others, at least.
 MIN_LIFT = 12
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 PENALTY, RIDGE, STEPS, RATE = 1.0, 1e-3, 300, 0.5
 #: Terms that name a group, in sets whose members stand for one another. Fixed values.
 IDENTITY_TERMS = (
@@ -122,20 +122,21 @@ class Model:
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias, self.memo = weights, bias, {}
 
-    def of_chunk(self, chunk: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in features(chunk))
+    def of_chunk(self, chunk: str) -> list[int]:
+        return [f for f in features(chunk) if f in self.weights]
 
     def score(self, text: str) -> float:
-        """0 to 1. Each different chunk of the text counts once."""
+        """0 to 1. Each feature counts once, as in training."""
         if len(self.memo) > 500_000:
             self.memo.clear()
-        total, memo = self.bias, self.memo
+        found, memo = set(), self.memo
         for chunk in set(text.split()):
-            value = memo.get(chunk)
-            if value is None:
-                value = memo[chunk] = self.of_chunk(chunk)
-            if value:
-                total += value
+            known = memo.get(chunk)
+            if known is None:
+                known = memo[chunk] = self.of_chunk(chunk)
+            if known:
+                found.update(known)
+        total = self.bias + sum(self.weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
