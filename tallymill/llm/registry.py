@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op9_bpe
+from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op9_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality.query,
     "op3_topk": op3_topk.query,
     "op4_toxicity": op4_toxicity.query,
+    "op5_mixing": op5_mixing.query,
+    "op6_chat": op6_chat.query,
     "op9_bpe": op9_bpe.query,
 }
 
-ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL}
+ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op6_chat": op6_chat.SQL}
