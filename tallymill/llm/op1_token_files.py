@@ -14,6 +14,7 @@ u64 end offset of its frame, then the frames.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -33,23 +34,55 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 2048
 
 _INDEX = np.dtype([("doc", "<i8"), ("has", "u1"), ("tokens", "<u4"), ("end", "<u8")])
 _encoders: dict[str, Memo] = {}
+#: A plain word: letters whose normal form and lower case are simple, then marks, which make a pre-token of their own.
+_plain = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)").fullmatch
+
+
+class _Words:
+    """Word -> its ids as little-endian u32, by the tokenizers library. No pre-token of the tokenizer holds white space and it keeps no context, so a text's ids are those of its words in order.
+
+    The two pre-tokens of a plain word go to the library's model at once; any other word passes its whole chain.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.known = self.tokenizer.model, {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        signs = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(0x21, 0x7F)}
+        signs |= {b: level.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1] for b in range(0x80, 0xC0)}
+        self.signs = str.maketrans({chr(b): c for b, c in signs.items()} | {"\xc3": level.pre_tokenize_str("\u00e0")[0][0][0]})
+
+    def chain(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def fill(self, words: list[str]) -> list[bytes]:
+        known, model, signs, out = self.known, self.model, self.signs, []
+        if len(known) > 250_000:
+            known.clear()
+        for word in words:
+            if not (plain := _plain(word)):
+                out.append(self.chain(word))
+                continue
+            letters, marks = plain.groups()
+            letters = letters.lower()
+            if (ids := known.get(letters)) is None:
+                mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(signs)
+                ids = known[letters] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+            if marks:
+                if marks not in known:
+                    known[marks] = self.chain(marks)
+                ids += known[marks]
+            out.append(ids)
+        return out
 
 
 def _encoder(path: str) -> Memo:
-    """Per worker: word -> its ids as little-endian u32, by the tokenizers library. No pre-token of the tokenizer holds white space and it keeps no context, so a text's ids are those of its words in order."""
+    """One for each Python worker."""
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        def fill(words: list[str]) -> list[bytes]:
-            out = []
-            for i in range(0, len(words), 4096):
-                out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-            return out
-
-        _encoders[path] = Memo(fill)
+        _encoders[path] = Memo(_Words(path).fill, 300_000)
     return _encoders[path]
 
 
@@ -114,7 +147,9 @@ def _packer(tokenizer_path: str, end_id: int, dictionary: bytes, width: int):
 
         part, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
         given = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False, write_dict_id=False, **given)
+        for held in given.values():
+            held.precompute_compress(level=3)
+        squeeze = zstandard.ZstdCompressor(**{} if given else {"level": 3}, write_content_size=True, write_checksum=False, write_dict_id=False, **given)
         number = before = held = tokens = 0
         index, frames = [], []
 
