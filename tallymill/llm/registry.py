@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op9_bpe
+from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op7_bagminhash, op9_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity.query,
     "op5_mixing": op5_mixing.query,
     "op6_chat": op6_chat.query,
+    "op7_bagminhash": op7_bagminhash.query,
     "op9_bpe": op9_bpe.query,
 }
 
