@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op7_bagminhash, op9_bpe
+from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op7_bagminhash, op8_token_counts, op9_bpe, op10_html
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,9 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing.query,
     "op6_chat": op6_chat.query,
     "op7_bagminhash": op7_bagminhash.query,
+    "op8_token_counts": op8_token_counts.query,
     "op9_bpe": op9_bpe.query,
+    "op10_html": op10_html.query,
 }
 
 ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op6_chat": op6_chat.SQL}
