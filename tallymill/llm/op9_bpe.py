@@ -78,34 +78,46 @@ class PerfectHash:
         return [self.values[s] if self.keys[s] == k else -1 for s, k in zip(slots, keys, strict=True)]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """BPE of one piece: a heap of candidate merges (rank, where the left run begins, where the right one ends) over a doubly linked list of byte runs. The three numbers are packed into one."""
-    n = len(piece)
-    bits = (n + 1).bit_length()
-    mask = (1 << bits) - 1
-    end = list(range(1, n + 1))  # a run begins at its index and ends here; 0 once it has been merged away
-    before = list(range(-1, n - 1))
-    get = ranks.get
-    heap = [(rank << bits | i) << bits | i + 2 for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """left rank << 32 | right rank -> rank of the token that both make, for every way to part a token into two."""
+    get, out = ranks.get, {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            if (left := get(token[:i])) is not None and (right := get(token[i:])) is not None:
+                out[left << 32 | right] = rank
+    return out
+
+
+def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """BPE of one piece, given as the ranks of its bytes: a heap of candidate merges (rank, place) over a doubly linked list of byte runs."""
+    n = len(ids)
+    bits = n.bit_length()
+    mask, get = (1 << bits) - 1, pairs.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    best = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # what a run and the next one make
+    best.append(-1)
+    heap = [rank << bits | i for i, rank in enumerate(best) if rank >= 0]
     heapify(heap)
     while heap:
         key = heappop(heap)
-        i, stop = key >> bits & mask, key & mask
-        middle = end[i]
-        if not middle or middle >= stop or end[middle] != stop:
-            continue  # one of its runs has changed since
-        end[i], end[middle] = stop, 0
-        if stop < n:
-            before[stop] = i
-            if (rank := get(piece[i : (to := end[stop])])) is not None:
-                heappush(heap, (rank << bits | i) << bits | to)
-        if (left := before[i]) >= 0 and (rank := get(piece[left:stop])) is not None:
-            heappush(heap, (rank << bits | left) << bits | stop)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+        i, rank = key & mask, key >> bits
+        if best[i] != rank:
+            continue  # the run or its neighbour has changed since
+        j = after[i]
+        ids[i], ids[j], best[j] = rank, -1, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            best[i] = made = get(rank << 32 | ids[k], -1)
+            if made >= 0:
+                heappush(heap, made << bits | i)
+        else:
+            best[i] = -1
+        if (k := before[i]) >= 0:
+            best[k] = made = get(ids[k] << 32 | rank, -1)
+            if made >= 0:
+                heappush(heap, made << bits | k)
+    return [x for x in ids if x >= 0]
 
 
 class Coder:
@@ -118,17 +130,26 @@ class Coder:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.pieces = regex.compile(pattern).findall
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
+        self.pairs = pair_ranks(self.ranks)
+        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.known: dict[str, bytes] = {}
         self.token = {rank: token for token, rank in self.ranks.items()}
-        self.memo = Memo(self._fill)
+        self.memo = Memo(self._fill, 300_000)
         self.odd_blank = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        if len(self.known) > 200_000:
+            self.known.clear()
+        new = [p for p in pieces if p not in self.known]
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        byte, pairs, known = self.byte, self.pairs, self.known
+        for piece, key, rank in zip(new, raw, self.whole.find(raw), strict=True):
+            known[piece] = array("i", [rank] if rank >= 0 else merge([byte[b] for b in key], pairs)).tobytes()
+
     def _fill(self, stretches: list[str]) -> list[bytes]:
-        found = [[p.encode("utf-8", "surrogatepass") for p in self.pieces(s)] for s in stretches]
-        different = list(set().union(*found))
-        known = {}
-        for piece, value in zip(different, self.whole.find(different), strict=True):
-            known[piece] = array("i", [value] if value >= 0 else merge(piece, self.ranks)).tobytes()
-        return [b"".join([known[p] for p in f]) for f in found]
+        found = [self.pieces(s) for s in stretches]
+        self._learn_pieces(set().union(*found))
+        return [b"".join(map(self.known.__getitem__, f)) for f in found]
 
     def stretches(self, text: str) -> list[str]:
         """Parts of a text whose pieces together are those of the text: where one space parts two other characters, the pattern never looks back across it. A text with a space beside other white space, or with rare white space, is cut by the pattern itself."""

@@ -1,6 +1,8 @@
-"""All queries over the reference tables and their SQL, by name."""
+"""All queries over the line-item relations and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallymill.plans import scalars  # noqa: F401
+from tallymill.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
