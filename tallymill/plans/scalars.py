@@ -8,15 +8,16 @@ from tallymill.functions import amounts as A, text as T
 from tallymill.plans.base import query
 from tallymill.sources.relations import classifications, clients, fields, line_items, read, statements
 
-#: A part's label as it may stand in a statement, by the part's number. The same rule in SQL.
-_RAW = F.concat(F.element_at(F.array(*map(F.lit, ["Item 1 (i) : ", "Note 3 - ", "1. ", "a) ", "  ", "Particulars: 2) b. "])), (F.col("p_partkey") % 6 + 1).cast("int")), F.initcap("p_name"), F.lit("  Net "))
+#: What stands before a part's label in a statement, by the part's number; the label in SQL.
+_BEFORE = ["Item 1 (i) : ", "Note 3 - ", "1. ", "a) ", "  ", "Particulars: 2) b. "]
 _RAW_SQL = "['Item 1 (i) : ', 'Note 3 - ', '1. ', 'a) ', '  ', 'Particulars: 2) b. '][p_partkey % 6 + 1] || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || '  Net '"
 _LABEL_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(raw), '^(?:(?:Item|Note|Particulars)\s*\d*\s*(?:\([^)]*\))?\s*[:.\-]\s*)', '', 'i'), '^\d+[.)]\s*', ''), '^[a-z][.)]\s*', '', 'i'))"
 _PARTS_SQL = f"WITH raws AS (SELECT p_partkey, {_RAW_SQL} AS raw FROM part)"
 
 
 def _raw_parts(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", _RAW.alias("raw"))
+    before = F.element_at(F.array(*map(F.lit, _BEFORE)), (F.col("p_partkey") % len(_BEFORE) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat(before, F.initcap("p_name"), F.lit("  Net ")).alias("raw"))
 
 
 @query("c1_line_label", f"{_PARTS_SQL} SELECT p_partkey, {_LABEL_SQL} AS label FROM raws")
@@ -34,9 +35,11 @@ def c3(spark, sf_dir):
     return _raw_parts(spark, sf_dir).select("p_partkey", T.mapping_key(F.col("raw")).alias("k"))
 
 
-#: An amount as text in one of several styles.
-_MONEY = F.col("l_extendedprice").cast("decimal(12,2)").cast("string")
-_STYLES = [_MONEY, F.concat(F.lit("("), _MONEY, F.lit(")")), F.concat(F.lit("₹"), F.regexp_replace(_MONEY, r"(\d)(\d{3}\.)", "$1,$2")), F.concat(F.lit("-"), _MONEY), F.lit("N/A"), F.concat(F.lit(" $ ("), _MONEY, F.lit(") ")), F.concat(_MONEY, F.lit("d"))]
+def _styles():
+    """An amount as text in several styles."""
+    money = F.col("l_extendedprice").cast("decimal(12,2)").cast("string")
+    return [money, F.concat(F.lit("("), money, F.lit(")")), F.concat(F.lit("₹"), F.regexp_replace(money, r"(\d)(\d{3}\.)", "$1,$2")), F.concat(F.lit("-"), money), F.lit("N/A"), F.concat(F.lit(" $ ("), money, F.lit(") ")), F.concat(money, F.lit("d"))]
+
 _STYLE_SQL = "CASE l_partkey % 7 WHEN 0 THEN m WHEN 1 THEN '(' || m || ')' WHEN 2 THEN '₹' || regexp_replace(m, '(\\d)(\\d{3}\\.)', '\\1,\\2') WHEN 3 THEN '-' || m WHEN 4 THEN 'N/A' WHEN 5 THEN ' $ (' || m || ') ' ELSE m || 'd' END"
 
 
@@ -44,7 +47,7 @@ _STYLE_SQL = "CASE l_partkey % 7 WHEN 0 THEN m WHEN 1 THEN '(' || m || ')' WHEN
 s AS (SELECT l_orderkey, l_linenumber, {_STYLE_SQL} AS raw FROM m)
 SELECT l_orderkey, l_linenumber, raw, CASE WHEN regexp_matches(raw, '[a-zA-Z]') THEN NULL WHEN regexp_matches(raw, '[(-]') THEN -(regexp_replace(raw, '[^0-9.]', '', 'g')::DOUBLE) ELSE regexp_replace(raw, '[^0-9.]', '', 'g')::DOUBLE END AS amount FROM s""")
 def c4(spark, sf_dir):
-    raw = F.coalesce(*[F.when(F.col("l_partkey") % 7 == i, s) for i, s in enumerate(_STYLES)])
+    raw = F.coalesce(*[F.when(F.col("l_partkey") % 7 == i, s) for i, s in enumerate(_styles())])
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), A.parse_amount(raw).alias("amount"))
 
 
@@ -142,12 +145,10 @@ def c14(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.number_token(v).alias("token"))
 
 
-_SIGNED = F.when(F.col("ord.b") % 4 == 0, -F.col("amount")).otherwise(F.col("amount"))
-
-
 @query("c15_formula", f"SELECT document_id, '=' || string_agg(CASE WHEN rn > 1 AND t[1] <> '-' THEN '+' || t ELSE t END, '' ORDER BY rn) AS formula FROM (SELECT document_id, {_TOKEN_SQL.format('v')} AS t, row_number() OVER (PARTITION BY document_id ORDER BY oa, ob, oc, od) AS rn FROM (SELECT *, CASE WHEN ob % 4 = 0 THEN -amount ELSE amount END AS v FROM line_items)) GROUP BY document_id")
 def c15(spark, sf_dir):
-    items = line_items(spark, sf_dir).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", _SIGNED.alias("v")))).alias("x"))
+    signed = F.when(F.col("ord.b") % 4 == 0, -F.col("amount")).otherwise(F.col("amount"))
+    items = line_items(spark, sf_dir).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", signed.alias("v")))).alias("x"))
     return items.select("document_id", A.formula(F.transform("x", lambda i: A.number_token(i["v"]))).alias("formula"))
 
 
