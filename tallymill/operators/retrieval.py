@@ -16,8 +16,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     queries: (query_id, q array); rows: (vec_id, v array, label). The queries are dealt into blocks; a block and a slot of rows meet by
     an equi join, and an array of scores is made for each row, so the pairs are never rows of their own before ranking drops them.
     """
-    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.lit(queries.count() / BLOCK)), F.lit(1))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    slots = 8
+    blocks = max(1, -(-queries.count() // BLOCK))
+    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = packed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     right = rows.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int"))
     dot = lambda q: F.aggregate(F.zip_with(q, F.col("v"), lambda a, b: a * b), F.lit(0).cast("long"), lambda t, x: t + x)
