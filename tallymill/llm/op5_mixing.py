@@ -148,3 +148,19 @@ def repeat_rows(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+#: The shares by closed form: with the sources in order of limit by weight, the first k are full and the others get the rest by weight.
+SQL = rf"""WITH d AS (SELECT row_number() OVER () AS rk, doc_id, source, coalesce(text, '') AS text FROM documents),
+s AS (SELECT rk, doc_id, source, len(regexp_extract_all(text, '{_WORD}'))::BIGINT AS size, len(regexp_extract_all(text, '[#*$%&|<>!]')) AS signs,
+  md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, '-'), md5(text), coalesce(source, ''))) AS k FROM d),
+e AS (SELECT *, -ln((('0x' || k[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / ((1 + size)::DOUBLE / (1 + size + 4 * signs)) AS key FROM s),
+o AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1)::BIGINT AS i FROM e GROUP BY source),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][i % {len(WEIGHTS)} + 1] AS w, {MOST_TIMES} * n AS most FROM o),
+r AS (SELECT *, row_number() OVER (ORDER BY most::DOUBLE / w, i) AS p, sum(most) OVER (ORDER BY most::DOUBLE / w, i) - most AS full_before, sum(w) OVER () - sum(w) OVER (ORDER BY most::DOUBLE / w, i) + w AS weight_left, {PERCENT} * sum(n) OVER () / 100.0::DOUBLE AS budget FROM w),
+c AS (SELECT coalesce(min(p), (SELECT count(*) + 1 FROM r)) AS p FROM r WHERE (budget - full_before::DOUBLE) * w / weight_left <= most),
+t AS (SELECT r.*, CASE WHEN r.p < c.p THEN most::DOUBLE ELSE (SELECT (budget - full_before::DOUBLE) FROM r x WHERE x.p = c.p) * w / (SELECT weight_left::DOUBLE FROM r x WHERE x.p = c.p) END AS target FROM r, c),
+g AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END::BIGINT AS epochs FROM t),
+q AS (SELECT e.*, g.n AS source_size, g.target, g.epochs, g.target - g.epochs * g.n AS budget, sum(size) OVER (PARTITION BY e.source ORDER BY key, doc_id, k, rk) - size AS before FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN size > 0 AND before + size / 2.0::DOUBLE < budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM q"""

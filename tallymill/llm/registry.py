@@ -23,4 +23,4 @@ QUERIES: dict[str, Query] = {
     "op10_html": op10_html.query,
 }
 
-ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op6_chat": op6_chat.SQL}
+ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op5_mixing": op5_mixing.SQL, "op6_chat": op6_chat.SQL}
