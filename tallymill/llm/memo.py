@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 
 class Memo(dict):
-    """Maps a string to the bytes that ``fill`` gives for it; entries are dropped all at once when there are too many, and found again when asked for.
+    """Maps a string to what ``fill`` gives for it.
 
-    ``fill`` takes a list of different strings and returns their values in order.
+    ``fill`` takes a list of different strings and returns their values in order. When there are too many entries the later half is
+    dropped: common words come up early, so the earlier half is worth keeping. What was dropped is found again when asked for.
     """
 
-    def __init__(self, fill: Callable[[list[str]], list[bytes]], most: int = 500_000):
+    def __init__(self, fill: Callable[[list[str]], list[bytes]], most: int = 400_000):
         super().__init__()
         self.fill, self.most = fill, most
 
@@ -21,8 +23,10 @@ class Memo(dict):
         if not new:
             return
         if len(self) + len(new) > self.most:
+            early = list(islice(self.items(), self.most // 2))
             self.clear()
-            new = list(keys)
+            self.update(early)
+            new = [k for k in keys if k not in self]
         self.update(zip(new, self.fill(new), strict=True))
 
     def join(self, parts: list[str]) -> bytes:

@@ -14,12 +14,18 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.llm.common import short_batches, table
 from tallymill.llm.memo import Memo
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class PerfectHash:
     """A minimal perfect hash: each key has a slot of its own among as many slots as there are keys (hash and displace).
 
@@ -78,23 +84,24 @@ class PerfectHash:
         return [self.values[s] if self.keys[s] == k else -1 for s, k in zip(slots, keys, strict=True)]
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """left rank << 32 | right rank -> rank of the token that both make, for every way to part a token into two."""
-    get, out = ranks.get, {}
+def pair_ranks(ranks: dict[bytes, int]) -> list[dict[int, int]]:
+    """By left rank: right rank -> rank of the token that both make, for every way to part a token into two."""
+    get, out = ranks.get, [{} for _ in range(max(ranks.values(), default=-1) + 1)]
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             if (left := get(token[:i])) is not None and (right := get(token[i:])) is not None:
-                out[left << 32 | right] = rank
+                out[left][right] = rank
     return out
 
 
-def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
-    """BPE of one piece, given as the ranks of its bytes: a heap of candidate merges (rank, place) over a doubly linked list of byte runs."""
+def merge(ids: list[int], pairs: list[dict[int, int]]) -> list[int]:
+    """BPE of one piece, given as the ranks of its bytes: a heap of candidate merges (rank, place) over a doubly linked list of byte runs. A run goes by the rank of its token; merged ones become -1."""
     n = len(ids)
     bits = n.bit_length()
-    mask, get = (1 << bits) - 1, pairs.get
+    mask = (1 << bits) - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    best = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # what a run and the next one make
+    rows = [pairs[a] for a in ids]  # of a run: what it makes with a next one
+    best = [row.get(b, -1) for row, b in zip(rows, ids[1:], strict=False)]  # what it makes with the one that stands there
     best.append(-1)
     heap = [rank << bits | i for i, rank in enumerate(best) if rank >= 0]
     heapify(heap)
@@ -105,51 +112,51 @@ def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
             continue  # the run or its neighbour has changed since
         j = after[i]
         ids[i], ids[j], best[j] = rank, -1, -1
+        row = rows[i] = pairs[rank]
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            best[i] = made = get(rank << 32 | ids[k], -1)
+            best[i] = made = row.get(ids[k], -1)
             if made >= 0:
                 heappush(heap, made << bits | i)
         else:
             best[i] = -1
-        if (k := before[i]) >= 0:
-            best[k] = made = get(ids[k] << 32 | rank, -1)
+        k = before[i]
+        if k >= 0:
+            best[k] = made = rows[k].get(rank, -1)
             if made >= 0:
                 heappush(heap, made << bits | k)
     return [x for x in ids if x >= 0]
 
 
 class Coder:
-    """Encodes with a rank file and a pattern, and decodes."""
+    """Encodes with a rank file and a pattern."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
 
-        with open(ranks_path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.ranks = read_ranks(ranks_path)
         self.pieces = regex.compile(pattern).findall
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
         self.pairs = pair_ranks(self.ranks)
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.known: dict[str, bytes] = {}
-        self.token = {rank: token for token, rank in self.ranks.items()}
-        self.memo = Memo(self._fill, 300_000)
+        self.known = Memo(self._merge_pieces, 500_000)
+        self.memo = Memo(self._fill, 500_000)
+        self.plain = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
         self.odd_blank = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.known) > 200_000:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        byte, pairs, known = self.byte, self.pairs, self.known
-        for piece, key, rank in zip(new, raw, self.whole.find(raw), strict=True):
-            known[piece] = array("i", [rank] if rank >= 0 else merge([byte[b] for b in key], pairs)).tobytes()
+    def _merge_pieces(self, pieces: list[str]) -> list[bytes]:
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        byte, pairs = self.byte, self.pairs
+        return [array("i", [rank] if rank >= 0 else merge([byte[b] for b in key], pairs)).tobytes() if key else b"" for key, rank in zip(raw, self.whole.find(raw), strict=True)]
 
     def _fill(self, stretches: list[str]) -> list[bytes]:
-        found = [self.pieces(s) for s in stretches]
-        self._learn_pieces(set().union(*found))
-        return [b"".join(map(self.known.__getitem__, f)) for f in found]
+        plain, pieces = self.plain, self.pieces
+        # letters of Latin alphabets after a space, with marks after them, are cut without the pattern
+        found = [m.groups() if (m := plain(s)) else pieces(s) for s in stretches]
+        self.known.learn(set().union(*found))
+        known = self.known
+        return [known[f[0]] + known[f[1]] if len(f) == 2 else known.join(f) for f in found]
 
     def stretches(self, text: str) -> list[str]:
         """Parts of a text whose pieces together are those of the text: where one space parts two other characters, the pattern never looks back across it. A text with a space beside other white space, or with rare white space, is cut by the pattern itself."""
@@ -164,11 +171,9 @@ class Coder:
         self.memo.learn(set().union(*parts))
         return [self.memo.join(p) for p in parts]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
 
 _coders: dict[tuple[str, str], Coder] = {}
+_tokens: dict[str, pa.Array] = {}
 
 
 def _coder(ranks_path: str, pattern: str) -> Coder:
@@ -199,24 +204,38 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``decoded``, the bytes that the ids stand for; an id that the vocabulary lacks is an error, a null list gives null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks_path, pattern)
+        if ranks_path not in _tokens:
+            ranks = read_ranks(ranks_path)
+            table_of = [None] * (max(ranks.values()) + 1)
+            for token, rank in ranks.items():
+                table_of[rank] = token
+            _tokens[ranks_path] = pa.array(table_of, pa.binary())
+        tokens = _tokens[ranks_path]
         for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            for i in range(0, batch.num_rows, 100):
-                part = batch.slice(i, 100)
-                decoded = [None if x is None else coder.decode(x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                lists = part.column("ids")
+                taken = tokens.take(lists.flatten())
+                if taken.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                # the bytes of the taken tokens lie one after another: texts are stretches of them
+                sizes = np.cumsum([0, *pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()])
+                ends = np.frombuffer(taken.buffers()[1], np.int32)[sizes] if len(taken) else np.zeros(len(sizes), np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), taken.buffers()[2]])
+                if lists.null_count:
+                    decoded = pa.compute.if_else(pa.compute.is_null(lists), pa.scalar(None, pa.binary()), decoded)
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kept}, decoded binary")
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    coded = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    coded = decode(encode(docs, ranks_path, pattern), ranks_path)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
