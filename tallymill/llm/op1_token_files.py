@@ -82,7 +82,7 @@ class _Words:
 def _encoder(path: str) -> Memo:
     """One for each Python worker."""
     if path not in _encoders:
-        _encoders[path] = Memo(_Words(path).fill, 300_000)
+        _encoders[path] = Memo(_Words(path).fill)
     return _encoders[path]
 
 

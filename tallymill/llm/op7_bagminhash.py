@@ -10,6 +10,7 @@
 5. Buckets that still hold several classes are compared in full, in pairs of blocks of at most BLOCK nodes: a pair of nodes counts in the
    first band that they share, and is compared only if nothing has linked its classes yet. So no link between nodes that meet is lost,
    a bucket of copies costs a star, and no task holds more than two blocks.
+   What is known by then are parts of classes, which is enough: it only saves comparisons.
 6. Classes are connected components, by alternating star steps over tables in the shared folder.
 """
 
@@ -146,7 +147,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def with_multisets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, sig, items): the multisets of these nodes (node, key, sig), from the texts of the rows that gave them."""
+    """(node, sig, items): the multisets of these nodes (node, key, sig), from the texts of the rows that gave them; twice for a row that stands twice, which does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -160,7 +161,7 @@ def with_multisets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("node", pa.int64()), ("sig", pa.binary()), ("items", pa.binary())]))
 
     rows = nodes.join(docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text is not null"), "node").select("node", "key", "sig", "text")
-    return rows.mapInArrow(run, "node long, sig binary, items binary").dropDuplicates(["node", "items"])
+    return rows.mapInArrow(run, "node long, sig binary, items binary")
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -236,14 +237,21 @@ def full_comparison(met: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     return rows.groupBy("bucket", "i", "j").applyInArrow(compare_blocks, "a long, b long")
 
 
+def near_classes(links: DataFrame) -> DataFrame:
+    """(node, class): classes that are parts of the true ones, in two steps from links (a < b): a node's smallest neighbour, then that one's."""
+    lowest = links.groupBy("b").agg(F.min("a").alias("a"))
+    above = lowest.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    return lowest.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("class"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that each node is connected to; nodes without links, and the smallest ones, are left out."""
-    edges = stash(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct(), "edges")
+    edges = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low")
     state = None
     while True:
         both = edges.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(edges.select(F.col("low").alias("u"), F.col("high").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low"))
         lowest = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(lowest, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low")).unionByName(lowest.select("high", F.col("m").alias("low"))).distinct()
         edges = stash(small, "edges")
@@ -271,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_id = signed.where("doc_id is not null").join(nodes, "key").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     twice = same_id.join(named.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
     links = stash(compare_pairs(star, sets).unionByName(twice), "links")
-    more = stash(full_comparison(met, components(links), sets), "links")
+    more = stash(full_comparison(met, near_classes(links), sets), "links")
     classes = components(links.unionByName(more))
     of_key = nodes.join(classes, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
     return signed.join(of_key, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"))
