@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows in an Arrow batch: whole texts can be long, so batches stay short.
 ARROW_ROWS = 1000
@@ -22,6 +23,11 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def with_fields(schema: StructType, added: dict[str, DataType]) -> StructType:
+    """A schema with more fields; names may hold any sign."""
+    return StructType([StructField(f.name, f.dataType) for f in schema] + [StructField(n, t) for n, t in added.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. It is set here only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
-from tallymill.llm.common import short_batches, table
+from tallymill.llm.common import short_batches, table, with_fields
 
 # Element names of the HTML standard by their role, and words in class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -228,7 +229,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     short_batches(pages.sparkSession)
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col))
-    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep], "text string"]))
+    return rows.mapInArrow(run, with_fields(rows.schema[: len(keep)], {"text": StringType()}))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType
 
-from tallymill.llm.common import short_batches, stash, table
+from tallymill.llm.common import short_batches, stash, table, with_fields
 
 #: Base rules, as fixed by the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -74,8 +75,7 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None, text_col: str =
 
     short_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_whole_text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:position]], *[f"{c} long" for c in COUNTS]])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, with_fields(rows.schema[:position], {c: LongType() for c in COUNTS}))
 
 
 def base_failed() -> Column:
@@ -146,12 +146,10 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is kept, unchanged. Texts are counted again where they are filtered, rather than shuffled to a stored verdict."""
-    sketch = sketches(with_counts(docs, ["lang", "source"]))
-    extra = [c for c in docs.columns if c not in COUNTS]
-    if len(extra) < len(docs.columns):
-        raise ValueError(f"docs has a column of the names {COUNTS}")
-    return judge(with_counts(docs), thresholds(stash(sketch, "sketch"))).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose text is kept, unchanged, whatever other columns they have. Texts are counted again where they are filtered, rather than shuffled to a stored verdict."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "lang", "source", "text")
+    fences = thresholds(stash(sketches(with_counts(docs, ["lang", "source"])), "sketch"))
+    return judge(with_counts(whole, ["_all", "lang", "source"]), fences).where("kept").select("_all.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

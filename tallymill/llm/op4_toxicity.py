@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
-from tallymill.llm.common import short_batches, table
+from tallymill.llm.common import short_batches, table, with_fields
 
 #: Labelled rows of each class that a fit looks at, as an expected number: the only sample in this operator.
 SAMPLE_PER_CLASS = 4000
@@ -215,7 +216,7 @@ def with_score(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
 
     short_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_whole_text"))
-    return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:position]], "score double"]))
+    return rows.mapInArrow(run, with_fields(rows.schema[:position], {"score": DoubleType()}))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -66,6 +66,9 @@ def test_quality_of_odd_rows(spark, odd):
     assert op2.assess(odd.limit(0)).count() == 0
     kept = op2.keep_good(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {3, 4, 6}
+    clash = odd.selectExpr("*", "1 AS n_words", "'x' AS _lang", "2 AS `an odd:name`", "3 AS base_failed")
+    for same in (op2.keep_good(clash), op4.keep_clean(clash, spark.createDataFrame([], "doc_id long, quality int, toxic int"))):
+        assert same.columns == clash.columns and sorted(r.doc_id or 0 for r in same.where("doc_id > 2 AND doc_id <> 5").collect()) == [3, 3, 4, 6]
 
 
 def test_thresholds_adapt_to_their_source(spark):
