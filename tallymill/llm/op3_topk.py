@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallymill.llm.common import stash, table
+from tallymill.llm.common import short_batches, stash, table
 
 SCALE, TOP, EVERY = 256, 5, 50
 CANDIDATE_ROWS, QUERY_ROWS = 4096, 512
@@ -118,6 +118,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     Vectors of different lengths are compared over the components that both have. A query with fewer candidates has fewer rows; a
     repeated id is a candidate, and a query, once for each row. Scores are 64-bit.
     """
+    short_batches(vectors.sparkSession)
     rows = whole_vectors(vectors)
     wanted = rows.where(is_query)
     n_queries, n = wanted.count(), rows.count()

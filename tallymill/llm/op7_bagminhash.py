@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm.common import short_batches, stash, table
+from tallymill.llm.common import short_batches, sliced, stash, table
 from tallymill.llm.op1_token_files import split_words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -30,6 +30,8 @@ BANDS, BAND_ROWS = 25, 5
 SLOTS = BANDS * BAND_ROWS
 #: Nodes of a block in the full comparison of a bucket.
 BLOCK = 256
+#: Texts or pairs that a task holds at a time.
+AT_ONCE = 100
 #: Pairs whose signatures agree in less than this share are not compared: at a similarity of 0.8 that happens once in 10 ** 8 pairs.
 LEAST_AGREEMENT = 0.58
 
@@ -121,7 +123,7 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             sets = [shingles(t or "") for t in batch.column(1).to_pylist()]
             owner, item, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, s in enumerate(sets):
@@ -152,7 +154,7 @@ def with_multisets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             node, key, sig, text = (c.to_pylist() for c in batch.columns)
             out = []
             for n, k, s, t in zip(node, key, sig, text, strict=True):
@@ -171,7 +173,7 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             found = ([], [])
             for a, b, sig_a, sig_b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 agreement = (np.frombuffer(sig_a, "<u2") == np.frombuffer(sig_b, "<u2")).mean()
@@ -188,11 +190,11 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def compare_blocks(rows: pa.Table) -> pa.Table:
     """Links between nodes of two blocks of one bucket (or within one), given as (band, bucket, i, j, block, node, class, sig, items): enough of them to join all classes that have a link here."""
     order = np.argsort(rows["node"].to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order))
     band, i, j = (rows[c][0].as_py() for c in ("band", "i", "j"))
-    block, node, group = (rows[c].to_numpy() for c in ("block", "node", "class"))
-    sigs = np.stack([np.frombuffer(s, "<u2") for s in rows["sig"].to_pylist()])
-    sets = [np.frombuffer(s, np.uint64) for s in rows["items"].to_pylist()]
+    block, node, group = (rows[c].to_numpy()[order] for c in ("block", "node", "class"))
+    raw = lambda column: [column[at].as_buffer() for at in order.tolist()]
+    sigs = np.stack([np.frombuffer(x, "<u2") for x in raw(rows["sig"])])
+    sets = [np.frombuffer(x, np.uint64) for x in raw(rows["items"])]  # views of the Arrow rows
     left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
     found_x, found_y, found_n = [], [], []
     for x in left.tolist():
