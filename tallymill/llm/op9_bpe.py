@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from tallymill.llm.common import short_batches, table
+from tallymill.llm.common import short_batches, sliced, table, with_fields
 from tallymill.llm.memo import Memo
 
 
@@ -140,8 +141,8 @@ class Coder:
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
         self.pairs = pair_ranks(self.ranks)
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.known = Memo(self._merge_pieces, 500_000)
-        self.memo = Memo(self._fill, 500_000)
+        self.known = Memo(self._merge_pieces, 300_000)
+        self.memo = Memo(self._fill, 300_000)
         self.plain = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
         self.odd_blank = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
@@ -189,53 +190,60 @@ def _lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>), a row for each row: repeated rows and null ids stay as they are, null and empty texts have no ids."""
+def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of batches of (doc_id, text)."""
+    coder = _coder(ranks_path, pattern)
+    for part in sliced(batches, 100):
+        yield pa.RecordBatch.from_arrays([part.column(0), _lists(coder.encode(part.column(1).to_pylist()))], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
+    """Adds decoded to batches that hold ids."""
+    if ranks_path not in _tokens:
+        ranks = read_ranks(ranks_path)
+        table_of = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table_of[rank] = token
+        _tokens[ranks_path] = pa.array(table_of, pa.binary())
+    tokens = _tokens[ranks_path]
+    for part in sliced(batches, 200):
+        lists = part.column("ids")
+        taken = tokens.take(lists.flatten())
+        if taken.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        # the bytes of the taken tokens lie one after another: texts are stretches of them
+        sizes = np.cumsum([0, *pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()])
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[sizes] if len(taken) else np.zeros(len(sizes), np.int32)
+        decoded = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), taken.buffers()[2]])
+        if lists.null_count:
+            decoded = pa.compute.if_else(pa.compute.is_null(lists), pa.scalar(None, pa.binary()), decoded)
+        yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    short_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks_path, pattern)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                part = batch.slice(i, 100)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(coder.encode(part.column(1).to_pylist()))], ["doc_id", "ids"])
 
-    short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>), a row for each row: repeated rows and null ids stay as they are, null and empty texts have no ids."""
+    rows = _texts(docs, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _encoded(batches, ranks_path, pattern), with_fields(rows.schema[:1], {"ids": ArrayType(IntegerType())}))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``decoded``, the bytes that the ids stand for; an id that the vocabulary lacks is an error, a null list gives null."""
+    return encoded.mapInArrow(lambda batches: _decoded(batches, ranks_path), with_fields(encoded.schema, {"decoded": BinaryType()}))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_path not in _tokens:
-            ranks = read_ranks(ranks_path)
-            table_of = [None] * (max(ranks.values()) + 1)
-            for token, rank in ranks.items():
-                table_of[rank] = token
-            _tokens[ranks_path] = pa.array(table_of, pa.binary())
-        tokens = _tokens[ranks_path]
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                lists = part.column("ids")
-                taken = tokens.take(lists.flatten())
-                if taken.null_count:
-                    raise ValueError("an id is not in the vocabulary")
-                # the bytes of the taken tokens lie one after another: texts are stretches of them
-                sizes = np.cumsum([0, *pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()])
-                ends = np.frombuffer(taken.buffers()[1], np.int32)[sizes] if len(taken) else np.zeros(len(sizes), np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), taken.buffers()[2]])
-                if lists.null_count:
-                    decoded = pa.compute.if_else(pa.compute.is_null(lists), pa.scalar(None, pa.binary()), decoded)
-                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kept}, decoded binary")
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``encode`` and then ``decode`` give, in one pass: a task has one Python worker, not two, and so one copy of the vocabulary."""
+    rows = _texts(docs, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, ranks_path, pattern), ranks_path), with_fields(rows.schema[:1], {"ids": ArrayType(IntegerType()), "decoded": BinaryType()}))
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    coded = decode(encode(docs, ranks_path, pattern), ranks_path)
+    coded = round_trip(docs, ranks_path, pattern)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

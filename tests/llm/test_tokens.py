@@ -87,6 +87,7 @@ def test_round_trip_and_odd_rows(spark, docs, tiktoken_encoding):
     assert len(rows) == docs.count()
     by_text = sorted((list(r.ids), bytes(r.decoded)) for r in rows)
     assert by_text == sorted((tiktoken_encoding.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in docs.collect())
+    assert sorted((list(r.ids), bytes(r.decoded)) for r in op9.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()) == by_text
     assert op9.digest(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
