@@ -1,36 +1,115 @@
-"""Matching of texts against rules: exact first, then by score, blocked by shared tokens."""
+"""Matching of texts against rules: exact first, then by score, for all pairs that a shared token or enough common characters let reach it."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymill.operators.ranking import first_per_key, top_per_key
 
-#: A score of this much needs a shared token unless both texts are a single token each.
+#: The least score by default.
 LEAST = 75.0
+#: Texts are packed into blocks of about this many, of like length.
+BLOCK = 500
+#: Lengths of so many characters share a band.
+BAND = 4
+#: White space as Python's split takes it.
+SPACE = r"(?U)[\s\x1C-\x1F]+"
+
+
+def _tokens(column: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.col(column), SPACE), lambda t: t != ""))
+
+
+def _blocks(texts: DataFrame, name: str) -> DataFrame:
+    """(name, lo, hi): arrays of different texts; lo and hi bound the lengths of their tokens."""
+    rows = texts.select(F.col(name), F.char_length(F.concat_ws(" ", _tokens(name))).alias("lo"), F.char_length(name).alias("hi")).withColumn("band", F.expr(f"lo div {BAND}"))
+    # a band is a few characters of length, so their number is bounded by the longest text
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
+    packed = rows.join(F.broadcast(sizes), "band").groupBy("band", F.pmod(F.xxhash64(name), F.col("slots")).alias("slot"))
+    return packed.agg(F.collect_list(name).alias(name), F.min("lo").alias(f"{name}_lo"), F.max("hi").alias(f"{name}_hi")).drop("band", "slot")
+
+
+def _signs(texts: list[str]) -> tuple[list[Counter], np.ndarray]:
+    """Counts of the characters of each text's tokens, and the lengths of its different tokens; single spaces between tokens count."""
+    words = [t.split() for t in texts]
+    return [Counter(" ".join(w)) for w in words], np.array([len(" ".join(set(w))) for w in words], np.int64)
+
+
+def near(left: list[str], right: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs with enough common characters for a ratio of least, whatever their order; a part of the left texts at a time.
+
+    A common subsequence is no longer than the characters in common, counted with repeats, and these are an inner product over
+    (character, number of its occurrence). Repeated tokens count here and not in the lengths, so the bound holds with and without them.
+    """
+    (a, a_size), (b, b_size) = _signs(left), _signs(right)
+    most = [Counter(), Counter()]
+    for m, counts in zip(most, (a, b), strict=True):
+        for c in counts:
+            m |= c
+    start, width = {}, 0
+    for sign, n in (most[0] & most[1]).items():
+        start[sign], width = (width, n), width + n
+
+    def unary(counts: list[Counter]) -> np.ndarray:
+        out = np.zeros((len(counts), width), np.float32)
+        for row, c in zip(out, counts, strict=True):
+            for sign, n in c.items():
+                if sign in start:
+                    at, limit = start[sign]
+                    row[at : at + min(n, limit)] = 1
+        return out
+
+    others = unary(b).T
+    for i in range(0, len(a), 100):
+        common = unary(a[i : i + 100]) @ others
+        x, y = np.nonzero(200.0 * common >= least * (a_size[i : i + 100, None] + b_size[None, :]) - 1e-6)
+        yield x + i, y
+
+
+def near_texts(texts: DataFrame, rules: DataFrame, least: float) -> DataFrame:
+    """(text, rule): different texts and rules whose characters allow a ratio of least. Every block meets every block whose lengths allow it: the work grows with the square of the different texts, but only pairs that pass become rows."""
+    pairs = _blocks(texts, "text").crossJoin(_blocks(rules, "rule"))
+    # common characters are at most the shorter text
+    pairs = pairs.where(200 * F.least("text_hi", "rule_hi") >= least * (F.col("text_lo") + F.col("rule_lo")) - 1e-6).select("text", "rule")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for x, y in near(left, right, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()).take(pa.array(x)), pa.array(right, pa.string()).take(pa.array(y))], ["text", "rule"])
+
+    return pairs.mapInArrow(run, "text string, rule string")
+
 
+def candidates(texts: DataFrame, rules: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (text_id, text, rule_id, rule, ...) that share a token or have the characters for a ratio of least: no pair is missing whose token sort or token set ratio is that high.
 
-def candidates(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pairs (text_id, text, rule_id, rule, ...) that share a token: an equi join instead of all pairs. Token sets without a common token score low."""
-    tokens = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != ""))
-    left = texts.select("text_id", F.explode(tokens(F.col("text"))).alias("token"))
-    right = rules.select("rule_id", F.explode(tokens(F.col("rule"))).alias("token"))
-    pairs = left.join(right, "token").select("text_id", "rule_id").distinct()
-    return pairs.join(texts, "text_id").join(rules, "rule_id")
+    Without a common token both are ratios of the sorted tokens. Pairs are formed among different texts, and null texts have none.
+    """
+    left, right = (t.select(c).where(F.col(c).isNotNull()).distinct() for t, c in ((texts, "text"), (rules, "rule")))
+    shared = left.select("text", F.explode(_tokens("text")).alias("token")).join(right.select("rule", F.explode(_tokens("rule")).alias("token")), "token")
+    pairs = shared.select("text", "rule").unionByName(near_texts(left, right, least)).distinct()
+    return texts.join(pairs, "text").join(rules, "rule")
 
 
-def best_rule(texts: DataFrame, rules: DataFrame, score: Column, least: float = LEAST, where: Column | None = None) -> DataFrame:
-    """(text_id, rule_id, score): the best rule of each text that has one; an exact text scores 100 and is looked at first, then the higher score, then the smaller rule_id."""
+def best_rule(texts: DataFrame, rules: DataFrame, score: Column, least: float = LEAST, where: Column | None = None, added: float = 0.0) -> DataFrame:
+    """(text_id, rule_id, score): the best rule of each text that has one; an exact text scores 100 and is looked at first, then the higher score, then the smaller rule_id. added: the most by which score exceeds a ratio."""
     exact = first_per_key(texts.join(rules, F.col("text") == F.col("rule")), ["text_id"], "rule_id").select("text_id", "rule_id", F.lit(100.0).alias("score"))
     rest = texts.join(exact.select("text_id"), "text_id", "left_anti")
-    scored = candidates(rest, rules)
+    scored = candidates(rest, rules, least - added)
     scored = (scored if where is None else scored.where(where)).withColumn("score", score).where(F.col("score") >= least)
     return exact.unionByName(first_per_key(scored, ["text_id"], F.desc("score"), "rule_id").select("text_id", "rule_id", "score"))
 
 
 def top_rules(texts: DataFrame, rules: DataFrame, score: Column, k: int = 5, least: float = LEAST) -> DataFrame:
     """(text_id, rank, rule_id, score): up to k rules of each text, best first."""
-    scored = candidates(texts, rules).withColumn("score", score).where(F.col("score") >= least)
+    scored = candidates(texts, rules, least).withColumn("score", score).where(F.col("score") >= least)
     return top_per_key(scored, ["text_id"], k, F.desc("score"), "rule_id").select("text_id", "rank", "rule_id", "score")
 
 
@@ -38,5 +117,5 @@ def like_pairs(rows: DataFrame, score: Column, least: float = 90.0) -> DataFrame
     """(left_id, right_id, score): pairs of different rows (id, text, block, label) of one block with different labels and like texts."""
     left = rows.select(F.col("id").alias("text_id"), "text", F.col("block").alias("b1"), F.col("label").alias("l1"))
     right = rows.select(F.col("id").alias("rule_id"), F.col("text").alias("rule"), F.col("block").alias("b2"), F.col("label").alias("l2"))
-    pairs = candidates(left, right).where((F.col("text_id") < F.col("rule_id")) & (F.col("b1") == F.col("b2")) & (F.col("l1") != F.col("l2")))
+    pairs = candidates(left, right, least).where((F.col("text_id") < F.col("rule_id")) & (F.col("b1") == F.col("b2")) & (F.col("l1") != F.col("l2")))
     return pairs.withColumn("score", score).where(F.col("score") >= least).select(F.col("text_id").alias("left_id"), F.col("rule_id").alias("right_id"), "score")

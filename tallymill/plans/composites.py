@@ -390,7 +390,7 @@ def d13(spark, sf_dir):
 @query("d14_best_rule")
 def d14(spark, sf_dir):
     boosted = F.least(ratios.token_sort_ratio(F.col("text"), F.col("rule")) + F.when(F.col("text_id") % 5 == F.col("rule_id") % 5, 10).otherwise(0), F.lit(100.0))
-    return matching.best_rule(*_rules(spark, sf_dir), boosted, 80.0)
+    return matching.best_rule(*_rules(spark, sf_dir), boosted, 80.0, added=10.0)
 
 
 @query("d15_top_rules")

@@ -80,6 +80,43 @@ def test_matching_takes_exact_texts_first(spark):
     assert sorted((r.text_id, r.rule_id) for r in found.collect()) == [(1, 10), (2, 12)]
 
 
+FUZZY = ["old rod", "red bolt", "salaries wages", "salary wage", "rent", "rents", "rent paid", "paid  rent", "wages wages", "wage", "", "bank\xa0charge", "charges bank", "x" * 90, "x" * 70 + " y", "zq"]
+
+
+@pytest.mark.parametrize("kind", ["token_sort", "token_set"])
+@pytest.mark.parametrize("least", [60.0, 75.0, 90.0])
+def test_like_pairs_are_those_of_all_pairs(spark, monkeypatch, kind, least):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from tallymill.functions import ratios
+
+    monkeypatch.setattr(matching, "BLOCK", 3)  # several blocks of a band
+    score = getattr(ratios, kind)
+    rows = spark.createDataFrame([*[(i, t, 0, i) for i, t in enumerate(FUZZY)], (99, None, 0, 99)], "id long, text string, block int, label long")
+    expected = {(i, j, score(a, b)) for (i, a), (j, b) in combinations(enumerate(FUZZY), 2) if score(a, b) >= least}
+    found = matching.like_pairs(rows, getattr(ratios, f"{kind}_ratio")(F.col("text"), F.col("rule")), least)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    if least == 60.0:
+        assert {(i, j) for i, j, _ in expected} >= {(0, 1), (2, 3), (4, 5)}  # no shared token
+
+
+def test_rules_without_a_shared_token_are_found(spark):
+    from pyspark.sql import functions as F
+
+    from tallymill.functions.ratios import token_sort, token_sort_ratio
+
+    texts = spark.createDataFrame([(1, "salary wage"), (2, "old rod"), (3, None)], "text_id long, text string")
+    rules = spark.createDataFrame([(10, "salaries wages"), (11, "red bolt"), (12, "wage"), (13, None)], "rule_id long, rule string")
+    ratio = token_sort_ratio(F.col("text"), F.col("rule"))
+    first = (1, 10, token_sort("salary wage", "salaries wages"))
+    assert list(map(tuple, matching.best_rule(texts, rules, ratio).collect())) == [first]
+    assert [(r.text_id, r.rule_id, r.score) for r in matching.top_rules(texts, rules, ratio).collect()] == [first]
+    raised = {r.text_id: r.score for r in matching.best_rule(texts, rules, ratio + 10, 75.0, added=10.0).collect()}
+    assert raised == {1: first[2] + 10, 2: token_sort("old rod", "red bolt") + 10}
+
+
 def test_nearest_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(3, [1, 0], 0), (1, [1, 0], 0), (2, [0, 1], 1)], "vec_id long, v array<long>, label int")
     queries = spark.createDataFrame([(9, [2, 1])], "query_id long, q array<long>")
