@@ -162,10 +162,16 @@ def score(top: Node) -> list[Node]:
 
 
 def _container(order: list[Node]) -> Node | None:
-    """The best element; among equals the outermost."""
+    """The best element, or the article or main element around it; among equals the outermost."""
     best = max((n for n in order if n.size), key=lambda n: n.points, default=None)
     # what is left of a page without points is taken whole
-    return best if best is None or best.points > 0 else order[0]
+    if best is None or best.points <= 0:
+        return best and order[0]
+    # one section of an article may have more points than the whole
+    around = best
+    while around is not None and around.name not in ("article", "main"):
+        around = around.parent
+    return around or best
 
 
 def _kept(best: Node) -> list[Node | str]:

@@ -119,6 +119,14 @@ def test_pages_table(spark):
     assert op10.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_uneven_sections_stay_together(name):
+    long = "word, " * 90 + "end"
+    parts = f"<section><p>{long}</p></section><section><p>Short one, with little text.</p></section>Bare text.<ul><li>item</ul><table><tr><td>cell</table>"
+    html = f"<div class=sidebar><p>Other things.</p></div><{name}><section><h2>Head</h2></section>{parts}<nav>Menu</nav></{name}><footer>Imprint</footer>"
+    assert op10.main_text(html) == f"Head\n\n{long}\n\nShort one, with little text.\n\nBare text.\n\nitem\n\ncell"
+
+
 def test_pages_keep_their_article(spark):
     import html as entities
     import re
