@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,11 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
+    """Arrow batches for whole texts, for all of the session: an application's choice, which no operator makes."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def for_texts(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query that sets short batches for its session first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *given) -> DataFrame:
+        short_batches(spark)
+        return query(spark, *given)
+
+    return run
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many; what is held for a batch stays small."""
     for batch in batches:
@@ -39,32 +54,56 @@ def with_fields(schema: StructType, added: dict[str, DataType]) -> StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. It is set here only where it is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session, whose executors are the driver, gets one where it has none; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else "/tmp/tallymill-checkpoints"
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tallymill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stashed inside is deleted at the end: only for results that have been written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallymill/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them from there: what follows starts from files that outlive a lost executor."""
+def stash(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes the rows as a table in the shared folder and reads them from there: what follows starts from files that outlive a lost executor. keep: also beyond a scratch around it."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a stashed table that nothing reads any more."""
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that no plan reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stashed_at)
 
 
 def n_words(text: str | Column) -> Column:
