@@ -14,6 +14,7 @@ u64 end offset of its frame, then the frames.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 from array import array
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallymill.llm.common import new_path, short_batches, table
+from tallymill.llm.common import new_path, table
 from tallymill.llm.memo import Memo
 
 END_ID = 2
@@ -33,22 +34,33 @@ DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 64 * 1024
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 2048
 
 _INDEX = np.dtype([("doc", "<i8"), ("has", "u1"), ("tokens", "<u4"), ("end", "<u8")])
-_encoders: dict[str, Memo] = {}
+_encoders: dict[tuple[str, bool], tuple[Memo, _Words]] = {}
+#: The normalizer and pre-tokenizer under which a text's ids are those of its words.
+KNOWN = (
+    r'''{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}''',
+    r'''{"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": true}, {"type": "ByteLevel", "add_prefix_space": false, "trim_offsets": true, "use_regex": false}]}''',
+)
 #: A plain word: letters whose normal form and lower case are simple, then marks, which make a pre-token of their own.
 _plain = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)").fullmatch
+#: An added token that a plain word or a run of marks could hold, or that holds white space, is not found word by word.
+_inside_plain = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*[.,;:!?]*|.*\s.*", re.S).fullmatch
 
 
 class _Words:
     """Word -> its ids as little-endian u32, by the tokenizers library. No pre-token of the tokenizer holds white space and it keeps no context, so a text's ids are those of its words in order.
 
-    The two pre-tokens of a plain word go to the library's model at once; any other word passes its whole chain.
+    The two pre-tokens of a plain word go to the library's model at once; any other word passes its whole chain. Both hold for a tokenizer
+    whose normalizer and pre-tokenizer are the KNOWN ones; with others, texts are encoded as a whole (``by_word`` is false).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        parts = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in parts["added_tokens"]]
+        self.by_word = [parts["normalizer"], parts["pre_tokenizer"]] == [json.loads(k) for k in KNOWN] and not any(map(_inside_plain, added))
         self.model, self.known = self.tokenizer.model, {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         signs = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(0x21, 0x7F)}
@@ -79,11 +91,12 @@ class _Words:
         return out
 
 
-def _encoder(path: str) -> Memo:
+def _encoder(path: str, special_as_text: bool) -> tuple[Memo, _Words]:
     """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Memo(_Words(path).fill)
-    return _encoders[path]
+    if (path, special_as_text) not in _encoders:
+        words = _Words(path, special_as_text)
+        _encoders[path, special_as_text] = Memo(words.fill), words
+    return _encoders[path, special_as_text]
 
 
 def split_words(text: str) -> list[str]:
@@ -94,9 +107,11 @@ def split_words(text: str) -> list[str]:
     return text.split(" ")
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian u32."""
-    memo = _encoder(path)
+def encode_texts(texts: list[str], path: str, special_as_text: bool = False) -> list[bytes]:
+    """Ids of each text as little-endian u32. As in the library, the strings of special tokens give their ids, unless they are to count as ordinary text."""
+    memo, words = _encoder(path, special_as_text)
+    if not words.by_word:
+        return list(map(words.chain, texts))
     parts = [split_words(t) for t in texts]
     memo.learn(set().union(*parts))
     return [memo.join(p) for p in parts]
@@ -107,27 +122,26 @@ def _sliced(batch: pa.RecordBatch, rows: int = 100) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids as little-endian u32 bytes with the end id). A null text is empty and has the end id alone."""
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """(doc_id, ids as little-endian u32 bytes with the end id), a row for each row, repeated or not. A null text is empty and has the end id alone; an empty table gives no rows; other columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = struct.pack("<I", end_id)
         for batch in (s for b in batches for s in _sliced(b)):
-            ids = [x + end for x in encode_texts(batch.column(1).to_pylist(), tokenizer_path)]
+            ids = [x + end for x in encode_texts(batch.column(1).to_pylist(), tokenizer_path, special_as_text)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def fit_dictionary(docs: DataFrame, tokenizer_path: str, width: int, docs_wanted: int = DICTIONARY_DOCS, most_bytes: int = DICTIONARY_BYTES) -> bytes:
+def fit_dictionary(docs: DataFrame, tokenizer_path: str, width: int, special_as_text: bool = False, docs_wanted: int = DICTIONARY_DOCS, most_bytes: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary from the id arrays of about ``docs_wanted`` documents; few or tiny ones give a plain-content dictionary, none an empty one."""
     import zstandard
 
     share = min(1.0, docs_wanted / max(1, docs.count()))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    arrays = sorted({_narrow(r.ids, width) for r in encode(chosen, tokenizer_path).select("ids").toLocalIterator()})
+    arrays = sorted({_narrow(r.ids, width) for r in encode(chosen, tokenizer_path, special_as_text=special_as_text).select("ids").toLocalIterator()})
     try:
         return zstandard.train_dictionary(most_bytes, arrays, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -138,7 +152,7 @@ def _narrow(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
 
 
-def _packer(tokenizer_path: str, end_id: int, dictionary: bytes, width: int):
+def _packer(tokenizer_path: str, end_id: int, dictionary: bytes, width: int, special_as_text: bool):
     digest = hashlib.sha256(dictionary).digest()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +175,7 @@ def _packer(tokenizer_path: str, end_id: int, dictionary: bytes, width: int):
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
         for batch in (s for b in batches for s in _sliced(b)):
-            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), tokenizer_path), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), tokenizer_path, special_as_text), strict=True):
                 ids += end
                 frame = squeeze.compress(_narrow(ids, width))
                 held += len(frame)
@@ -181,19 +195,18 @@ _BLOCK_SCHEMA = "part int, block int, first_doc long, last_doc long, n_docs int,
 _BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the file set for all documents in ascending id order (null ids first, then ties by text). Other columns are not looked at. An empty table gives an empty file set."""
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> None:
+    """Writes the file set for all documents in ascending id order (null ids first, then ties by text). Other columns are not looked at. An empty table gives an empty file set. special_as_text: a text that spells a special token is ordinary text; the library's own rule, and the default, is to give that token's id."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    short_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    dictionary = fit_dictionary(rows, tokenizer_path, width)
+    dictionary = fit_dictionary(rows, tokenizer_path, width, special_as_text)
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
     # the second key spreads the rows of one repeated id
     laid = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    laid.mapInArrow(_packer(tokenizer_path, end_id, dictionary, width), _BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    laid.mapInArrow(_packer(tokenizer_path, end_id, dictionary, width, special_as_text), _BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     sums = spark.read.schema(_BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each partition of the writing job, so this window is short at any size
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
@@ -219,7 +232,6 @@ def _open(payload: bytes, decompressors: dict, dictionary: bytes, sha: bytes) ->
 
 def read_token_files(spark: SparkSession, path: str, first_doc: int | None = None, last_doc: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids as little-endian u32 bytes) of all documents, or of those in a range of ids, for which only blocks that can hold them are read."""
-    short_batches(spark)
     held = spark.read.parquet(f"{path}/dictionary").first()
     dictionary, sha = bytes(held.dictionary), bytes.fromhex(held.sha256)
     blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(f"{path}/blocks")
