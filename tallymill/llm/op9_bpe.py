@@ -18,10 +18,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from tallymill.llm.common import short_batches, sliced, table, with_fields
+from tallymill.llm.common import sliced, table, with_fields
 from tallymill.llm.memo import Memo
 
 
+#: Fixed value: the pattern for which stretches between spaces, and Latin words with marks after them, can be cut without it.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -143,6 +147,8 @@ class Coder:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.known = Memo(self._merge_pieces, 300_000)
         self.memo = Memo(self._fill, 300_000)
+        #: the shortcuts below hold for this pattern alone
+        self.is_known = pattern == KNOWN_PATTERN
         self.plain = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
         self.odd_blank = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
@@ -152,6 +158,9 @@ class Coder:
         return [array("i", [rank] if rank >= 0 else merge([byte[b] for b in key], pairs)).tobytes() if key else b"" for key, rank in zip(raw, self.whole.find(raw), strict=True)]
 
     def _fill(self, stretches: list[str]) -> list[bytes]:
+        if not self.is_known:  # what comes here are pieces already
+            self.known.learn(set(stretches))
+            return [self.known[s] for s in stretches]
         plain, pieces = self.plain, self.pieces
         # letters of Latin alphabets after a space, with marks after them, are cut without the pattern
         found = [m.groups() if (m := plain(s)) else pieces(s) for s in stretches]
@@ -168,7 +177,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native 32-bit integers."""
-        parts = [self.stretches(t) for t in texts]
+        parts = [self.stretches(t) if self.is_known else self.pieces(t) for t in texts]
         self.memo.learn(set().union(*parts))
         return [self.memo.join(p) for p in parts]
 
@@ -221,12 +230,11 @@ def _decoded(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>), a row for each row: repeated rows and null ids stay as they are, null and empty texts have no ids."""
+    """(doc_id, ids array<int>), a row for each row: repeated rows and null ids stay as they are, null and empty texts have no ids, an empty table gives no rows, and other columns are not looked at."""
     rows = _texts(docs, id_col, text_col)
     return rows.mapInArrow(lambda batches: _encoded(batches, ranks_path, pattern), with_fields(rows.schema[:1], {"ids": ArrayType(IntegerType())}))
 
@@ -243,6 +251,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; of a null or empty text both are the digest of nothing."""
     coded = round_trip(docs, ranks_path, pattern)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
