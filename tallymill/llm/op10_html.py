@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-from tallymill.llm.common import short_batches, table, with_fields
+from tallymill.llm.common import table, with_fields
 
 # Element names of the HTML standard by their role, and words in class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +36,8 @@ LEVELS, SIBLING = 5, 0.2
 
 _tag = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*>?|/([a-zA-Z][^\s>/]*)[^>]*>?|([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _attribute = re.compile(r"(?:^|\s|/)(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_blank = re.compile(r"[\s​﻿]+")
+#: White space. Signs without width are part of their words.
+_blank = re.compile(r"\s+")
 
 
 class Node:
@@ -223,7 +224,7 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """The columns of pages without the html, and text. Null pages count as empty and give an empty text; a column named text gives way; repeated rows are extracted each."""
+    """The columns of pages without the html, and text. Null pages count as empty and give an empty text; a column named text gives way; repeated rows are extracted each; an empty table gives no rows."""
     keep = [c for c in pages.columns if c not in (html_col, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 texts = [main_text(h or "") for h in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
 
-    short_batches(pages.sparkSession)
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col))
     return rows.mapInArrow(run, with_fields(rows.schema[: len(keep)], {"text": StringType()}))
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm.common import short_batches, table
+from tallymill.llm.common import table
 
 _coders: dict[tuple[str, str], tuple] = {}
 
@@ -68,8 +68,8 @@ _COLUMNS = {"section": pa.int32(), "char_start": pa.int64(), "char_end": pa.int6
 def count_sections(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, section, char_start, char_end, n_tokens, n_started, token_share) for each line of each row, in code points and by the three rules.
 
-    A line holds the line feed that ends it. A null or empty text has one empty section without tokens. Repeated rows are counted each;
-    other columns are not looked at.
+    A line holds the line feed that ends it. A null or empty text has one empty section without tokens. Repeated rows, and rows
+    without an id, are counted each; an empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -92,7 +92,6 @@ def count_sections(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 columns = [pa.array(np.concatenate(out[c]), t, safe=False) for c, t in _COLUMNS.items()]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owner))), *columns], ["doc_id", *_COLUMNS])
 
-    short_batches(docs.sparkSession)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, section int, char_start long, char_end long, n_tokens long, n_started long, token_share double")
 
 
