@@ -13,12 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallymill.llm.common import short_batches, stash, table
+from tallymill.llm.common import stash, table
+from tallymill.operators.retrieval import best_of
 
 SCALE, TOP, EVERY = 256, 5, 50
 CANDIDATE_ROWS, QUERY_ROWS = 4096, 512
-#: Candidate blocks are dealt to so many slots, each of which gets all query blocks: more slots are more tasks and more copies of the queries.
-BLOCKS_PER_SLOT = 4
+#: Rows that a hash deals to a partition on average, as a share of a block, so that few partitions need a second block.
+FILLED = 0.9
+#: Candidate blocks are dealt in turn to so many slots for each core, at most one for each block. A slot gets all query blocks: more slots are more tasks and more copies of the queries.
+SLOTS_PER_CORE = 4
 
 _BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("terms", pa.binary()), ("weights", pa.binary())])
 _BLOCK_DDL = "block long, n int, ids binary, rows binary, terms binary, weights binary"
@@ -73,12 +76,13 @@ def _postings(rows: bytes, terms: bytes, weights: bytes) -> dict[int, tuple[np.n
 
 
 def _narrowed(queries: dict, candidates: dict) -> np.dtype:
-    most = lambda lists: max((int(np.abs(w).max()) for _, w in lists.values()), default=0)
-    return np.dtype(np.int32) if most(queries) * most(candidates) * max(1, len(queries)) < 1 << 31 else np.dtype(np.int64)
+    most = lambda w: max(abs(int(w.min())), abs(int(w.max())))
+    bound = sum(most(w) * most(candidates[t][1]) for t, (_, w) in queries.items() if t in candidates)
+    return np.dtype(np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 63 else object)
 
 
 def block_scores(n_q: int, queries: dict, n_c: int, candidates: dict) -> np.ndarray:
-    """Inner products, queries x candidates, one term after another; in 32 bits where no sum can leave them."""
+    """Inner products, queries x candidates, one term after another; in 32 bits where no sum can leave them, in whole numbers of any size where one could leave 64."""
     kind = _narrowed(queries, candidates)
     scores, spare = np.zeros((n_q, n_c), kind), np.empty((n_q, n_c), kind)
     for term, (q_rows, q_weights) in queries.items():
@@ -97,37 +101,24 @@ def block_scores(n_q: int, queries: dict, n_c: int, candidates: dict) -> np.ndar
     return scores
 
 
-def best_of(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best in this block; c_ids ascend, so among equal scores an earlier column wins."""
-    n = scores.shape[1]
-    for q, row in zip(q_ids.tolist(), scores, strict=True):
-        own = np.searchsorted(c_ids, [q, q + 1])
-        if n > k + own[1] - own[0]:
-            edge = np.partition(row, n - k - (own[1] - own[0]))[n - k - (own[1] - own[0])]
-            columns = np.flatnonzero(row >= edge)
-        else:
-            columns = np.arange(n)
-        columns = columns[(columns < own[0]) | (columns >= own[1])]
-        for c in columns[np.lexsort((columns, -row[columns]))][:k].tolist():
-            yield q, int(c_ids[c]), int(row[c])
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows, other than those of the query's own id, with the highest inner product of whole-number vectors; ties go to the smaller id.
 
     Vectors of different lengths are compared over the components that both have. A query with fewer candidates has fewer rows; a
-    repeated id is a candidate, and a query, once for each row. Scores are 64-bit.
+    repeated id is a candidate, and a query, once for each row. Scores are 64-bit; a result that doesn't fit is an error.
+    Vectors without sound components take no part, other columns are not looked at, and an empty table gives no rows.
     """
-    short_batches(vectors.sparkSession)
     rows = whole_vectors(vectors)
     wanted = rows.where(is_query)
     n_queries, n = wanted.count(), rows.count()
-    q_blocks = _blocks(wanted.repartition(max(1, -(-n_queries // QUERY_ROWS)), "vec_id"), QUERY_ROWS)
-    c_blocks = stash(_blocks(rows.repartition(max(1, -(-n // CANDIDATE_ROWS)), "vec_id"), CANDIDATE_ROWS), "blocks")
-    slots = max(1, c_blocks.count() // BLOCKS_PER_SLOT)
+    dealt = lambda part, count, size: part.repartition(max(1, -(-count // max(1, int(FILLED * size)))), "vec_id")
+    q_blocks = _blocks(dealt(wanted, n_queries, QUERY_ROWS), QUERY_ROWS)
+    c_blocks = stash(_blocks(dealt(rows, n, CANDIDATE_ROWS), CANDIDATE_ROWS), "blocks")
+    slots = max(1, min(c_blocks.count(), SLOTS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism))
     left = q_blocks.select([F.col(c).alias(f"q_{c}") for c in _BLOCK.names] + [F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")])
-    right = c_blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
-    pairs = left.join(right, "slot").drop("slot")
+    # a block's number holds its partition above 32 bits and its place there
+    right = c_blocks.withColumn("slot", F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND((1 << 32) - 1), F.lit(slots)).cast("int"))
+    pairs = left.repartition(slots, "slot").join(right.repartition(slots, "slot"), "slot").drop("slot")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
