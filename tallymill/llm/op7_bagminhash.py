@@ -7,11 +7,13 @@
 3. Nodes that share the BAND_ROWS registers of a band meet in a bucket.
 4. Each node of a bucket is compared with the bucket's smallest node. Comparisons are exact: nodes whose multisets have a similarity of
    THRESHOLD or more are linked. Linked nodes form classes.
-5. Buckets that still hold several classes are compared in full, in pairs of blocks of at most BLOCK nodes: a pair of nodes counts in the
-   first band that they share, and is compared only if nothing has linked its classes yet. So no link between nodes that meet is lost,
-   a bucket of copies costs a star, and no task holds more than two blocks.
+5. Buckets that still hold several classes are compared in full, in pairs of blocks of about BLOCK nodes: a pair of nodes counts in the
+   first band that they share, and is compared only if nothing has linked its classes yet. Signatures and sizes are compared first, so
+   multisets are sent only where a pair may be similar enough. A bucket of copies costs a star, and no task holds more than two blocks.
    What is known by then are parts of classes, which is enough: it only saves comparisons.
-6. Classes are connected components, by alternating star steps over tables in the shared folder.
+   Of the pairs that meet none is passed over but those that LEAST_AGREEMENT rules out.
+6. Classes are connected components, by alternating star steps over tables in the shared folder; the neighbours of a node are dealt to
+   several tasks, however many it has.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymill.llm.common import short_batches, sliced, stash, table
+from tallymill.llm.common import discard, sliced, stash, table
 from tallymill.llm.op1_token_files import split_words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -30,6 +32,8 @@ BANDS, BAND_ROWS = 25, 5
 SLOTS = BANDS * BAND_ROWS
 #: Nodes of a block in the full comparison of a bucket.
 BLOCK = 256
+#: A node's neighbours are dealt over so many parts when classes are joined.
+SALTS = 64
 #: Texts or pairs that a task holds at a time.
 AT_ONCE = 100
 #: Pairs whose signatures agree in less than this share are not compared: at a similarity of 0.8 that happens once in 10 ** 8 pairs.
@@ -136,7 +140,6 @@ def sign(docs: DataFrame) -> DataFrame:
             sigs = [r.tobytes() if len(s) else None for r, s in zip(rows, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
-    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, sig binary")
 
 
@@ -167,6 +170,7 @@ def with_multisets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_MEMBERS = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("node", pa.int64()), ("class", pa.int64())])
 
 
 def compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,19 +191,16 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def compare_blocks(rows: pa.Table) -> pa.Table:
-    """Links between nodes of two blocks of one bucket (or within one), given as (band, bucket, i, j, block, node, class, sig, items): enough of them to join all classes that have a link here."""
-    order = np.argsort(rows["node"].to_numpy(), kind="stable")
+def _likely(rows: pa.Table, order: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Places of the pairs between two blocks of one bucket (or within one) whose signatures may belong to similar multisets, and their agreement. A pair counts in the first band that it shares."""
     band, i, j = (rows[c][0].as_py() for c in ("band", "i", "j"))
-    block, node, group = (rows[c].to_numpy()[order] for c in ("block", "node", "class"))
-    raw = lambda column: [column[at].as_buffer() for at in order.tolist()]
-    sigs = np.stack([np.frombuffer(x, "<u2") for x in raw(rows["sig"])])
-    sets = [np.frombuffer(x, np.uint64) for x in raw(rows["items"])]  # views of the Arrow rows
-    left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
+    block, group, size = (rows[c].to_numpy()[order] for c in ("block", "class", "size"))
+    sigs = np.stack([np.frombuffer(rows["sig"][at].as_buffer(), "<u2") for at in order.tolist()])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     found_x, found_y, found_n = [], [], []
     for x in left.tolist():
         y = right[(right > x) if i == j else slice(None)]
-        y = y[group[y] != group[x]]
+        y = y[(group[y] != group[x]) & (np.minimum(size[y], size[x]) >= THRESHOLD * np.maximum(size[y], size[x]))]
         if not len(y):
             continue
         equal = sigs[y] == sigs[x]
@@ -209,6 +210,21 @@ def compare_blocks(rows: pa.Table) -> pa.Table:
         found_x += [x] * int(good.sum())
         found_y += y[good].tolist()
         found_n += agreement[good].tolist()
+    return found_x, found_y, found_n
+
+
+def likely_members(rows: pa.Table) -> pa.Table:
+    """The rows (band, bucket, i, j, block, node, class), without signatures, of the nodes that have a likely partner here."""
+    x, y, _ = _likely(rows, np.arange(rows.num_rows))
+    return rows.select(_MEMBERS.names).take(pa.array(np.unique(np.array(x + y, np.int64)))).cast(_MEMBERS)
+
+
+def compare_blocks(rows: pa.Table) -> pa.Table:
+    """Links between nodes of two blocks of one bucket (or within one), given as (band, bucket, i, j, block, node, class, sig, size, items): enough of them to join all classes that have a link here."""
+    order = np.argsort(rows["node"].to_numpy(), kind="stable")
+    node, group = (rows[c].to_numpy()[order] for c in ("node", "class"))
+    sets = [np.frombuffer(rows["items"][at].as_buffer(), np.uint64) for at in order.tolist()]  # views of the Arrow rows
+    found_x, found_y, found_n = _likely(rows, order)
     parent = {g: g for g in np.unique(group).tolist()}
 
     def root(g: int) -> int:
@@ -235,8 +251,11 @@ def full_comparison(met: DataFrame, classes: DataFrame, sets: DataFrame) -> Data
     dealt = known.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     paired = paired.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    rows = paired.join(sets, "node").select("band", "bucket", "i", "j", "block", "node", "class", "sig", "items")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare_blocks, "a long, b long")
+    signed = sets.select("node", "sig", F.expr("octet_length(items) div 8").alias("size"))
+    rows = paired.join(signed, "node").select("band", "bucket", "i", "j", "block", "node", "class", "sig", "size")
+    members = rows.groupBy("bucket", "i", "j").applyInArrow(likely_members, "band int, bucket long, i int, j int, block int, node long, class long")
+    whole = members.join(sets.withColumn("size", F.expr("octet_length(items) div 8")), "node")
+    return whole.select("band", "bucket", "i", "j", "block", "node", "class", "sig", "size", "items").groupBy("bucket", "i", "j").applyInArrow(compare_blocks, "a long, b long")
 
 
 def near_classes(links: DataFrame) -> DataFrame:
@@ -246,17 +265,27 @@ def near_classes(links: DataFrame) -> DataFrame:
     return lowest.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("class"))
 
 
+def _with_least(edges: DataFrame, key: str, other: str) -> DataFrame:
+    """Adds m, the least ``other`` of each row's key. Rows of one key are dealt over SALTS parts, each of which gets m: a part has at least one row, so there are no more copies of m than rows."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(F.min(other).alias("m"))
+    least = parts.groupBy(key).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return salted.join(least.select(key, "m", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that each node is connected to; nodes without links, and the smallest ones, are left out."""
     edges = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low")
     state = None
     while True:
         both = edges.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(edges.select(F.col("low").alias("u"), F.col("high").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low"))
-        lowest = large.groupBy("high").agg(F.min("low").alias("m"))
-        small = large.join(lowest, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low")).unionByName(lowest.select("high", F.col("m").alias("low"))).distinct()
-        edges = stash(small, "edges")
+        large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("high"), F.least("u", "m").alias("low")).distinct()
+        small = _with_least(large, "high", "low")
+        # a node's own row comes from its part with the least neighbour
+        small = small.select(F.when(F.col("low") == F.col("m"), F.col("high")).otherwise(F.col("low")).alias("high"), F.col("m").alias("low")).distinct()
+        before, edges = edges, stash(small, "edges")
+        if state is not None:
+            discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("class"))
@@ -283,6 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stash(compare_pairs(star, sets).unionByName(twice), "links")
     more = stash(full_comparison(met, near_classes(links), sets), "links")
     classes = components(links.unionByName(more))
+    discard(met, sets, links, more)  # classes and what follows read nodes, signed and the last edges alone
     of_key = nodes.join(classes, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
     return signed.join(of_key, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"))
 
