@@ -15,21 +15,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
-from tallymill.llm.common import short_batches, stash, table, with_fields
+from tallymill.llm.common import stash, table, with_fields
 
 #: Base rules, as fixed by the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Feature -> (numerator, scale, denominator, two-sided, least width of the fence above the third quartile).
+#: Feature -> (numerator, scale, denominator, two-sided, quantiles of the fence in percent, tolerance).
+#: A share that ordinary texts hardly have marks junk, of which a source may hold a lot: its fence rests on the quartiles. Of others
+#: ordinary texts have long tails: the fence lies beyond the highest hundredth.
 FEATURES = {
-    "symbols": ("n_symbols", 1000, "n_words", False, 100),
-    "shout": ("n_upper", 1000, "word_chars", False, 150),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", False, 500),
-    "repeats": ("n_repeat_words", 1000, "n_words", False, 350),
-    "word_length": ("word_chars", 100, "n_words", True, 200),
+    "symbols": ("n_symbols", 1000, "n_words", False, (25, 75), 20),
+    "shout": ("n_upper", 1000, "word_chars", False, (75, 99), 20),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines", False, (75, 99), 20),
+    "repeats": ("n_repeat_words", 1000, "n_words", False, (75, 99), 20),
+    "word_length": ("word_chars", 100, "n_words", True, (25, 75), 20),
 }
-#: A fence stands this many interquartile ranges off the quartiles.
-FENCE = 3
+#: A fence stands this many times the distance of its two quantiles off them, by the lower quantile in percent; the tolerance at least.
+FENCE = {25: 3, 75: 1}
+QUANTILES = (25, 75, 99)
 #: A (language, source) with fewer passing documents uses its language's sketch, a language with fewer the corpus's.
 MIN_GROUP = 100
 #: Up to so many (language, source) rows of five small numbers are broadcast; beyond, the join is shuffled.
@@ -73,7 +76,6 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None, text_col: str =
                 counts = zip(*map(count_text, part.column(position).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[:position], *[pa.array(c, pa.int64()) for c in counts]], [*keep, *COUNTS])
 
-    short_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_whole_text"))
     return rows.mapInArrow(run, with_fields(rows.schema[:position], {c: LongType() for c in COUNTS}))
 
@@ -83,7 +85,7 @@ def base_failed() -> Column:
 
 
 def _value(name: str) -> Column:
-    numerator, scale, denominator, _, _ = FEATURES[name]
+    numerator, scale, denominator, *_ = FEATURES[name]
     return F.expr(f"{scale} * {numerator} div greatest({denominator}, 1)")
 
 
@@ -98,30 +100,30 @@ def sketches(counted: DataFrame) -> DataFrame:
     return counted.where(~base_failed()).select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.feature", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, feature, total, q25, q75) of merged sketches. The window runs over the buckets of a histogram, never over documents."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, total, q25, q75, q99) of merged sketches. The window runs over the buckets of a histogram, never over documents."""
     merged = sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "feature")
     ranked = merged.select("*", F.sum("n").over(by).alias("total"), F.sum("n").over(by.orderBy("bucket")).alias("upto"))
     at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-    return ranked.groupBy(*keys, "feature", "total").agg(at(25).alias("q25"), at(75).alias("q75"))
+    return ranked.groupBy(*keys, "feature", "total").agg(*[at(p).alias(f"q{p}") for p in QUANTILES])
 
 
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, <feature>_high ..., word_length_low): the fences of each (language, source), from its own sketch or the first larger one with enough documents. Null languages and sources are groups like others."""
     groups = sketch.select("lang", "source", "feature").distinct()
-    own, lang, all_ = (_quartiles(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
+    own, lang, all_ = (_quantiles(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
     rows = groups.alias("g")
     for name, level, keys in (("own", own, ["lang", "source"]), ("lang", lang, ["lang"]), ("all", all_, [])):
         rows = rows.join(level.alias(name), [F.col(f"g.{k}").eqNullSafe(F.col(f"{name}.{k}")) for k in [*keys, "feature"]])
     pick = lambda q: F.when(F.col("own.total") >= min_group, F.col(f"own.{q}")).when(F.col("lang.total") >= min_group, F.col(f"lang.{q}")).otherwise(F.col(f"all.{q}"))
-    rows = rows.select("g.lang", "g.source", "g.feature", pick("q25").alias("q25"), pick("q75").alias("q75"))
+    rows = rows.select("g.lang", "g.source", "g.feature", *[pick(f"q{p}").alias(f"q{p}") for p in QUANTILES])
     sides = []
-    for name, (_, _, _, two_sided, least) in FEATURES.items():
-        is_it, width = F.col("feature") == name, F.greatest(FENCE * (F.col("q75") - F.col("q25")), F.lit(least))
-        sides.append(F.max(F.when(is_it, F.col("q75") + width)).alias(f"{name}_high"))
+    for name, (_, _, _, two_sided, (low, high), tolerance) in FEATURES.items():
+        is_it, width = F.col("feature") == name, F.greatest(FENCE[low] * (F.col(f"q{high}") - F.col(f"q{low}")), F.lit(tolerance))
+        sides.append(F.max(F.when(is_it, F.col(f"q{high}") + width)).alias(f"{name}_high"))
         if two_sided:
-            sides.append(F.max(F.when(is_it, F.col("q25") - width)).alias(f"{name}_low"))
+            sides.append(F.max(F.when(is_it, F.col(f"q{low}") - width)).alias(f"{name}_low"))
     return rows.groupBy("lang", "source").agg(*sides)
 
 
@@ -131,7 +133,7 @@ def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
     renamed = fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in fences.columns[2:]])
     small = F.broadcast(renamed) if fences.count() <= BROADCAST_GROUPS else renamed
     within = F.lit(True)
-    for name, (_, _, _, two_sided, _) in FEATURES.items():
+    for name, (_, _, _, two_sided, *_) in FEATURES.items():
         within &= _value(name) <= F.col(f"_{name}_high")
         if two_sided:
             within &= _value(name) >= F.col(f"_{name}_low")
@@ -157,14 +159,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_VALUES = " UNION ALL ".join(f"SELECT doc_key, lang, source, base_failed, '{f}' AS feature, {scale} * {numerator} // greatest({denominator}, 1) AS v FROM base" for f, (numerator, scale, denominator, _, _) in FEATURES.items())
+_VALUES = " UNION ALL ".join(f"SELECT doc_key, lang, source, base_failed, '{f}' AS feature, {scale} * {numerator} // greatest({denominator}, 1) AS v FROM base" for f, (numerator, scale, denominator, *_) in FEATURES.items())
 
 
 def _fence_sql() -> str:
     out = []
-    for name, (_, _, _, two_sided, least) in FEATURES.items():
-        width = f"greatest({FENCE} * (q75 - q25), {least})"
-        out.append(f"(feature = '{name}' AND (v > q75 + {width}{f' OR v < q25 - {width}' if two_sided else ''}))")
+    for name, (_, _, _, two_sided, (low, high), tolerance) in FEATURES.items():
+        width = f"greatest({FENCE[low]} * (q{high} - q{low}), {tolerance})"
+        out.append(f"(feature = '{name}' AND (v > q{high} + {width}{f' OR v < q{low} - {width}' if two_sided else ''}))")
     return " OR ".join(out)
 
 
@@ -172,7 +174,7 @@ def _level_sql(name: str, keys: str) -> str:
     by = f"{keys}, " if keys else ""
     return f"""{name}_h AS (SELECT {by}feature, bucket, count(*) AS n FROM bucketed WHERE NOT base_failed GROUP BY {by}feature, bucket),
 {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {by}feature) AS total, sum(n) OVER (PARTITION BY {by}feature ORDER BY bucket) AS upto FROM {name}_h),
-{name}_q AS (SELECT {by}feature, total, min(bucket) FILTER (WHERE 100 * upto >= 25 * total) AS q25, min(bucket) FILTER (WHERE 100 * upto >= 75 * total) AS q75 FROM {name}_c GROUP BY {by}feature, total)"""
+{name}_q AS (SELECT {by}feature, total, {", ".join(f"min(bucket) FILTER (WHERE 100 * upto >= {p} * total) AS q{p}" for p in QUANTILES)} FROM {name}_c GROUP BY {by}feature, total)"""
 
 
 def verdict_sql(documents: str = "documents") -> str:
@@ -191,8 +193,7 @@ base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_P
 vals AS ({_VALUES}),
 bucketed AS (SELECT *, (v >> greatest(0, length(bin(v)) - 7)::BIGINT) << greatest(0, length(bin(v)) - 7)::BIGINT AS bucket FROM vals),
 {_level_sql("own", "lang, source")}, {_level_sql("lng", "lang")}, {_level_sql("whole", "")},
-fenced AS (SELECT b.doc_key, b.feature, b.v, CASE WHEN o.total >= {MIN_GROUP} THEN o.q25 WHEN l.total >= {MIN_GROUP} THEN l.q25 ELSE a.q25 END AS q25,
-  CASE WHEN o.total >= {MIN_GROUP} THEN o.q75 WHEN l.total >= {MIN_GROUP} THEN l.q75 ELSE a.q75 END AS q75 FROM vals b
+fenced AS (SELECT b.doc_key, b.feature, b.v, {", ".join(f"CASE WHEN o.total >= {MIN_GROUP} THEN o.q{p} WHEN l.total >= {MIN_GROUP} THEN l.q{p} ELSE a.q{p} END AS q{p}" for p in QUANTILES)} FROM vals b
   JOIN own_q o ON b.lang IS NOT DISTINCT FROM o.lang AND b.source IS NOT DISTINCT FROM o.source AND b.feature = o.feature
   JOIN lng_q l ON b.lang IS NOT DISTINCT FROM l.lang AND b.feature = l.feature JOIN whole_q a ON b.feature = a.feature),
 odd AS (SELECT DISTINCT doc_key FROM fenced WHERE {_fence_sql()}),
