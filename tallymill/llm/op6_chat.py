@@ -2,8 +2,11 @@
 
 A log holds events of a conversation: ``delta`` adds text to a message, ``edit`` replaces the message's text so far, ``regenerate``
 empties the message and drops the messages after it that were begun before, ``message`` opens a message with its role and text.
-Events are folded by message, in order of ``seq``, so that a long conversation is many small groups; messages are then rendered in
-chunks of CHUNK turns, in order.
+Events are folded by message, in order of ``seq``, so that a long conversation is many small groups; which messages a regeneration
+drops, and how they are rendered, is found in chunks of CHUNK turns, in order.
+
+The query makes such a log of every conversation: each row is opened, streamed in pieces, and on shares of the rows drafted and edited,
+or begun falsely, answered, and regenerated; what is folded is the row's own text again.
 
 The template is ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line feed. Inside roles and texts a backslash is
 doubled and ``<|`` becomes ``<\\|``, so control strings cannot occur; a line feed in a role becomes ``\\n``.
@@ -18,6 +21,8 @@ from tallymill.llm.common import table
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns in a row of formatted output.
 CHUNK = 64
+#: Code points of a streamed piece.
+PIECE = 256
 #: The role whose texts are learned.
 LEARNED = "assistant"
 
@@ -45,44 +50,73 @@ def fold(events: DataFrame) -> DataFrame:
 
     ``turn`` is a message's place in its conversation and ``copy`` tells messages at one place apart. A message's role is that of its
     latest event that names one; null roles and texts are empty. Events without a conversation form a conversation of their own.
-    Events of one message with equal ``seq`` apply in the order message, regenerate, edit, delta, then by text.
+    Events of one message with equal ``seq`` apply in the order message, regenerate, edit, delta, then by text; repeated events apply each.
+    Messages without a turn neither drop others nor are dropped. ``part`` (conversation and chunk) is added; an empty log gives no rows.
     """
+    events = in_chunks(events)
     rank = F.when(F.col("kind") == "message", 0).when(F.col("kind") == "regenerate", 1).when(F.col("kind") == "edit", 2).otherwise(3)
     event = F.struct("seq", rank.alias("rank"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    logs = events.groupBy("conv_id", "turn", "copy").agg(F.sort_array(F.collect_list(event)).alias("log"))
+    logs = events.groupBy("part", "turn", "copy").agg(F.sort_array(F.collect_list(event)).alias("log"))
     # what stands is the last event that sets a text, and the deltas after it
     at = F.greatest(F.coalesce(F.array_max(F.transform("log", lambda e, i: F.when(e["rank"] < 3, i))), F.lit(-1)), F.lit(-1))
     kept = F.transform(F.filter("log", lambda e, i: i >= at), lambda e: F.when(e["rank"] == 1, F.lit("")).otherwise(e["text"]))
     roles = F.filter("log", lambda e: e["role"].isNotNull())
-    messages = logs.select("conv_id", "turn", "copy", F.element_at("log", 1)["seq"].alias("begun"), F.coalesce(F.try_element_at(roles, F.lit(-1))["role"], F.lit("")).alias("role"), F.array_join(kept, "").alias("text"))
-    cuts = events.where(F.col("kind") == "regenerate").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("seq").alias("s"))
-    gone = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") > F.col("t")) & (F.col("begun") < F.col("s"))
-    return messages.join(cuts, gone, "left_anti").drop("begun")
+    own = F.array_max(F.transform(F.filter("log", lambda e: e["rank"] == 1), lambda e: e["seq"]))
+    messages = logs.select("part", "turn", "copy", F.element_at("log", 1)["seq"].alias("begun"), F.when(F.col("turn").isNotNull(), own).alias("cut"), F.coalesce(F.try_element_at(roles, F.lit(-1))["role"], F.lit("")).alias("role"), F.array_join(kept, "").alias("text"))
+    # the latest regeneration of an earlier turn: in earlier chunks, one row for each chunk, and in the message's own
+    last = F.max(F.when((F.col("kind") == "regenerate") & F.col("turn").isNotNull(), F.col("seq"))).alias("last")
+    before = Window.partitionBy("part.conv_id").orderBy("part.chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = events.groupBy("part").agg(last).select("part", F.max("last").over(before).alias("earlier")).where("earlier is not null")
+    above = Window.partitionBy("part").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    found = messages.join(earlier, "part", "left").withColumn("within", F.max("cut").over(above))
+    stays = F.col("turn").isNull() | ~(F.coalesce(F.col("earlier") > F.col("begun"), F.lit(False)) | F.coalesce(F.col("within") > F.col("begun"), F.lit(False)))
+    return found.where(stays).select("part", F.col("part.conv_id").alias("conv_id"), "turn", "copy", "role", "text")
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """Plain rows as a log: each opens a message. Rows that share a turn are numbered by role and text."""
-    by = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("conv_id", "turn", F.row_number().over(by).alias("copy"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+def in_chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Adds part, a struct of the conversation and the chunk of the turn; as one value it is a key even where its fields are null."""
+    return rows.withColumn("part", F.struct("conv_id", F.floor(F.col("turn") / chunk).alias("chunk")))
+
 
+def as_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A log whose fold is the given rows (conv_id, turn, role, text), and no other messages.
 
-def render(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(conv_id, chunk, formatted, loss): a row for each run of turns of a conversation, in order of chunk.
+    Rows that share a turn, repeated ones included, are numbered by role and text from 1. Each is opened and streamed in pieces. By a hash
+    of its place a quarter of the rows begin with a draft that an edit replaces, and a quarter of those with a turn with a false start
+    and an answer to it, at the next turn as number 0, both of which a regeneration takes back. Other columns are not looked at.
+    """
+    by = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("conv_id", "turn", F.row_number().over(by).alias("copy"), "role", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)).alias("pieces"))
+    way = F.pmod(F.crc32(F.concat_ws("|", "conv_id", "turn", "copy").cast("binary")), F.lit(4))
+    event = lambda n, kind, text=None, role=None, later=0: F.struct(F.lit(n).alias("n") if isinstance(n, int) else n.alias("n"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), (F.lit(None).cast("string") if text is None else text).alias("text"), F.lit(later).alias("later"))
+    streamed = lambda skipped: F.transform(F.slice("pieces", skipped + 1, F.greatest(F.size("pieces") - skipped, F.lit(0))), lambda p, i: event(i + 9, "delta", p))
+    opened = event(0, "message", F.lit(""), F.col("role"))
+    edited = F.concat(F.array(opened, event(1, "delta", F.lit("a draft")), event(2, "edit", F.coalesce(F.try_element_at("pieces", F.lit(1)), F.lit("")))), streamed(1))
+    again = F.concat(F.array(opened, event(1, "delta", F.lit("a false start")), event(2, "message", F.lit("an answer to it"), F.lit("user"), 1), event(3, "regenerate")), streamed(0))
+    log = F.when(way == 1, edited).when((way == 2) & F.col("turn").isNotNull(), again).otherwise(F.concat(F.array(opened), streamed(0)))
+    events = rows.select("conv_id", "turn", "copy", F.explode(log).alias("e"))
+    later = F.col("e.later") == 1
+    return events.select("conv_id", (F.col("turn") + F.col("e.later")).alias("turn"), F.when(later, 0).otherwise(F.col("copy")).alias("copy"), F.struct("turn", "copy", "e.n").alias("seq"), "e.kind", "e.role", "e.text")
+
+
+def render(messages: DataFrame) -> DataFrame:
+    """(conv_id, chunk, formatted, loss): a row for each part of a conversation, in order of chunk.
 
     ``formatted`` is the text for the model. ``loss`` lists (start, length) in code points of the learned texts in it, without the
-    marks around them. Turns with the same number follow by copy; null turns come first.
+    marks around them. Turns with the same number follow by copy; null turns come first; repeated messages are rendered each; an empty
+    table gives no rows.
     """
     piece = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    rows = messages.select("conv_id", F.floor(F.col("turn") / chunk).alias("chunk"), F.struct("turn", "copy", "role", piece.alias("head"), escape(F.col("text")).alias("body")).alias("t"))
-    turns = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = messages.select("part", F.struct("turn", "copy", "role", piece.alias("head"), escape(F.col("text")).alias("body")).alias("t"))
+    turns = rows.groupBy("part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     tail = F.lit(END + "\n")
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], tail)), "")
     size = lambda t: F.char_length(t["head"]) + F.char_length(t["body"]) + len(END) + 1
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     span = lambda at, t: F.array(F.struct((at + F.char_length(t["head"])).cast("int").alias("start"), F.char_length(t["body"]).cast("int").alias("length")))
     walked = F.aggregate("turns", empty, lambda acc, t: F.struct((acc["at"] + size(t)).alias("at"), F.when(t["role"] == LEARNED, F.concat(acc["spans"], span(acc["at"], t))).otherwise(acc["spans"]).alias("spans")))
-    return turns.select("conv_id", "chunk", formatted.alias("formatted"), walked["spans"].alias("loss"))
+    return turns.select("part.conv_id", "part.chunk", formatted.alias("formatted"), walked["spans"].alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
