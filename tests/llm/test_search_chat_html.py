@@ -38,6 +38,22 @@ def test_top_k_of_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, op3.top_k(vectors, F.col("vec_id") % 20 == 0).collect())) == brute_top(rows, 20, 5)
 
 
+def test_top_k_of_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.5]), (3, [9.0, 9.0])]
+    got = sorted(map(tuple, op3.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 4).collect()))
+    # each row of a repeated id asks and is found, and its rows share one list of the best
+    scored = sorted((-sum(int(256 * x) * int(256 * y) for x, y in zip(a, b)), c) for q, a in rows if q == 0 for c, b in rows if c)
+    assert got == [(0, n + 1, c, -s) for n, (s, c) in enumerate(scored[:4])]
+
+
+def test_products_beyond_64_bits(spark):
+    rows = [(0, [3e7, 3e7]), (1, [1.0, -1.0]), (2, [2.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, op3.top_k(vectors, F.col("vec_id") == 0).collect())) == brute_top(rows, 10, 5)
+    with pytest.raises(Exception, match="too large|OverflowError|int too big|out of"):
+        op3.top_k(spark.createDataFrame([(0, [3e7, 3e7]), (1, [3e7, 3e7])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
 def test_top_k_of_few_or_no_rows(spark):
     vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in op3.top_k(vectors, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
@@ -86,6 +102,27 @@ def test_events_fold(spark):
     assert op6.render(op6.fold(events.limit(0))).count() == 0
 
 
+def test_regenerations_drop_messages_of_other_chunks(spark):
+    n = 5 * op6.CHUNK
+    log = [(1, t, 0, t, "message", "user", f"old {t}") for t in range(n)]
+    log += [(1, 70, 0, n, "regenerate", None, None), (1, 70, 0, n + 1, "delta", None, "again"), (1, 71, 0, n + 2, "message", "user", "new"), (None, 200, 0, 1, "message", "user", "alone"), (1, None, 0, 0, "message", "user", "no turn")]
+    events = spark.createDataFrame(log, "conv_id long, turn long, copy int, seq long, kind string, role string, text string")
+    rows = [(r.conv_id, r.turn, r.text) for r in op6.fold(events.repartition(3)).collect()]
+    # the message at 71 is begun before the regeneration, so what is opened there later is still the same dropped message
+    expected = [(1, t, f"old {t}") for t in range(70)] + [(1, 70, "again"), (None, 200, "alone"), (1, None, "no turn")]
+    assert sorted(rows, key=str) == sorted(expected, key=str)
+
+
+def test_logs_hold_all_kinds_of_events(spark):
+    table = spark.createDataFrame([(c, t, "user", f"{c}é{t}\n" * 200, 1, 2, "x") for c in range(4) for t in range(30)], "conv_id long, turn long, role string, text string, copy int, seq int, kind string")
+    events = op6.as_events(table)
+    kinds = {r.kind: r.n for r in events.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["delta"] > 400 and min(kinds.values()) > 10
+    got = sorted((r.conv_id, r.turn, r.text) for r in op6.fold(events).collect())
+    assert got == sorted((r.conv_id, r.turn, r.text) for r in table.collect())
+    assert op6.digests(op6.render(op6.fold(op6.as_events(table.limit(0))))).count() == 0
+
+
 def test_chat_plan_is_native(spark):
     plan = op6.query(spark, FOLDER)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -112,9 +149,11 @@ def test_main_text(html, text):
 
 
 def test_pages_table(spark):
-    rows = [(i, f"u{i}", html, "clash") for i, (html, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>", None)]
+    rows = [(i, f"u{i}", html, "clash") for i, (html, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>", None), (3, "u3", PAGES[3][0], "clash")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    out = {r.page_id: r.text for r in op10.extract(pages).collect()}
+    found = op10.extract(pages).collect()
+    assert len(found) == len(rows)
+    out = {r.page_id: r.text for r in found}
     assert out == {i: t for i, (_, t) in enumerate(PAGES)} | {None: "x"}
     assert op10.extract(pages.limit(0)).count() == 0
 
@@ -137,6 +176,10 @@ def test_pages_keep_their_article(spark):
         assert op10.main_text(r.html) == "\n\n".join(p for p in parts if p)
 
 
+def test_signs_without_width_do_not_part_words():
+    assert op10.main_text("<p>one\u200btwo\ufeff three\u00a0four</p>") == "one\u200btwo\ufeff three four"
+
+
 def test_deep_and_broken_markup():
     assert op10.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
     assert op10.main_text("<p>a</b></div><p>b<") in ("a\n\nb<", "a\n\nb")

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +25,6 @@ def test_files_hold_the_ids_of_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     path = new_path(spark, "test")
     op1.write_token_files(docs, path, WORDS)
     rows = op1.read_token_files(spark, path).collect()
@@ -39,6 +39,25 @@ def test_files_hold_the_ids_of_the_library(spark, docs):
     assert ids == sorted(ids)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "abc", "Éa.", " ", "\n", "'s", "9"]), max_size=12).map("".join), st.booleans())
+def test_special_strings_are_the_librarys_matter(text, special_as_text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = special_as_text
+    assert np.frombuffer(op1.encode_texts([text], WORDS, special_as_text)[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_is_not_taken_apart():
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(other)
+    for got, text in zip(op1.encode_texts([t or "" for t in TEXTS], other), TEXTS, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
 def test_one_document_is_read_alone(spark, docs):
     path = new_path(spark, "test")
     op1.write_token_files(docs, path, WORDS)
@@ -82,6 +101,26 @@ def test_encoding_equals_the_library(coder, tiktoken_encoding, text):
     assert np.frombuffer(coder.encode([text])[0], np.int32).tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("pattern", [r"\p{L}+|[^\p{L}]", r" ?\S+|\s+"])
+def test_another_pattern_is_cut_by_itself(pattern):
+    import tiktoken
+
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=op9.read_ranks(RANKS), special_tokens={})
+    texts = [t or "" for t in TEXTS]
+    for got, text in zip(op9.Coder(RANKS, pattern).encode(texts), texts, strict=True):
+        assert np.frombuffer(got, np.int32).tolist() == library.encode_ordinary(text)
+
+
+def test_digests_of_the_whole_query(spark, tiktoken_encoding):
+    import hashlib
+
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op9.query(spark, "/root/testdata/sf0.001").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = tiktoken_encoding.encode_ordinary(r.text or "")
+        assert got.pop(r.doc_id) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    assert not got
+
+
 def test_round_trip_and_odd_rows(spark, docs, tiktoken_encoding):
     rows = op9.decode(op9.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
     assert len(rows) == docs.count()
@@ -144,10 +183,15 @@ def test_attribution_by_brute_force(sizes, lines):
 
 
 def test_sections_tile_texts(spark, docs):
-    rows = op8.count_sections(docs.where("doc_id is not null and doc_id <> 3"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    everything = op8.count_sections(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert op8.count_sections(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    rows = everything.collect()
     import tiktoken
 
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op9.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    # the row without an id, and the two rows of one id
+    assert [r.char_end for r in rows if r.doc_id is None] == [len("no id")]
+    assert sum(r.n_tokens for r in rows if r.doc_id == 3) == len(library.encode_ordinary(TEXTS[3])) + len(library.encode_ordinary("same id again"))
     for doc, text in enumerate(TEXTS):
         if doc == 3:
             continue
@@ -158,3 +202,22 @@ def test_sections_tile_texts(spark, docs):
         assert sum(r.n_tokens for r in own) == sum(r.n_started for r in own) == n
         assert abs(sum(r.token_share for r in own) - n) < 1e-6
         assert len(own) == max(1, len(text.splitlines()) if "\n" in text else 1)
+
+
+def test_section_counts_of_the_whole_query(spark):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op9.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rows = {}
+    for r in op8.query(spark, "/root/testdata/sf0.001").collect():
+        rows.setdefault(r.doc_id, {})[r.section] = (r.n_tokens, r.n_started)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        raw, at = (r.text or "").encode(), 0
+        owner = np.cumsum([0, *(np.frombuffer(raw, np.uint8)[:-1] == 10)]) if raw else np.zeros(0, np.int64)
+        expected = {s: [0, 0] for s in range(int(owner.max(initial=0)) + 1)}
+        for token in library.encode_ordinary(r.text or ""):
+            held = Counter(owner[at : at + len(library.decode_single_token_bytes(token))].tolist())
+            expected[max(sorted(held), key=held.__getitem__)][0] += 1
+            expected[int(owner[at])][1] += 1
+            at += sum(held.values())
+        assert rows[r.doc_id] == {s: tuple(n) for s, n in expected.items()}
