@@ -53,6 +53,14 @@ def sequence(a: str, b: str) -> float:
     return 100.0 * SequenceMatcher(None, a, b).ratio()
 
 
+def sequence_reaches(a: str, b: str, least: float) -> bool:
+    """Whether the matching blocks reach a score; bounds on it that are quick to compute come first."""
+    from difflib import SequenceMatcher
+
+    matcher = SequenceMatcher(None, a, b)
+    return all(100.0 * bound() >= least for bound in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio))
+
+
 def _column(score: Callable[[str, str], float]):
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[tuple[str, str], float] = {}

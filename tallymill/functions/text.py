@@ -6,14 +6,18 @@ from pyspark.sql import Column, functions as F
 
 # Prefixes that statements put before a label.
 NOTE_PREFIX = r"(?i)^(?:(?:Item|Note|Particulars)\s*\d*\s*(?:\([^)]*\))?\s*[:.\-]\s*)"
+# Fixed value: a number before a label.
 NUMBERED = r"^\d+[.)]\s*"
+# Fixed value: a letter before a label.
 LETTERED = r"(?i)^[a-z][.)]\s*"
 #: Labels too short to describe anything. Fixed value.
 PREFIX_ONLY = r"(?i)^(?:\(?[a-z0-9]{1,3}\)?\.?|[IVXLC]{1,4}\.?|SL\.?\s*NO\.?|NOTE\s*NO\.?|PARTICULARS)$"
 #: Names of sheets that hold a summary, and of those that never do. Fixed values.
 SUMMARY_SHEET = r"(?i)(?:balance\s*sheet|b\.?\s*s\.?|p\s*[&.]\s*l|profit|loss|income|expense|cash\s*flow|notes?\b|co\.?,?\s*deprn|company\s*depreciation|trading|manufacturing|receipt\s*(?:and|&)\s*payment|statement|particulars)"
 SKIPPED_SHEET = r"(?i)(?:ledger|g\.?\s*l\.?|general\s*ledger|ageing|aging|msme|related\s*party|ratio|audit|director|report|annexure|stock\s*(?:register|detail|ledger)|day\s*book|journal|voucher|bank\s*book|gst|tds|tax\s*(?:detail|computation)|party|sundry|debtor|creditor|memo|comparison|capital\s*wip|emi|e\.m\.i|def\s*tax|deferred\s*tax|depn\s*[-_]?\s*it|depreciation\s*chart|sub\s*notes?\b|pivot|share\s*hold|trial\s*balance|\btb\b)"
+# Fixed value: names of sheets with notes.
 NOTE_SHEET = r"(?i)(?:notes?\b|schedule|particular|statement\s*of)"
+# Fixed value: names of sheets with the statements themselves.
 FACE_SHEET = r"(?i)(?:balance\s*sheet|b\.?\s*s\.?|p\s*[&.]\s*l|profit\s*(?:and|&)?\s*loss|income\s*statement|cash\s*flow|trading|manufacturing|receipt\s*(?:and|&)\s*payment)"
 #: A company's name ends with its legal form. Fixed value.
 COMPANY = r"(?i)([A-Z][A-Za-z\s&.\-]+?(?:Private\s+Limited|Pvt\.?\s*Ltd\.?|Corporation\s+Limited|Limited|Ltd\.?|LLP))"
@@ -147,3 +151,9 @@ def occurrences(text: Column, term: Column) -> Column:
     """How often a term stands in a text, without regard to case or overlap."""
     low, term = F.lower(text), F.lower(term)
     return F.when(F.length(term) == 0, 0).otherwise(((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)).cast("int"))
+
+
+def first_pattern(x: Column, patterns: tuple[str, ...]) -> Column:
+    """The first of the patterns that is part of a text, whatever its case; null if none is."""
+    low = F.lower(x)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(p.lower())), p) for p in patterns])

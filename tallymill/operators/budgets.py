@@ -1,18 +1,30 @@
-"""Running costs against a budget that begins anew once it is used up: each row depends on where the last budget ended."""
+"""Running costs against a budget that begins anew once it is exceeded: each row depends on where the last budget ended."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
 
-BUDGET = 20_000
-SCHEMA = "source string, doc_id long, spent long"
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 
-def running_cost(rows: pd.DataFrame) -> pd.DataFrame:
-    """The cost so far of each row of a group (source, doc_id, n_chars) in order of doc_id; after a row that reaches the budget it starts at 0."""
-    rows, spent, out = rows.sort_values("doc_id"), 0, []
-    for cost in rows["n_chars"]:
-        spent += int(cost)
-        out.append(spent)
-        spent = 0 if spent >= BUDGET else spent
-    return pd.DataFrame({"source": rows["source"], "doc_id": rows["doc_id"], "spent": out})
+def running_cost(rows: DataFrame, key: str, order: list[str], cost: str, budget: int) -> DataFrame:
+    """rows with ``spent``: the cost so far of the row's key, in order; at a row before which more than the budget was spent it begins anew.
+
+    What is spent follows from all rows before, so the rows of a key pass one task in order; the task holds a batch and one number.
+    """
+    schema = StructType([*rows.schema, StructField("spent", LongType())])
+    at, costs = rows.columns.index(key), rows.columns.index(cost)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, spent = object(), 0
+        for batch in batches:
+            out = []
+            for k, c in zip(batch.column(at).to_pylist(), batch.column(costs).to_pylist(), strict=True):
+                spent = 0 if k != here or spent > budget else spent
+                here, spent = k, spent + (c or 0)
+                out.append(spent)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from tallymill.functions import amounts as A
 
 
-def placed(items: DataFrame, fields: DataFrame, out_unit: str = "lakhs") -> DataFrame:
+def placed(items: DataFrame, fields: DataFrame, first: DataFrame, out_unit: str = "lakhs") -> DataFrame:
     """Items with their row (its own, or that of the field's name), their year's column counted from the client's first year, and their amount in the output unit; items without a row or column are left out.
 
-    items: client_id, document_id, line_no, part_id, cma_row, field_name, financial_year, source_unit, amount.
+    items: client_id, document_id, line_no, part_id, cma_row, field_name, financial_year, source_unit, amount. first: client_id, base.
     """
-    first = items.groupBy("client_id").agg(F.min("financial_year").alias("base"))
     by_name = fields.select(F.col("name").alias("field_name"), F.col("cma_row").alias("named_row"))
     rows = items.join(by_name, "field_name", "left").join(first, "client_id")
     row = F.coalesce(F.nullif(F.col("cma_row"), F.lit(0)), F.col("named_row"))

@@ -1,121 +1,168 @@
-"""Matching of texts against rules: exact first, then by score, for all pairs that a shared token or enough common characters let reach it."""
+"""Matching of texts against rules by their scores, without forming pairs that can't reach the least score.
 
-from __future__ import annotations
+Two texts with a ratio of t percent or more, of lengths that add up to s, have a common subsequence of L >= t s / 200 characters. Every
+character outside it breaks at most one of the L + 1 pairs of neighbours, ends counted, that the subsequence keeps: so they share at least
+3 L - s + 1 pairs of neighbouring characters (L characters, where the least score is too low for that bound). Neighbours in a text whose
+tokens are parted by single spaces are the same in whatever order the tokens stand, so the bound holds for every score here that compares
+whole texts. Texts that share so many of their grams share one among the rarest few of each (prefix filtering): these few are joined on.
+
+A token set score is also high where the tokens of one side nearly all stand in the other, however much else that has: then they share one
+of the rarest tokens of that side. Both joins lose no pair; scores are computed for what is left.
+"""
 
-from collections import Counter
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallymill.functions import ratios
 from tallymill.operators.ranking import first_per_key, top_per_key
 
-#: The least score by default.
-LEAST = 75.0
-#: Texts are packed into blocks of about this many, of like length.
-BLOCK = 500
-#: Lengths of so many characters share a band.
-BAND = 4
+#: The least score by default, and that of a rule which may be boosted.
+LEAST, LEAST_BOOSTED = 75.0, 80.0
+#: Rules of a text that boosts choose from, and the boosts: of the industry, the context and the sheet. Fixed values.
+CHOICE, BOOSTS = 10, (10, 10, 5)
 #: White space as Python's split takes it.
 SPACE = r"(?U)[\s\x1C-\x1F]+"
+#: Above this score two thirds of the characters are common, and pairs of neighbours are looked at instead of single characters.
+PAIRS_FROM = 70.0
+#: A gram that more texts have among their rarest is dealt over several tasks.
+HOT = 2000
+
+_SCORES = {"token_sort": ratios.token_sort_ratio, "token_set": ratios.token_set_ratio}
+_EPS = 1e-6
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE), lambda t: t != "")
+
+
+def _grams(text: Column, width: int) -> Column:
+    """The characters of a text, or its pairs of neighbours with a space at both ends, each with the number of its occurrence."""
+    whole = text if width == 1 else F.concat(F.lit(" "), text, F.lit(" "))
+    n = F.char_length(whole) - (width - 1)
+    each = F.array_sort(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(whole, i, F.lit(width)))).otherwise(F.array(F.lit(""))))
+    return F.transform(each, lambda g, i: F.concat(g, F.lit("\x00"), (i + 1 - F.array_position(each, g)).cast("string")))
+
+
+def _signed(texts: DataFrame, name: str, kind: str, width: int) -> DataFrame:
+    """(block, name, size, grams, tokens) of different texts: tokens once each, their grams, and the length of the text that they make."""
+    rows = texts.select("block", name).where(F.col(name).isNotNull()).distinct()
+    tokens = _tokens(F.col(name))
+    tokens = tokens if kind == "token_sort" else F.array_distinct(tokens)
+    rows = rows.withColumn("tokens", tokens).withColumn("joined", F.array_join("tokens", " "))
+    return rows.select("block", name, F.char_length("joined").alias("size"), _grams(F.col("joined"), width).alias("grams"), F.array_distinct("tokens").alias("tokens"))
+
+
+def _in_order(left: DataFrame, right: DataFrame, names: tuple[str, str], items: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their items in one order, the rarest of both first."""
+    exploded = [side.select("block", n, F.explode(items).alias("item")) for side, n in zip((left, right), names, strict=True)]
+    counts = exploded[0].select("item").unionByName(exploded[1].select("item")).groupBy("item").agg(F.count("*").alias("n"))
+    out = []
+    for side, rows, n in zip((left, right), exploded, names, strict=True):
+        ordered = rows.join(counts, "item").groupBy("block", n).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda s: s["item"]).alias(items))
+        out.append(side.drop(items).join(ordered, ["block", n]))
+    return out[0], out[1]
+
+
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left and right joined on (block, item). The rows of an item that many on the left have are dealt over several tasks, each of which gets the item's rows of the right."""
+    hot = left.groupBy("block", "item").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("text"), F.col("parts")).cast("int")
+    dealt = left.join(hot, ["block", "item"], "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("parts")
+    copied = right.join(hot, ["block", "item"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, ["block", "item", "part"])
+
+
+def _pairs_by_grams(texts: DataFrame, rules: DataFrame, least: float, width: int) -> DataFrame:
+    """(block, text, rule) of the pairs that share as many grams as a ratio of least needs; each pair once."""
+    steep, flat = (3 * least / 200 - 1, 1.0) if width == 2 else (least / 200, 0.0)
+    needed = lambda total: F.ceil(steep * total + flat - _EPS)
+    # a partner is at least this share as long
+    share = least / (200 - least)
+    prefix = lambda side, name: side.select("block", name, F.col("size").alias(f"{name}_size"), F.col("grams").alias(f"{name}_grams"), F.explode(F.slice("grams", F.lit(1), F.greatest(F.size("grams") - F.greatest(needed(F.col("size") * (1 + share)), F.lit(1)) + 1, F.lit(0)).cast("int"))).alias("item"))
+    left, right = _in_order(texts, rules, ("text", "rule"), "grams")
+    met = _meet(prefix(left, "text"), prefix(right, "rule"))
+    total, both = F.col("text_size") + F.col("rule_size"), F.array_intersect("text_grams", "rule_grams")
+    fits = 200 * F.least("text_size", "rule_size") >= least * total - _EPS
+    # of the grams that a pair shares the first one counts
+    return met.where(fits).withColumn("both", both).where((F.element_at("both", 1) == F.col("item")) & (F.size("both") >= needed(total))).select("block", "text", "rule")
+
+
+def _pairs_by_tokens(one: DataFrame, other: DataFrame, least: float, names: tuple[str, str]) -> DataFrame:
+    """(block, text, rule) of the pairs in which the tokens that both have are so much of the first side that these alone reach least."""
+    weight = lambda tokens: F.aggregate(tokens, F.lit(0), lambda t, w: t + F.char_length(w) + 1)
+    left, right = _in_order(one, other, names, "tokens")
+    share = least / (200 - least)
+    # the rarest tokens without which the others are too few
+    first = F.filter("tokens", lambda t, i: weight(F.slice("tokens", i + 1, F.size("tokens"))) >= share * F.col("size") + 1 - _EPS)
+    left = left.select("block", F.col(names[0]).alias("text"), "size", F.col("tokens").alias("own"), F.explode(first).alias("item"))
+    right = right.select("block", F.col(names[1]).alias("rule"), F.col("tokens").alias("others"), F.explode("tokens").alias("item"))
+    met = _meet(left, right).withColumn("both", F.array_intersect("own", "others"))
+    enough = weight(F.col("both")) >= share * F.col("size") + 1 - _EPS
+    found = met.where((F.element_at("both", 1) == F.col("item")) & enough).select("block", "text", "rule")
+    return found if names[0] == "text" else found.select("block", F.col("rule").alias("text"), F.col("text").alias("rule"))
+
+
+def scored_pairs(texts: DataFrame, rules: DataFrame, kind: str, least: float) -> DataFrame:
+    """(block, text, rule, score): all pairs of different texts and rules (block, text) and (block, rule) of one block that score least or more, a number above 0.
+
+    kind: token_sort or token_set. Null texts have no pairs; equal texts are a pair; a text without tokens is like another one by token
+    sort, and like none by token set.
+    """
+    width = 2 if least > PAIRS_FROM else 1
+    left, right = _signed(texts, "text", kind, width), _signed(rules, "rule", kind, width)
+    pairs = _pairs_by_grams(left, right, least, width)
+    if kind == "token_set":
+        pairs = pairs.unionByName(_pairs_by_tokens(left, right, least, ("text", "rule"))).unionByName(_pairs_by_tokens(right, left, least, ("rule", "text"))).distinct()
+    return pairs.withColumn("score", _SCORES[kind](F.col("text"), F.col("rule"))).where(F.col("score") >= least)
 
 
-def _tokens(column: str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.col(column), SPACE), lambda t: t != ""))
+def _scored(texts: DataFrame, rules: DataFrame, kind: str, least: float) -> DataFrame:
+    """(text, score, rule and the columns of rules): rules that a text matches."""
+    one = lambda rows, name: rows.select(F.lit(0).alias("block"), name)
+    return scored_pairs(one(texts, "text"), one(rules, "rule"), kind, least).drop("block").join(rules, "rule")
 
 
-def _blocks(texts: DataFrame, name: str) -> DataFrame:
-    """(name, lo, hi): arrays of different texts; lo and hi bound the lengths of their tokens."""
-    rows = texts.select(F.col(name), F.char_length(F.concat_ws(" ", _tokens(name))).alias("lo"), F.char_length(name).alias("hi")).withColumn("band", F.expr(f"lo div {BAND}"))
-    # a band is a few characters of length, so their number is bounded by the longest text
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
-    packed = rows.join(F.broadcast(sizes), "band").groupBy("band", F.pmod(F.xxhash64(name), F.col("slots")).alias("slot"))
-    return packed.agg(F.collect_list(name).alias(name), F.min("lo").alias(f"{name}_lo"), F.max("hi").alias(f"{name}_hi")).drop("band", "slot")
+def top_rules(texts: DataFrame, rules: DataFrame, kind: str = "token_sort", k: int = 5, least: float = LEAST) -> DataFrame:
+    """(text_id, rank, rule_id, score): up to k rules (rule_id, rule) of each text (text_id, text), best first, the smaller rule_id first among equals."""
+    best = top_per_key(_scored(texts, rules.select("rule_id", "rule"), kind, least), ["text"], k, F.desc("score"), "rule_id")
+    return texts.select("text_id", "text").join(best, "text").select("text_id", "rank", "rule_id", "score")
 
 
-def _signs(texts: list[str]) -> tuple[list[Counter], np.ndarray]:
-    """Counts of the characters of each text's tokens, and the lengths of its different tokens; single spaces between tokens count."""
-    words = [t.split() for t in texts]
-    return [Counter(" ".join(w)) for w in words], np.array([len(" ".join(set(w))) for w in words], np.int64)
+def best_rule(texts: DataFrame, rules: DataFrame, kind: str = "token_set", least: float = LEAST, where: Column | None = None) -> DataFrame:
+    """(text_id, rule_id, score): the best of the rules for which ``where`` (over the columns of both sides) holds, equal texts among them; the smaller rule_id among equals."""
+    met = texts.join(_scored(texts, rules, kind, least), "text")
+    return first_per_key(met if where is None else met.where(where), ["text_id"], F.desc("score"), "rule_id").select("text_id", "rule_id", "score")
 
 
-def near(left: list[str], right: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs with enough common characters for a ratio of least, whatever their order; a part of the left texts at a time.
+def boosted_rule(texts: DataFrame, rules: DataFrame, least: float = LEAST_BOOSTED) -> DataFrame:
+    """(text_id, rule_id, score): the rule of each text that suits its industry and context best.
 
-    A common subsequence is no longer than the characters in common, counted with repeats, and these are an inner product over
-    (character, number of its occurrence). Repeated tokens count here and not in the lengths, so the bound holds with and without them.
-    """
-    (a, a_size), (b, b_size) = _signs(left), _signs(right)
-    most = [Counter(), Counter()]
-    for m, counts in zip(most, (a, b), strict=True):
-        for c in counts:
-            m |= c
-    start, width = {}, 0
-    for sign, n in (most[0] & most[1]).items():
-        start[sign], width = (width, n), width + n
-
-    def unary(counts: list[Counter]) -> np.ndarray:
-        out = np.zeros((len(counts), width), np.float32)
-        for row, c in zip(out, counts, strict=True):
-            for sign, n in c.items():
-                if sign in start:
-                    at, limit = start[sign]
-                    row[at : at + min(n, limit)] = 1
-        return out
-
-    others = unary(b).T
-    for i in range(0, len(a), 100):
-        common = unary(a[i : i + 100]) @ others
-        x, y = np.nonzero(200.0 * common >= least * (a_size[i : i + 100, None] + b_size[None, :]) - 1e-6)
-        yield x + i, y
-
-
-def near_texts(texts: DataFrame, rules: DataFrame, least: float) -> DataFrame:
-    """(text, rule): different texts and rules whose characters allow a ratio of least. Every block meets every block whose lengths allow it: the work grows with the square of the different texts, but only pairs that pass become rows."""
-    pairs = _blocks(texts, "text").crossJoin(_blocks(rules, "rule"))
-    # common characters are at most the shorter text
-    pairs = pairs.where(200 * F.least("text_hi", "rule_hi") >= least * (F.col("text_lo") + F.col("rule_lo")) - 1e-6).select("text", "rule")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                left, right = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for x, y in near(left, right, least):
-                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()).take(pa.array(x)), pa.array(right, pa.string()).take(pa.array(y))], ["text", "rule"])
-
-    return pairs.mapInArrow(run, "text string, rule string")
-
-
-def candidates(texts: DataFrame, rules: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (text_id, text, rule_id, rule, ...) that share a token or have the characters for a ratio of least: no pair is missing whose token sort or token set ratio is that high.
-
-    Without a common token both are ratios of the sorted tokens. Pairs are formed among different texts, and null texts have none.
+    texts: (text_id, text, industry, context); rules: (rule_id, rule, rule_industry, rule_context, sheet), null where a rule is for all. Looked at
+    are the rules with the text itself or, if there are none, its CHOICE best by token sort of least or more. Of these, rules of another
+    industry or of another context, where the text's is known, are passed over; the others' scores rise by BOOSTS for each of industry,
+    context and sheet that agree, beyond 100 too. If all are passed over, the best score counts as it is. Among equals the better score,
+    then the smaller rule_id.
     """
-    left, right = (t.select(c).where(F.col(c).isNotNull()).distinct() for t, c in ((texts, "text"), (rules, "rule")))
-    shared = left.select("text", F.explode(_tokens("text")).alias("token")).join(right.select("rule", F.explode(_tokens("rule")).alias("token")), "token")
-    pairs = shared.select("text", "rule").unionByName(near_texts(left, right, least)).distinct()
-    return texts.join(pairs, "text").join(rules, "rule")
-
-
-def best_rule(texts: DataFrame, rules: DataFrame, score: Column, least: float = LEAST, where: Column | None = None, added: float = 0.0) -> DataFrame:
-    """(text_id, rule_id, score): the best rule of each text that has one; an exact text scores 100 and is looked at first, then the higher score, then the smaller rule_id. added: the most by which score exceeds a ratio."""
-    exact = first_per_key(texts.join(rules, F.col("text") == F.col("rule")), ["text_id"], "rule_id").select("text_id", "rule_id", F.lit(100.0).alias("score"))
-    rest = texts.join(exact.select("text_id"), "text_id", "left_anti")
-    scored = candidates(rest, rules, least - added)
-    scored = (scored if where is None else scored.where(where)).withColumn("score", score).where(F.col("score") >= least)
-    return exact.unionByName(first_per_key(scored, ["text_id"], F.desc("score"), "rule_id").select("text_id", "rule_id", "score"))
-
-
-def top_rules(texts: DataFrame, rules: DataFrame, score: Column, k: int = 5, least: float = LEAST) -> DataFrame:
-    """(text_id, rank, rule_id, score): up to k rules of each text, best first."""
-    scored = candidates(texts, rules, least).withColumn("score", score).where(F.col("score") >= least)
-    return top_per_key(scored, ["text_id"], k, F.desc("score"), "rule_id").select("text_id", "rank", "rule_id", "score")
-
-
-def like_pairs(rows: DataFrame, score: Column, least: float = 90.0) -> DataFrame:
+    each = texts.select("text").distinct()
+    exact = each.join(rules, F.col("text") == F.col("rule")).withColumn("score", F.lit(100.0))
+    rest = each.join(rules.select(F.col("rule").alias("text")), "text", "left_anti")
+    near = top_per_key(_scored(rest, rules, "token_sort", least), ["text"], CHOICE, F.desc("score"), "rule_id").drop("rank")
+    met = texts.join(exact.unionByName(near), "text")
+    known = F.coalesce("context", F.lit("unknown"))
+    own_industry, own_context = F.col("rule_industry") == F.col("industry"), F.col("rule_context") == known
+    suits = (F.col("rule_industry").isNull() | F.coalesce(own_industry, F.lit(False))) & (F.col("rule_context").isNull() | own_context | (known == "unknown"))
+    sheet = F.lower("sheet")
+    own_sheet = (sheet.contains("balance") & (known == "bs")) | (sheet.contains("profit") & (known == "pl"))
+    rise = [F.when(F.coalesce(agrees, F.lit(False)), by).otherwise(0) for agrees, by in zip((own_industry, own_context, own_sheet), BOOSTS, strict=True)]
+    ranked = met.withColumn("suits", suits).withColumn("value", F.when(suits, F.col("score") + rise[0] + rise[1] + rise[2]).otherwise(F.col("score")))
+    return first_per_key(ranked, ["text_id"], F.desc("suits"), F.desc("value"), F.desc("score"), "rule_id").select("text_id", "rule_id", F.col("value").alias("score"))
+
+
+def like_pairs(rows: DataFrame, kind: str = "token_sort", least: float = 90.0) -> DataFrame:
     """(left_id, right_id, score): pairs of different rows (id, text, block, label) of one block with different labels and like texts."""
-    left = rows.select(F.col("id").alias("text_id"), "text", F.col("block").alias("b1"), F.col("label").alias("l1"))
-    right = rows.select(F.col("id").alias("rule_id"), F.col("text").alias("rule"), F.col("block").alias("b2"), F.col("label").alias("l2"))
-    pairs = candidates(left, right, least).where((F.col("text_id") < F.col("rule_id")) & (F.col("b1") == F.col("b2")) & (F.col("l1") != F.col("l2")))
-    return pairs.withColumn("score", score).where(F.col("score") >= least).select(F.col("text_id").alias("left_id"), F.col("rule_id").alias("right_id"), "score")
+    sides = [rows.select("block", F.col("text").alias(n)) for n in ("text", "rule")]
+    left = rows.select(F.col("id").alias("left_id"), "block", "text", F.col("label").alias("l1"))
+    right = rows.select(F.col("id").alias("right_id"), "block", F.col("text").alias("rule"), F.col("label").alias("l2"))
+    pairs = scored_pairs(*sides, kind, least).join(left, ["block", "text"]).join(right, ["block", "rule"])
+    return pairs.where((F.col("left_id") < F.col("right_id")) & (F.col("l1") != F.col("l2"))).select("left_id", "right_id", "score")

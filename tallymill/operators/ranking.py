@@ -25,3 +25,16 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by order, as one aggregate."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(*keys, *[f"_last.{c}" for c in rest])
+
+
+def running_sum(rows: DataFrame, key: str, order: str, value: Column, width: int = 4096) -> DataFrame:
+    """rows with ``upto``: the sum of value over the rows of its key up to this one, by a whole-number order without ties.
+
+    Keys are cut into slices of the order's range: sums of earlier slices come from one small row for each, and only the rows of a slice
+    are sorted in a task, however many a key has.
+    """
+    cut = rows.withColumn("_slice", F.struct(F.col(key).alias("key"), F.floor(F.col(order) / width).alias("n"))).withColumn("_value", value)
+    earlier = Window.partitionBy("_slice.key").orderBy("_slice.n").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy("_slice").agg(F.sum("_value").alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.join(before, "_slice").withColumn("upto", F.col("_before") + inside).drop("_slice", "_value", "_before")

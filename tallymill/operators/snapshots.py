@@ -6,39 +6,65 @@ document) that Spark deals out; exact matches are joined before, so that only wh
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymill.functions import amounts as A, ratios, text as T
-from tallymill.operators.ranking import last_wins
 
-#: Least scores of a changed label, and of one that keeps its class.
-LEAST, SURE, LEGACY_LEAST = 75.0, 90.0, 85.0
+#: Least scores of a changed label, and of one that keeps its class; of a changed label in the older comparison; of a near-duplicate.
+LEAST, SURE, LEGACY_LEAST, SAME = 75.0, 90.0, 85.0, 85.0
+#: Fixed value: a sheet with more lines is a ledger of single bookings, not part of a statement, and is left out as a whole.
+LEDGER_LINES = 300
+
 
-_PAIRS = "group long, old_id string, new_id string, score double"
+def greedy_pairs(old: list[str], new: list[str], score=ratios.token_set, least: float = LEAST) -> list[tuple[int, int, float]]:
+    """(place in old, place in new, score): each old label, in order, takes the best new one that is left; the first of equals. A score is computed once for a pair of labels, and only if they share a token or their lengths allow it."""
+    sign = lambda t: (frozenset(t.split()), len(" ".join(t.split())), len(" ".join(set(t.split()))))
+    signs, seen = {t: sign(t) for t in {*old, *new}}, {}
 
+    def reached(a: str, b: str) -> float:
+        if (a, b) not in seen:
+            (x, most_x, least_x), (y, most_y, least_y) = signs[a], signs[b]
+            # common characters are at most the shorter text; repeated tokens count on one side only
+            possible = not x.isdisjoint(y) or 200 * min(most_x, most_y) >= least * (least_x + least_y) or not (x and y)
+            seen[a, b] = score(a, b) if possible else 0.0
+        return seen[a, b]
 
-def greedy_pairs(rows: pd.DataFrame, score=ratios.token_set, least: float = LEAST) -> pd.DataFrame:
-    """Pairs of one group: each old line, in order, takes the best new line that is left; the first of equals."""
-    old, new = (rows[rows["side"] == s].sort_values("ord") for s in ("old", "new"))
-    left = list(zip(new["id"], new["key"], strict=True))
-    out = []
-    for line, key in zip(old["id"], old["key"], strict=True):
+    left, out = list(range(len(new))), []
+    for i, key in enumerate(old):
         best, place = 0.0, -1
-        for i, (_, other) in enumerate(left):
-            s = score(key, other)
+        for at, k in enumerate(left):
+            s = reached(key, new[k])
             if s >= least and s > best:
-                best, place = s, i
+                best, place = s, at
         if place >= 0:
-            out.append((rows["group"].iloc[0], line, left.pop(place)[0], best))
+            out.append((i, left.pop(place), best))
         if not left:
             break
-    return pd.DataFrame(out, columns=["group", "old_id", "new_id", "score"])
+    return out
+
+
+def _paired(rows: DataFrame, score, least: float) -> DataFrame:
+    """(group, old_id, new_id, score, old_amount, new_amount): the pairs of each group of rows (group, side, id, key, ord, amount), and its lines without one, in one pass."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        old, new = (group[group["side"] == s].sort_values(["ord", "id"]).to_dict("list") for s in ("old", "new"))
+        found = greedy_pairs(old["key"], new["key"], score, least)
+        gone, come = set(range(len(old["id"]))) - {i for i, *_ in found}, set(range(len(new["id"]))) - {k for _, k, _ in found}
+        out = found + [(i, None, 0.0) for i in sorted(gone)] + [(None, k, 0.0) for k in sorted(come)]
+        pick = lambda side, field, at: None if at is None else side[field][at]
+        columns = {"group": [group["group"].iloc[0]] * len(out), "old_id": [pick(old, "id", i) for i, *_ in out], "new_id": [pick(new, "id", k) for _, k, _ in out], "score": [s for *_, s in out]}
+        return pd.DataFrame(columns | {"old_amount": [pick(old, "amount", i) for i, *_ in out], "new_amount": [pick(new, "amount", k) for _, k, _ in out]}, dtype=object)
 
+    amount = rows.schema["amount"].dataType.simpleString()
+    return rows.select("group", "side", "id", "key", "ord", "amount").groupBy("group").applyInPandas(run, f"group long, old_id string, new_id string, score double, old_amount {amount}, new_amount {amount}")
 
-def _sides(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keyed = lambda rows: rows.select("group", "id", "source_text", "amount", "ord", T.diff_key(F.col("source_text")).alias("key"))
-    return keyed(old), keyed(new)
+
+def _both(old: DataFrame, new: DataFrame, key: Column) -> DataFrame:
+    side = lambda rows, name: rows.select("group", F.lit(name).alias("side"), "id", key.alias("key"), "amount", "ord")
+    return side(old, "old").unionByName(side(new, "new"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,71 +73,62 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     Lines with the same key are unchanged or amount_changed; of several, the last of each version is matched and the earlier ones go on.
     Lines left are paired by token-set score as desc_changed; the rest is removed or added.
     """
-    old, new = _sides(old, new)
-    one, other = last_wins(old, ["group", "key"], "ord"), last_wins(new, ["group", "key"], "ord")
-    exact = one.alias("o").join(other.alias("n"), ["group", "key"])
-    same = A.equal_within(F.col("o.amount"), F.col("n.amount"))
-    exact = exact.select("group", F.col("o.id").alias("old_id"), F.col("n.id").alias("new_id"), F.when(same, "unchanged").otherwise("amount_changed").alias("category"), F.lit(100.0).alias("score"))
-    rest_old = old.join(exact.select("group", F.col("old_id").alias("id")), ["group", "id"], "left_anti")
-    rest_new = new.join(exact.select("group", F.col("new_id").alias("id")), ["group", "id"], "left_anti")
-    both = rest_old.withColumn("side", F.lit("old")).unionByName(rest_new.withColumn("side", F.lit("new"))).select("group", "side", "id", "key", "ord")
-    paired = both.groupBy("group").applyInPandas(_by_token_set, _PAIRS)
-    changed = paired.select("group", "old_id", "new_id", F.lit("desc_changed").alias("category"), "score")
-    gone = rest_old.join(paired.select("group", F.col("old_id").alias("id")), ["group", "id"], "left_anti").select("group", F.col("id").alias("old_id"), F.lit(None).cast("string").alias("new_id"), F.lit("removed").alias("category"), F.lit(0.0).alias("score"))
-    come = rest_new.join(paired.select("group", F.col("new_id").alias("id")), ["group", "id"], "left_anti").select("group", F.lit(None).cast("string").alias("old_id"), F.col("id").alias("new_id"), F.lit("added").alias("category"), F.lit(0.0).alias("score"))
-    out = exact.unionByName(changed).unionByName(gone).unionByName(come)
+    rows = _both(old, new, T.diff_key(F.col("source_text")))
+    of_key = Window.partitionBy("group", "key")
+    last = F.row_number().over(Window.partitionBy("group", "key", "side").orderBy(F.desc("ord"), F.desc("id"))) == 1
+    rows = rows.withColumn("exact", last & F.col("key").isNotNull() & (F.min("side").over(of_key) != F.max("side").over(of_key)))
+    one = lambda side, field: F.max(F.when(F.col("side") == side, F.col(field)))
+    exact = rows.where("exact").groupBy("group", "key").agg(one("old", "id").alias("old_id"), one("new", "id").alias("new_id"), one("old", "amount").alias("a"), one("new", "amount").alias("b"))
+    same = A.equal_within(F.col("a"), F.col("b"))
+    exact = exact.select("group", "old_id", "new_id", F.when(same, "unchanged").otherwise("amount_changed").alias("category"), F.lit(100.0).alias("score"))
+    left = _paired(rows.where("not exact").withColumn("key", F.coalesce("key", F.lit(""))), ratios.token_set, LEAST)
+    category = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").otherwise("desc_changed")
+    out = exact.unionByName(left.select("group", "old_id", "new_id", category.alias("category"), "score"))
     reclassify = (F.col("category") == "added") | ((F.col("category") == "desc_changed") & (F.col("score") < SURE))
     return out.withColumn("reclassify", reclassify)
 
 
-def _by_token_set(rows: pd.DataFrame) -> pd.DataFrame:
-    return greedy_pairs(rows)
-
-
-def _legacy(rows: pd.DataFrame) -> pd.DataFrame:
-    return greedy_pairs(rows, ratios.token_sort, LEGACY_LEAST)
-
-
 def legacy_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(group, old_id, new_id, category): changed where a pair's amounts differ, added, removed. Labels are compared as they stand."""
-    raw = lambda rows, side: rows.select("group", F.lit(side).alias("side"), "id", F.col("source_text").alias("key"), "ord")
-    paired = raw(old, "old").unionByName(raw(new, "new")).groupBy("group").applyInPandas(_legacy, _PAIRS)
-    amounts = paired.join(old.select("group", F.col("id").alias("old_id"), F.col("amount").alias("a")), ["group", "old_id"]).join(new.select("group", F.col("id").alias("new_id"), F.col("amount").alias("b")), ["group", "new_id"])
-    changed = amounts.where(~A.equal_within(F.col("a"), F.col("b"))).select("group", "old_id", "new_id", F.lit("changed").alias("category"))
-    none = F.lit(None).cast("string")
-    gone = old.join(paired.select("group", F.col("old_id").alias("id")), ["group", "id"], "left_anti").select("group", F.col("id").alias("old_id"), none.alias("new_id"), F.lit("removed").alias("category"))
-    come = new.join(paired.select("group", F.col("new_id").alias("id")), ["group", "id"], "left_anti").select("group", none.alias("old_id"), F.col("id").alias("new_id"), F.lit("added").alias("category"))
-    return changed.unionByName(gone).unionByName(come)
+    left = _paired(_both(old, new, F.coalesce("source_text", F.lit(""))), ratios.token_sort, LEGACY_LEAST)
+    category = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").otherwise(F.when(~A.equal_within(F.col("old_amount"), F.col("new_amount")), "changed"))
+    return left.select("group", "old_id", "new_id", category.alias("category")).where("category is not null")
 
 
 def apply_diff(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     """(group, id, source_text, amount, flagged, verified): the old version with the changes taken over, and added lines after it."""
-    after = changes.join(new.select("group", F.col("id").alias("new_id"), F.col("source_text").alias("new_text"), F.col("amount").alias("new_amount")), ["group", "new_id"], "left")
-    kept = old.join(after.where("old_id is not null").select("group", F.col("old_id").alias("id"), "category", "new_text", "new_amount", "reclassify"), ["group", "id"]).where("category <> 'removed'")
-    text = F.when(F.col("category") == "desc_changed", F.col("new_text")).otherwise(F.col("source_text"))
+    after = changes.where("category <> 'removed'").join(new.select("group", F.col("id").alias("new_id"), F.col("source_text").alias("new_text"), F.col("amount").alias("new_amount")), ["group", "new_id"], "left")
+    rows = after.join(old.select("group", F.col("id").alias("old_id"), "source_text", "amount"), ["group", "old_id"], "left")
+    text = F.when(F.col("category").isin("desc_changed", "added"), F.col("new_text")).otherwise(F.col("source_text"))
     amount = F.when(F.col("category") == "unchanged", F.col("amount")).otherwise(F.col("new_amount"))
-    updated = kept.select("group", "id", text.alias("source_text"), amount.alias("amount"), F.col("reclassify").alias("flagged"), (F.col("category") == "unchanged").alias("verified"))
-    added = after.where("category = 'added'").select("group", F.col("new_id").alias("id"), F.col("new_text").alias("source_text"), F.col("new_amount").alias("amount"), F.lit(True).alias("flagged"), F.lit(False).alias("verified"))
-    return updated.unionByName(added)
+    return rows.select("group", F.coalesce("old_id", "new_id").alias("id"), text.alias("source_text"), amount.alias("amount"), F.col("reclassify").alias("flagged"), (F.col("category") == "unchanged").alias("verified"))
 
 
 def _collapse(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ord")
-    heads: list[tuple[str, float]] = []
+    """Heads are looked up by amount, and of those near it the first with a like text is taken; an equal text needs no score."""
+    rows = rows.sort_values(["ord", "id"])
+    texts: list[str] = []
+    amounts: list[float] = []
+    by_amount: list[tuple[float, int]] = []
     best: list[tuple[int, int]] = []
     sizes: list[int] = []
-    texts, amounts, priority = rows["key"].tolist(), rows["amount"].astype(float).tolist(), rows["priority"].tolist()
-    for i, (text, amount) in enumerate(zip(texts, amounts, strict=True)):
-        for g, (head, value) in enumerate(heads):
+    for i, (text, amount, priority) in enumerate(zip(rows["key"], rows["amount"].astype(float), rows["priority"], strict=True)):
+        reach = 0.0011 * abs(amount)
+        near = [] if amount != amount else by_amount[bisect_left(by_amount, (amount - reach, -1)) : bisect_right(by_amount, (amount + reach, len(rows)))]
+        for g in sorted(g for _, g in near):
+            value, head = amounts[g], texts[g]
             close = value == amount == 0 or abs(amount - value) <= 0.001 * max(abs(amount), abs(value))
-            if close and (text == head != "" or text and head and ratios.sequence(text, head) >= 85.0):
+            if close and text and head and (text == head or ratios.sequence_reaches(text, head, SAME)):
                 sizes[g] += 1
-                if priority[i] > best[g][0]:
-                    best[g] = (priority[i], i)
+                if priority > best[g][0]:
+                    best[g] = (priority, i)
                 break
         else:
-            heads.append((text, amount))
-            best.append((priority[i], i))
+            if amount == amount:
+                insort(by_amount, (amount, len(texts)))
+            texts.append(text)
+            amounts.append(amount)
+            best.append((priority, i))
             sizes.append(1)
     kept = rows.iloc[[i for _, i in best]]
     return pd.DataFrame({"document_id": kept["document_id"], "id": kept["id"], "place": range(len(kept)), "n": sizes})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallymill.functions import amounts as A
-from tallymill.operators.ranking import first_per_key, majority, top_per_key
+from tallymill.operators.ranking import first_per_key, majority, running_sum, top_per_key
+from tallymill.operators.snapshots import LEDGER_LINES
 from tallymill.plans.base import query
 from tallymill.sources.relations import classifications, clients, fields, line_items, read, statements
 
@@ -124,15 +125,15 @@ def e13(spark, sf_dir):
     return offsets.agg(F.max_by("o", F.struct("n", -F.col("o"))).alias("dominant"), (F.max("n").cast("double") / F.sum("n").cast("double")).alias("share"), (F.max("n") * 10 >= F.sum("n") * 9).alias("decided"))
 
 
-@query("e14_contradictions", "SELECT source_text, section, count(DISTINCT ob % 7) AS n_rows FROM line_items WHERE document_id % 20 = 0 GROUP BY source_text, section HAVING count(DISTINCT ob % 7) > 1")
+@query("e14_contradictions", "SELECT source_text, section, count(DISTINCT ob % 7) AS n_rows FROM line_items GROUP BY source_text, section HAVING count(DISTINCT ob % 7) > 1")
 def e14(spark, sf_dir):
-    rows = line_items(spark, sf_dir).where("document_id % 20 = 0")
+    rows = line_items(spark, sf_dir)
     return rows.groupBy("source_text", "section").agg(F.countDistinct(F.col("ord.b") % 7).alias("n_rows")).where("n_rows > 1")
 
 
-@query("e15_inconsistent", "SELECT lower(source_text) AS t, section, count(*) AS n, list_sort(list(DISTINCT ob % 9)) AS seen FROM line_items WHERE document_id % 30 = 0 AND length(source_text) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT ob % 9) > 1")
+@query("e15_inconsistent", "SELECT lower(source_text) AS t, section, count(*) AS n, list_sort(list(DISTINCT ob % 9)) AS seen FROM line_items WHERE length(source_text) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT ob % 9) > 1")
 def e15(spark, sf_dir):
-    rows = line_items(spark, sf_dir).where((F.col("document_id") % 30 == 0) & (F.char_length("source_text") >= 3))
+    rows = line_items(spark, sf_dir).where(F.char_length("source_text") >= 3)
     by = rows.groupBy(F.lower("source_text").alias("t"), "section").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.col("ord.b") % 9)).alias("seen"))
     return by.where((F.col("n") >= 2) & (F.size("seen") > 1))
 
@@ -332,9 +333,9 @@ def b7(spark, sf_dir):
 
 @query("b8_ledger_guard", "SELECT source_text, section, count(*) AS n FROM line_items GROUP BY source_text, section HAVING count(*) <= 300")
 def b8(spark, sf_dir):
-    # a sheet is a text and section here; those with too many lines are ledgers
+    # a sheet is a text and section here
     sheets = line_items(spark, sf_dir).groupBy("source_text", "section").agg(F.count("*").alias("n"))
-    return sheets.where("n <= 300")
+    return sheets.where(F.col("n") <= LEDGER_LINES)
 
 
 @query("b9_sheet_selection", "SELECT DISTINCT sheet, CASE WHEN document_id % 2 = 0 THEN true ELSE sheet = 'P & L' END AS used, document_id % 2 AS chosen FROM line_items")
@@ -372,14 +373,14 @@ def f6(spark, sf_dir):
 
 @query("f7_sequential_ids", "SELECT doc_id, source, 'gt-' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR, 4, '0') AS key FROM documents")
 def f7(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return read(spark, sf_dir, "documents").select("doc_id", "source", F.format_string("gt-%04d", n).alias("key"))
+    numbered = running_sum(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", F.lit(1))
+    return numbered.select("doc_id", "source", F.format_string("gt-%04d", F.col("upto") - 1).alias("key"))
 
 
 @query("f8_budget_cutoff", "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_chars AS before FROM documents) WHERE before < 20000")
 def f8(spark, sf_dir):
-    upto = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return read(spark, sf_dir, "documents").withColumn("before", upto - F.col("n_chars")).where("before < 20000").select("doc_id")
+    rows = running_sum(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", F.col("n_chars"))
+    return rows.where("upto - n_chars < 20000").select("doc_id")
 
 
 @query("f10_year_window", "WITH y AS (SELECT client_id, list_sort(list(DISTINCT financial_year)) AS years FROM statements GROUP BY client_id) SELECT client_id, CASE WHEN len(years) >= 3 THEN years[1] END AS dropped, CASE WHEN len(years) >= 3 THEN years[2:] ELSE years END AS kept, years[len(years)] + 1 AS added FROM y")

@@ -8,6 +8,7 @@ from tallymill.functions import amounts as A
 from tallymill.operators.ranking import first_per_key, last_wins
 from tallymill.operators.upserts import compare_and_set, insert_absent, replace_groups, update_by_key, upsert_counts
 from tallymill.plans.base import query
+from tallymill.sources.files import new_path, read_csv, write_csv, write_json
 from tallymill.sources.relations import classifications, clients, fields, line_items, mappings, read, statements
 
 
@@ -103,15 +104,22 @@ def a18(spark, sf_dir):
     return upsert_counts(base, rows.where("last_id % 2 = 1"), ["user_id", "event_type"], "times_used", "last_id")
 
 
-@query("a20_fixed_fields", "SELECT id, client_id, nature FROM statements")
+@query("a20_fixed_fields", "SELECT id, client_id, nature, NULL::VARCHAR AS note FROM statements")
 def a20(spark, sf_dir):
-    return statements(spark, sf_dir).select("id", "client_id", "nature")
+    path = new_path(spark, "statements-csv")
+    schema = write_csv(statements(spark, sf_dir), ["id", "client_id", "nature", "note"], path)
+    return read_csv(spark, schema, path)
 
 
-@query("a21_report_lines", "SELECT industry_type, count(*) AS n, string_agg(name, chr(10) ORDER BY id) AS body FROM clients WHERE id <= 60 GROUP BY industry_type")
+@query("a21_report_lines", "SELECT client_id, count(*) AS n, '# Statements' || chr(10) || string_agg('* ' || id || ': ' || status, chr(10) ORDER BY id) AS body FROM statements GROUP BY client_id")
 def a21(spark, sf_dir):
-    rows = clients(spark, sf_dir).where("id <= 60").groupBy("industry_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "name"))).alias("x"))
-    return rows.select("industry_type", "n", F.array_join(F.transform("x", lambda i: i["name"]), "\n").alias("body"))
+    # a report of each client in Markdown, as a line of JSON
+    rows = statements(spark, sf_dir).groupBy("client_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "status"))).alias("x"))
+    lines = F.transform("x", lambda i: F.concat(F.lit("* "), i["id"].cast("string"), F.lit(": "), i["status"]))
+    reports = rows.select("client_id", "n", F.array_join(F.concat(F.array(F.lit("# Statements")), lines), "\n").alias("body"))
+    path = new_path(spark, "reports-json")
+    write_json(reports, path)
+    return spark.read.schema(reports.schema).json(path)
 
 
 @query("a23_constant_mapping", "SELECT part_id, line_no, document_id, CASE cma_row WHEN 22 THEN 122 WHEN 30 THEN 130 WHEN 41 THEN 141 ELSE cma_row END::INTEGER AS cma_row FROM classifications")
@@ -235,10 +243,11 @@ def d9(spark, sf_dir):
     return a.join(b, keys, "full").groupBy(A.cell_status(F.col("a"), F.col("b")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("d10_diff_provenance", "SELECT f.cma_row, coalesce(list_sort(list(DISTINCT document_id) FILTER (WHERE document_id IS NOT NULL)), []) AS sources FROM fields f LEFT JOIN (SELECT * FROM classifications WHERE document_id % 50 = 0) c ON f.cma_row = c.cma_row GROUP BY f.cma_row")
+@query("d10_diff_provenance", "SELECT DISTINCT f.cma_row, c.document_id FROM fields f LEFT JOIN classifications c ON f.cma_row = c.cma_row")
 def d10(spark, sf_dir):
-    sources = classifications(spark, sf_dir).where("document_id % 50 = 0").groupBy("cma_row").agg(F.array_sort(F.collect_set("document_id")).alias("sources"))
-    return fields(spark).join(sources, "cma_row", "left").select("cma_row", F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"))
+    # a row for each source of a cell: a list of them could grow with the table
+    sources = classifications(spark, sf_dir).select("cma_row", "document_id").distinct()
+    return fields(spark).join(sources, "cma_row", "left").select("cma_row", "document_id")
 
 
 @query("d11_answers_to_rules", "SELECT event_id, ['A','B','C'][event_id % 3 + 1] AS opt, (user_id % 250)::INTEGER AS cma_row FROM events WHERE event_id % 3 <> 0 AND user_id % 250 > 0 AND event_id % 4 <> 0")
@@ -350,12 +359,12 @@ def d31(spark, sf_dir):
     return doubts.select("document_id", "line_no", "part_id", F.coalesce("by_hand", "by_rule", F.lit("unmatched")).alias("found_by"))
 
 
-@query("d32_positional_join", "SELECT conv_id, turn, role, text[1:8] AS head FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations) WHERE pos IN (1, 3)")
+@query("d32_positional_join", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations) WHERE pos IN (1, 3)")
 def d32(spark, sf_dir):
-    batch = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 8).alias("head")))).alias("items"))
+    batch = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("items"))
     replies = F.explode(F.array(F.lit(1), F.lit(3)))
     asked = batch.select("conv_id", "items", replies.alias("item_index"))
-    return asked.select("conv_id", F.try_element_at("items", F.col("item_index")).alias("i")).where("i is not null").select("conv_id", "i.turn", "i.role", "i.head")
+    return asked.select("conv_id", F.try_element_at("items", F.col("item_index")).alias("i")).where("i is not null").select("conv_id", "i.turn", "i.role", "i.text")
 
 
 @query("d33_row_names", "SELECT document_id, line_no, part_id, coalesce(f.name, 'Row ' || c.cma_row) AS name FROM classifications c LEFT JOIN fields f ON c.cma_row = f.cma_row")

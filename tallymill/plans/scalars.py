@@ -388,12 +388,14 @@ def b15(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", T.complement(T.page_ranges(F.lit(_RANGES), total), total).alias("pages"))
 
 
-@query("b16_first_pattern", "SELECT p_partkey, min_by(pat, ord) AS pattern FROM part JOIN (SELECT p_name[1:4] AS pat, min(p_partkey) AS ord FROM part WHERE p_partkey <= 40 GROUP BY 1) ON contains(lower(p_name), lower(pat)) GROUP BY p_partkey")
+#: Labels with one of these in them stay unclassified; the first that fits is named. Fixed values.
+PATTERNS = ("d Ring", "Old", "Large W", "gear", "hot", "E B", "ol")
+
+
+@query("b16_first_pattern", "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(lower(p_name), '{p.lower()}') THEN '{p}'" for p in PATTERNS) + " END AS pattern FROM part WHERE " + " OR ".join(f"contains(lower(p_name), '{p.lower()}')" for p in PATTERNS))
 def b16(spark, sf_dir):
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    patterns = parts.where("p_partkey <= 40").groupBy(F.substring("p_name", 1, 4).alias("pat")).agg(F.min("p_partkey").alias("ord"))
-    # forty rows at most
-    return parts.join(F.broadcast(patterns), F.contains(F.lower("p_name"), F.lower("pat"))).groupBy("p_partkey").agg(F.min_by("pat", "ord").alias("pattern"))
+    first = T.first_pattern(F.col("p_name"), PATTERNS)
+    return read(spark, sf_dir, "part").select("p_partkey", first.alias("pattern")).where("pattern is not null")
 
 
 @query("b17_whitelist", "SELECT document_id, line_no, part_id, CASE WHEN f.cma_row IS NULL THEN 0 ELSE c.cma_row END AS cma_row, (CASE WHEN f.cma_row IS NULL THEN least(confidence, 0.40) ELSE confidence END)::DOUBLE AS confidence, f.cma_row IS NULL OR is_doubt AS is_doubt, CASE WHEN f.cma_row IS NULL THEN 'row ' || c.cma_row || ' not allowed' END AS reason FROM classifications c LEFT JOIN fields f ON c.cma_row = f.cma_row")

@@ -2,6 +2,7 @@ import datetime
 
 import pytest
 
+from tallymill.functions import ratios
 from tallymill.operators import matching, snapshots
 from tallymill.operators.budgets import running_cost
 from tallymill.operators.retrieval import nearest
@@ -69,52 +70,88 @@ def test_collapse_compares_with_the_first_of_a_group(spark):
     assert [(r.id, r.n) for r in snapshots.collapse_near_duplicates(items).orderBy("place").collect()] == [("b", 2), ("c", 1)]
 
 
-def test_matching_takes_exact_texts_first(spark):
-    from pyspark.sql import functions as F
-
-    from tallymill.functions.ratios import token_sort_ratio
-
-    texts = spark.createDataFrame([(1, "rent paid"), (2, "salary expenses"), (3, "zzz")], "text_id long, text string")
-    rules = spark.createDataFrame([(10, "rent paid"), (11, "salary expense"), (12, "expenses salary")], "rule_id long, rule string")
-    found = matching.best_rule(texts, rules, token_sort_ratio(F.col("text"), F.col("rule")))
-    assert sorted((r.text_id, r.rule_id) for r in found.collect()) == [(1, 10), (2, 12)]
-
-
-FUZZY = ["old rod", "red bolt", "salaries wages", "salary wage", "rent", "rents", "rent paid", "paid  rent", "wages wages", "wage", "", "bank\xa0charge", "charges bank", "x" * 90, "x" * 70 + " y", "zq"]
+RULE = "rule_id long, rule string, rule_industry string, rule_context string, sheet string"
+
+
+def test_boosts_choose_among_like_rules(spark):
+    rules = [
+        (10, "rent paid", None, None, ""),
+        (11, "salary expense", "trading", None, ""),
+        (12, "expenses salary", "services", "pl", "Profit and Loss"),
+        (13, "salary expenses old", None, "bs", "Balance Sheet"),
+        (14, "rent paid", "trading", "pl", None),
+        (15, "sundry debtor", "services", None, ""),
+    ]
+    texts = [
+        (1, "rent paid", "trading", "pl"),  # of exact texts the one that agrees most
+        (2, "salary expenses", "trading", "bs"),  # another industry is passed over even if exact
+        (3, "salary expenses", "services", "pl"),
+        (4, "sundry debtors", "trading", None),  # all are passed over: the best as it is
+        (5, "rent paid", "services", "bs"),
+        (6, "zzz", "trading", "pl"),
+        (7, None, "trading", "pl"),
+    ]
+    found = matching.boosted_rule(spark.createDataFrame(texts, "text_id long, text string, industry string, context string"), spark.createDataFrame(rules, RULE))
+    ts = ratios.token_sort
+    got = {r.text_id: (r.rule_id, r.score) for r in found.collect()}
+    assert got == {
+        1: (14, 120.0),
+        2: (11, ts("salary expenses", "salary expense") + 10),
+        3: (12, 100.0 + 25),
+        4: (15, ts("sundry debtors", "sundry debtor")),
+        5: (10, 100.0),
+    }
+
+
+FUZZY = ["old rod", "red bolt", "salaries wages", "salary wage", "rent", "rents", "rent paid", "paid  rent", "wages wages", "wage", "", " ", "bank\xa0charge", "charges bank", "x" * 90, "x" * 70 + " y", "zq", "bankcharge", "bank charges", "trade receivable", "trades receivables", "receivable from trade parties of all kinds and other debtors"]
 
 
 @pytest.mark.parametrize("kind", ["token_sort", "token_set"])
-@pytest.mark.parametrize("least", [60.0, 75.0, 90.0])
+@pytest.mark.parametrize("least", [60.0, 72.0, 75.0, 80.0, 90.0])
 def test_like_pairs_are_those_of_all_pairs(spark, monkeypatch, kind, least):
     from itertools import combinations
 
-    from pyspark.sql import functions as F
-
-    from tallymill.functions import ratios
-
-    monkeypatch.setattr(matching, "BLOCK", 3)  # several blocks of a band
+    monkeypatch.setattr(matching, "HOT", 2)  # most grams are dealt out
     score = getattr(ratios, kind)
-    rows = spark.createDataFrame([*[(i, t, 0, i) for i, t in enumerate(FUZZY)], (99, None, 0, 99)], "id long, text string, block int, label long")
-    expected = {(i, j, score(a, b)) for (i, a), (j, b) in combinations(enumerate(FUZZY), 2) if score(a, b) >= least}
-    found = matching.like_pairs(rows, getattr(ratios, f"{kind}_ratio")(F.col("text"), F.col("rule")), least)
+    rows = spark.createDataFrame([*[(i, t, i % 9 == 8, i) for i, t in enumerate(FUZZY)], (99, None, False, 99)], "id long, text string, block boolean, label long")
+    expected = {(i, j, score(a, b)) for (i, a), (j, b) in combinations(enumerate(FUZZY), 2) if score(a, b) >= least and (i % 9 == 8) == (j % 9 == 8)}
+    found = matching.like_pairs(rows, kind, least)
     assert sorted(map(tuple, found.collect())) == sorted(expected)
-    if least == 60.0:
-        assert {(i, j) for i, j, _ in expected} >= {(0, 1), (2, 3), (4, 5)}  # no shared token
+    if kind == "token_sort" and least <= 75.0:
+        assert any(not set(FUZZY[i].split()) & set(FUZZY[j].split()) for i, j, _ in expected)
 
 
-def test_rules_without_a_shared_token_are_found(spark):
-    from pyspark.sql import functions as F
+def test_scored_pairs_of_many_texts(spark):
+    """Misspelt labels by the hundred, one word in all of them, against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    words = "salary wages rent interest depreciation trade receivable payable bank charges audit fees expense income stock".split()
+
+    def label():
+        out = " ".join(rng.sample(words, rng.randint(1, 3)) + ["expenses"])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(out))
+            out = out[:at] + rng.choice(["", "x", out[at] * 2, " "]) + out[at + 1 :]
+        return out
 
-    from tallymill.functions.ratios import token_sort, token_sort_ratio
+    texts, rules = [label() for _ in range(150)], [label() for _ in range(150)]
+    for kind, least in (("token_sort", 80.0), ("token_set", 75.0), ("token_sort", 65.0)):
+        score = getattr(ratios, kind)
+        found = matching.scored_pairs(spark.createDataFrame([(1, t) for t in texts], "block int, text string"), spark.createDataFrame([(1, t) for t in rules], "block int, rule string"), kind, least)
+        got = [(r.text, r.rule) for r in found.collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(a, b) for a in set(texts) for b in set(rules) if score(a, b) >= least}
 
+
+def test_rules_without_a_shared_token_are_found(spark):
     texts = spark.createDataFrame([(1, "salary wage"), (2, "old rod"), (3, None)], "text_id long, text string")
     rules = spark.createDataFrame([(10, "salaries wages"), (11, "red bolt"), (12, "wage"), (13, None)], "rule_id long, rule string")
-    ratio = token_sort_ratio(F.col("text"), F.col("rule"))
-    first = (1, 10, token_sort("salary wage", "salaries wages"))
-    assert list(map(tuple, matching.best_rule(texts, rules, ratio).collect())) == [first]
-    assert [(r.text_id, r.rule_id, r.score) for r in matching.top_rules(texts, rules, ratio).collect()] == [first]
-    raised = {r.text_id: r.score for r in matching.best_rule(texts, rules, ratio + 10, 75.0, added=10.0).collect()}
-    assert raised == {1: first[2] + 10, 2: token_sort("old rod", "red bolt") + 10}
+    first = (1, 10, ratios.token_sort("salary wage", "salaries wages"))
+    assert list(map(tuple, matching.best_rule(texts, rules, "token_sort").collect())) == [first]
+    assert [(r.text_id, r.rule_id, r.score) for r in matching.top_rules(texts, rules).collect()] == [first]
+    assert [r.rule_id for r in matching.best_rule(texts, rules).collect()] == [12]
+    assert [r.rule_id for r in matching.best_rule(texts, rules, where=matching.F.col("rule_id") != 12).collect()] == [10]
 
 
 def test_nearest_breaks_ties_by_id(spark):
@@ -123,11 +160,161 @@ def test_nearest_breaks_ties_by_id(spark):
     assert [(r.vec_id, r.score) for r in nearest(queries, rows, 2).orderBy("rank").collect()] == [(1, 2), (3, 2)]
 
 
-def test_budget_begins_anew():
-    import pandas as pd
-
-    rows = pd.DataFrame({"source": "a", "doc_id": [2, 1, 3], "n_chars": [15000, 6000, 10]})
-    assert running_cost(rows)["spent"].tolist() == [6000, 21000, 10]
+def test_budget_begins_anew(spark):
+    rows = spark.createDataFrame([("a", 2, 15000), ("a", 1, 5000), ("a", 3, 10), ("a", 4, 7), (None, 1, 3), ("b", 1, None)], "client string, n int, cost int")
+    out = running_cost(rows, "client", ["n"], "cost", 20000).collect()
+    # exactly the budget isn't more than it
+    assert {(r.client, r.n): r.spent for r in out} == {("a", 1): 5000, ("a", 2): 20000, ("a", 3): 20010, ("a", 4): 7, (None, 1): 3, ("b", 1): 0}
+
+
+def test_running_sums_over_slices(spark):
+    rows = spark.createDataFrame([(k, i, i % 7) for k in ("a", None) for i in range(100)], "k string, i long, v long")
+    from tallymill.operators.ranking import running_sum
+
+    out = running_sum(rows.repartition(5), "k", "i", matching.F.col("v"), width=8).collect()
+    assert {(r.k, r.i): r.upto for r in out} == {(k, i): sum(x % 7 for x in range(i + 1)) for k in ("a", None) for i in range(100)}
+
+
+def brute_greedy(old, new, score, least):
+    left, out = list(new), []
+    for line in old:
+        best = None
+        for other in left:
+            s = score(line.key, other.key)
+            if s >= least and (best is None or s > best[0]):
+                best = (s, other)
+        if best:
+            left.remove(best[1])
+            out.append((line, *best[::-1]))
+    return out, [x for x in old if x not in [p[0] for p in out]], left
+
+
+def equal_within(a, b):
+    """As the relative comparison by the first amount does."""
+    if a is None or b is None:
+        return a is b
+    return a == b if a == 0 else abs(a - b) * 200 <= abs(a)
+
+
+@pytest.fixture(scope="module")
+def versions(spark):
+    """Lines of two versions by client, from the smallest tables, in order and with their keys."""
+    from collections import namedtuple
+
+    from tallymill.functions import text as T
+    from tallymill.plans import composites
+
+    line = namedtuple("line", "id source_text amount ord key")
+    out = {}
+    for side, rows in enumerate(composites._versions(spark, "/root/testdata/sf0.001")):
+        for r in rows.withColumn("key", T.diff_key(matching.F.col("source_text"))).collect():
+            out.setdefault(r.group, ([], []))[side].append(line(r.id, r.source_text, r.amount, r.ord, r.key))
+    return {g: tuple(sorted(side, key=lambda x: (x.ord, x.id)) for side in both) for g, both in out.items()}
+
+
+def brute_diff(old, new):
+    by_key = [{x.key: x for x in side} for side in (old, new)]
+    exact = {k: (by_key[0][k], by_key[1][k]) for k in by_key[0].keys() & by_key[1].keys()}
+    used = {id(x) for pair in exact.values() for x in pair}
+    pairs, gone, come = brute_greedy([x for x in old if id(x) not in used], [x for x in new if id(x) not in used], ratios.token_set, 75.0)
+    out = [(a, b, "unchanged" if equal_within(a.amount, b.amount) else "amount_changed", 100.0) for a, b in exact.values()]
+    return out + [(a, b, "desc_changed", s) for a, b, s in pairs] + [(a, None, "removed", 0.0) for a in gone] + [(None, b, "added", 0.0) for b in come]
+
+
+def test_snapshots_by_brute_force(spark, versions):
+    from tallymill.plans.registry import QUERIES
+
+    of = lambda x: x and x.id
+    expected, applied, legacy = [], [], []
+    for g, (old, new) in versions.items():
+        for a, b, category, score in brute_diff(old, new):
+            reclassify = category == "added" or category == "desc_changed" and score < 90
+            expected.append((g, of(a), of(b), category, score, reclassify))
+            if category != "removed":
+                text = b.source_text if category in ("added", "desc_changed") else a.source_text
+                applied.append((g, of(a) or of(b), text, a.amount if category == "unchanged" else b.amount, reclassify, category == "unchanged"))
+        pairs, gone, come = brute_greedy([x._replace(key=x.source_text) for x in old], [x._replace(key=x.source_text) for x in new], ratios.token_sort, 85.0)
+        legacy += [(g, a.id, b.id, "changed") for a, b, _ in pairs if not equal_within(a.amount, b.amount)]
+        legacy += [(g, a.id, None, "removed") for a in gone] + [(g, None, b.id, "added") for b in come]
+    got = {name: sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str) for name in ("i1_snapshot_diff", "i2_legacy_diff", "i3_apply_diff", "d12_greedy_assignment", "d13_legacy_assignment")}
+    assert got["i1_snapshot_diff"] == sorted(expected, key=str) and len({x[3] for x in expected}) >= 4
+    assert got["i2_legacy_diff"] == sorted(legacy, key=str)
+    assert got["i3_apply_diff"] == sorted(applied, key=str)
+    assert got["d12_greedy_assignment"] == sorted((x for x in expected if x[3] == "desc_changed"), key=str)
+    assert got["d13_legacy_assignment"] == sorted((x for x in legacy if x[3] == "changed"), key=str)
+
+
+def brute_collapse(lines):
+    """lines: (id, text, amount, priority) of a document in order."""
+    from difflib import SequenceMatcher
+
+    groups = []
+    for line in lines:
+        for g in groups:
+            a, b, x, y = line[1], g[0][1], line[2], g[0][2]
+            if a and b and (a == b or SequenceMatcher(None, a, b).ratio() >= 0.85) and (x == y == 0 or abs(x - y) <= 0.001 * max(abs(x), abs(y))):
+                g.append(line)
+                break
+        else:
+            groups.append([line])
+    return [(max(g, key=lambda x: x[3])[0], n, len(g)) for n, g in enumerate(groups)]
+
+
+def test_collapse_by_brute_force(spark):
+    import random
+
+    from tallymill.functions import text as T
+    from tallymill.plans.registry import QUERIES
+    from tallymill.sources.relations import line_items
+
+    sheets = {r.sheet: r.p for r in spark.createDataFrame([("Notes BS (2)",), ("P & L",), ("Other",)], "sheet string").select("sheet", T.sheet_priority(matching.F.col("sheet")).alias("p")).collect()}
+    docs = {}
+    for r in line_items(spark, "/root/testdata/sf0.001").collect():
+        docs.setdefault(r.document_id, []).append((f"{r.ord.a}-{r.ord.b}-{r.ord.c}", r.source_text.lower(), float(r.amount), sheets[r.sheet], f"{r.ord.a:03}-{r.ord.b:012}-{r.ord.c:012}"))
+    expected = [(d, *kept) for d, rows in docs.items() for kept in brute_collapse([x[:4] for x in sorted(rows, key=lambda x: (x[4], x[0]))])]
+    assert sorted(map(tuple, QUERIES["i5_collapse_duplicates"](spark, "/root/testdata/sf0.001").collect())) == sorted(expected)
+    rng = random.Random(2)
+    names = ["revenue from operations", "revenue from operation", "other income", "othr income", "", "finance cost", "finance costs", "x"]
+    rows = [(1, f"{i:03}", rng.choice(names), rng.choice([0.0, 1000.0, 1000.5, 1002.0, -1000.0, 77.0]), rng.choice(list(sheets)), f"{i:03}") for i in range(300)]
+    found = snapshots.collapse_near_duplicates(spark.createDataFrame([(*r[:3], r[3], *r[4:]) for r in rows], "document_id long, id string, source_text string, amount double, sheet string, ord string")).orderBy("place").collect()
+    assert [(r.id, r.place, r.n) for r in found] == brute_collapse([(i, t, a, sheets[s]) for _, i, t, a, s, _ in rows])
+
+
+def test_sheets_to_items_by_brute_force(spark):
+    from tallymill.plans.registry import QUERIES
+    from tallymill.sources.relations import line_items
+
+    lines = {}
+    for r in line_items(spark, "/root/testdata/sf0.001").collect():
+        lines.setdefault((r.document_id, r.sheet), []).append(((r.ord.a, r.ord.b, r.ord.c, r.ord.d), r.source_text, float(r.amount)))
+    docs = {}
+    for (doc, sheet), rows in lines.items():
+        section, found = "", []
+        for o, text, amount in sorted(rows):
+            section = text.upper() if o[1] % 9 == 0 else section
+            # the longest of the cells describes, be it the amount; the amount is the first of the later cells with a size of 100 or more
+            if amount >= 100:
+                text = max(text, f"{amount:.2f}", key=len)
+                found.append((f"{o[0]:03}-{o[1]:012}-{o[2]:012}", text.lower(), amount, 3 if "Notes" in sheet else 1, text, section))
+        if len(found) <= snapshots.LEDGER_LINES:
+            docs.setdefault(doc, []).extend(found)
+    expected = []
+    for doc, rows in docs.items():
+        rows.sort()
+        by_id = {x[0]: x for x in rows}
+        expected += [(doc, n, by_id[i][4], by_id[i][5]) for i, n, _ in brute_collapse([x[:4] for x in rows])]
+    assert sorted(map(tuple, QUERIES["i6_sheet_to_items"](spark, "/root/testdata/sf0.001").collect())) == sorted(expected)
+
+
+def test_sequence_match_by_the_standard_library(spark):
+    from difflib import SequenceMatcher
+
+    from tallymill.plans.registry import QUERIES
+    from tallymill.plans.scalars import _raw_parts
+
+    raws = {r.p_partkey: r.raw.lower() for r in _raw_parts(spark, "/root/testdata/sf0.001").collect()}
+    names = {r.p_partkey: r.p_name.lower() for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    assert {r.p_partkey: r.same for r in QUERIES["c30_sequence_match"](spark, "/root/testdata/sf0.001").collect()} == {k: SequenceMatcher(None, raws[k], n).ratio() >= 0.85 for k, n in names.items()}
 
 
 def test_stream_gives_the_complete_hours(spark, tmp_path):
