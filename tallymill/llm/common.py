@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from tallymill.sources.files import new_path
+
 #: Rows and bytes of an Arrow batch: whole texts can be long, so batches stay short.
 ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
@@ -53,18 +53,6 @@ def with_fields(schema: StructType, added: dict[str, DataType]) -> StructType:
     return StructType([StructField(f.name, f.dataType) for f in schema] + [StructField(n, t) for n, t in added.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session, whose executors are the driver, gets one where it has none; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tallymill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 _scratch: list[list[str]] = []
 
 
@@ -79,10 +67,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tallymill/{label}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them from there: what follows starts from files that outlive a lost executor. keep: also beyond a scratch around it."""
     spark = df.sparkSession
