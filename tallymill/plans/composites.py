@@ -379,8 +379,9 @@ def i6(spark, sf_dir):
     above = Window.partitionBy("document_id", "sheet").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     found = rows.select("document_id", "sheet", "ord", T.best_description(cells_).alias("source_text"), A.first_amount(cells_).alias("amount"), F.coalesce(F.last(F.when(F.col("ord.b") % 9 == 0, F.upper("source_text")), ignorenulls=True).over(above), F.lit("")).alias("section"))
     found = found.where("source_text <> '' and amount is not null").withColumn("_n", F.count("*").over(Window.partitionBy("document_id", "sheet"))).where(F.col("_n") <= snapshots.LEDGER_LINES)
-    key = F.format_string("%03d-%012d-%012d", "ord.a", "ord.b", "ord.c")
-    items = found.select("document_id", key.alias("id"), "source_text", "amount", "sheet", "section", key.alias("ord"))
+    # no key of a line is unique, so lines are numbered
+    number = F.format_string("%09d", F.row_number().over(Window.partitionBy("document_id").orderBy("ord", "sheet", "source_text", "section")))
+    items = found.select("document_id", number.alias("id"), "source_text", "amount", "sheet", "section", number.alias("ord"))
     kept = snapshots.collapse_near_duplicates(items)
     return kept.join(items.select("document_id", "id", "source_text", "section"), ["document_id", "id"]).select("document_id", "place", "source_text", "section")
 
