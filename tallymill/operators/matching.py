@@ -12,7 +12,11 @@ of the rarest tokens of that side. Both joins lose no pair; scores are computed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tallymill.functions import ratios
 from tallymill.operators.ranking import first_per_key, top_per_key
@@ -21,8 +25,6 @@ from tallymill.operators.ranking import first_per_key, top_per_key
 LEAST, LEAST_BOOSTED = 75.0, 80.0
 #: Rules of a text that boosts choose from, and the boosts: of the industry, the context and the sheet. Fixed values.
 CHOICE, BOOSTS = 10, (10, 10, 5)
-#: White space as Python's split takes it.
-SPACE = r"(?U)[\s\x1C-\x1F]+"
 #: Above this score two thirds of the characters are common, and pairs of neighbours are looked at instead of single characters.
 PAIRS_FROM = 70.0
 #: A gram that more texts have among their rarest is dealt over several tasks.
@@ -32,35 +34,39 @@ _SCORES = {"token_sort": ratios.token_sort_ratio, "token_set": ratios.token_set_
 _EPS = 1e-6
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda t: t != "")
-
-
-def _grams(text: Column, width: int) -> Column:
-    """The characters of a text, or its pairs of neighbours with a space at both ends, each with the number of its occurrence."""
-    whole = text if width == 1 else F.concat(F.lit(" "), text, F.lit(" "))
-    n = F.char_length(whole) - (width - 1)
-    each = F.array_sort(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(whole, i, F.lit(width)))).otherwise(F.array(F.lit(""))))
-    return F.transform(each, lambda g, i: F.concat(g, F.lit("\x00"), (i + 1 - F.array_position(each, g)).cast("string")))
+def grams(text: str, width: int) -> list[str]:
+    """The characters of a text, or its pairs of neighbours with a space at both ends, each with the number of its occurrence; an empty text has one of its own."""
+    whole = text if width == 1 else f" {text} "
+    seen: dict[str, int] = {}
+    out = []
+    for gram in (whole[i : i + width] for i in range(max(1, len(whole) - width + 1))):
+        seen[gram] = seen.get(gram, 0) + 1
+        out.append(f"{gram}\x00{seen[gram]}")
+    return out
 
 
 def _signed(texts: DataFrame, name: str, kind: str, width: int) -> DataFrame:
-    """(block, name, size, grams, tokens) of different texts: tokens once each, their grams, and the length of the text that they make."""
+    """(block, name, size, grams, tokens) of different texts: their tokens, the grams and the length of the text that these make (by token set of each token once)."""
     rows = texts.select("block", name).where(F.col(name).isNotNull()).distinct()
-    tokens = _tokens(F.col(name))
-    tokens = tokens if kind == "token_sort" else F.array_distinct(tokens)
-    rows = rows.withColumn("tokens", tokens).withColumn("joined", F.array_join("tokens", " "))
-    return rows.select("block", name, F.char_length("joined").alias("size"), _grams(F.col("joined"), width).alias("grams"), F.array_distinct("tokens").alias("tokens"))
+    schema = StructType([*rows.schema, StructField("size", IntegerType()), StructField("grams", ArrayType(StringType())), StructField("tokens", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [t.split() for t in batch.column(1).to_pylist()]
+            once = [list(dict.fromkeys(t)) for t in tokens]
+            joined = [" ".join(t) for t in (tokens if kind == "token_sort" else once)]
+            columns = [pa.array(map(len, joined), pa.int32()), *(pa.array(c, pa.list_(pa.string())) for c in ([grams(t, width) for t in joined], once))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _in_order(left: DataFrame, right: DataFrame, names: tuple[str, str], items: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with their items in one order, the rarest of both first."""
-    exploded = [side.select("block", n, F.explode(items).alias("item")) for side, n in zip((left, right), names, strict=True)]
+    """(block, name, size, items) of both sides, with the items in one order, the rarest of both first."""
+    exploded = [side.select("block", n, "size", F.explode(items).alias("item")) for side, n in zip((left, right), names, strict=True)]
     counts = exploded[0].select("item").unionByName(exploded[1].select("item")).groupBy("item").agg(F.count("*").alias("n"))
-    out = []
-    for side, rows, n in zip((left, right), exploded, names, strict=True):
-        ordered = rows.join(counts, "item").groupBy("block", n).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda s: s["item"]).alias(items))
-        out.append(side.drop(items).join(ordered, ["block", n]))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda s: s["item"]).alias(items)
+    out = [rows.join(counts, "item").groupBy("block", n, "size").agg(in_order) for rows, n in zip(exploded, names, strict=True)]
     return out[0], out[1]
 
 

@@ -7,8 +7,10 @@ document) that Spark deals out; exact matches are joined before, so that only wh
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallymill.functions import amounts as A, ratios, text as T
@@ -19,19 +21,60 @@ LEAST, SURE, LEGACY_LEAST, SAME = 75.0, 90.0, 85.0, 85.0
 LEDGER_LINES = 300
 
 
+#: Rows of a batch of results.
+BATCH = 5000
+
+
+def _by_group(rows: DataFrame, key: str, order: list[str], run, ddl: str, fields: list[tuple[str, pa.DataType | str]]) -> DataFrame:
+    """What run gives, a list of tuples, for the rows of each key in order, as a list of tuples without the key. Groups pass a task one after another, so many small ones cost little. A field's type may be given by the name of a column."""
+    rows = rows.select(key, *[c for c in rows.columns if c != key])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, out, types = None, [], [], {}
+
+        def packed() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(fields)
+            return pa.RecordBatch.from_arrays([pa.array(c, types.get(t, t)) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+        for batch in batches:
+            types = {f.name: f.type for f in batch.schema}
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != here and held:
+                    out += [(here, *r) for r in run(held)]
+                    held = []
+                    if len(out) >= BATCH:
+                        yield packed()
+                        out = []
+                here = k
+                held.append(row)
+        if held:
+            out += [(here, *r) for r in run(held)]
+        if out:
+            yield packed()
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(stream, ddl)
+
+
 def greedy_pairs(old: list[str], new: list[str], score=ratios.token_set, least: float = LEAST) -> list[tuple[int, int, float]]:
-    """(place in old, place in new, score): each old label, in order, takes the best new one that is left; the first of equals. A score is computed once for a pair of labels, and only if they share a token or their lengths allow it."""
-    sign = lambda t: (frozenset(t.split()), len(" ".join(t.split())), len(" ".join(set(t.split()))))
-    signs, seen = {t: sign(t) for t in {*old, *new}}, {}
+    """(place in old, place in new, score): each old label, in order, takes the best new one that is left; the first of equals."""
+    return _greedy(old, new, _remembered(score, least), least)
+
+
+def _remembered(score, least: float):
+    """A score that is computed once for a pair of labels, of late pairs; 0 where their tokens and lengths rule out least."""
+    sign = lru_cache(100_000)(lambda t: (frozenset(t.split()), len(" ".join(t.split())), len(" ".join(set(t.split())))))
 
+    @lru_cache(500_000)
     def reached(a: str, b: str) -> float:
-        if (a, b) not in seen:
-            (x, most_x, least_x), (y, most_y, least_y) = signs[a], signs[b]
-            # common characters are at most the shorter text; repeated tokens count on one side only
-            possible = not x.isdisjoint(y) or 200 * min(most_x, most_y) >= least * (least_x + least_y) or not (x and y)
-            seen[a, b] = score(a, b) if possible else 0.0
-        return seen[a, b]
+        (x, most_x, least_x), (y, most_y, least_y) = sign(a), sign(b)
+        # common characters are at most the shorter text; repeated tokens count on one side only
+        possible = not x.isdisjoint(y) or 200 * min(most_x, most_y) >= least * (least_x + least_y) or not (x and y)
+        return score(a, b) if possible else 0.0
 
+    return reached
+
+
+def _greedy(old: list[str], new: list[str], reached, least: float) -> list[tuple[int, int, float]]:
     left, out = list(range(len(new))), []
     for i, key in enumerate(old):
         best, place = 0.0, -1
@@ -49,17 +92,22 @@ def greedy_pairs(old: list[str], new: list[str], score=ratios.token_set, least:
 def _paired(rows: DataFrame, score, least: float) -> DataFrame:
     """(group, old_id, new_id, score, old_amount, new_amount): the pairs of each group of rows (group, side, id, key, ord, amount), and its lines without one, in one pass."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        old, new = (group[group["side"] == s].sort_values(["ord", "id"]).to_dict("list") for s in ("old", "new"))
-        found = greedy_pairs(old["key"], new["key"], score, least)
-        gone, come = set(range(len(old["id"]))) - {i for i, *_ in found}, set(range(len(new["id"]))) - {k for _, k, _ in found}
+    tools: list = []
+
+    def run(lines: list) -> list[tuple]:
+        if not tools:  # once for each task
+            tools.append(_remembered(score, least))
+        old, new = ([x[2:] for x in lines if x[0] == s] for s in ("old", "new"))
+        found = _greedy([x[1] for x in old], [x[1] for x in new], tools[0], least)
+        gone, come = set(range(len(old))) - {i for i, *_ in found}, set(range(len(new))) - {k for _, k, _ in found}
         out = found + [(i, None, 0.0) for i in sorted(gone)] + [(None, k, 0.0) for k in sorted(come)]
-        pick = lambda side, field, at: None if at is None else side[field][at]
-        columns = {"group": [group["group"].iloc[0]] * len(out), "old_id": [pick(old, "id", i) for i, *_ in out], "new_id": [pick(new, "id", k) for _, k, _ in out], "score": [s for *_, s in out]}
-        return pd.DataFrame(columns | {"old_amount": [pick(old, "amount", i) for i, *_ in out], "new_amount": [pick(new, "amount", k) for _, k, _ in out]}, dtype=object)
+        pick = lambda side, at, field: None if at is None else side[at][field]
+        return [(pick(old, i, 0), pick(new, k, 0), s, pick(old, i, 2), pick(new, k, 2)) for i, k, s in out]
 
     amount = rows.schema["amount"].dataType.simpleString()
-    return rows.select("group", "side", "id", "key", "ord", "amount").groupBy("group").applyInPandas(run, f"group long, old_id string, new_id string, score double, old_amount {amount}, new_amount {amount}")
+    fields = [("group", pa.int64()), ("old_id", pa.string()), ("new_id", pa.string()), ("score", pa.float64()), ("old_amount", "amount"), ("new_amount", "amount")]
+    given = rows.select("group", "side", "ord", "id", "key", "amount")
+    return _by_group(given, "group", ["side", "ord", "id"], run, f"group long, old_id string, new_id string, score double, old_amount {amount}, new_amount {amount}", fields)
 
 
 def _both(old: DataFrame, new: DataFrame, key: Column) -> DataFrame:
@@ -104,17 +152,17 @@ def apply_diff(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.select("group", F.coalesce("old_id", "new_id").alias("id"), text.alias("source_text"), amount.alias("amount"), F.col("reclassify").alias("flagged"), (F.col("category") == "unchanged").alias("verified"))
 
 
-def _collapse(rows: pd.DataFrame) -> pd.DataFrame:
-    """Heads are looked up by amount, and of those near it the first with a like text is taken; an equal text needs no score."""
-    rows = rows.sort_values(["ord", "id"])
+def _collapse(lines: list) -> list[tuple]:
+    """(id, place, n) for a document's lines (ord, id, text, amount, priority). Heads are looked up by amount, and of those near it the first with a like text is taken; an equal text needs no score."""
     texts: list[str] = []
     amounts: list[float] = []
     by_amount: list[tuple[float, int]] = []
     best: list[tuple[int, int]] = []
     sizes: list[int] = []
-    for i, (text, amount, priority) in enumerate(zip(rows["key"], rows["amount"].astype(float), rows["priority"], strict=True)):
+    for i, (_, _, text, given, priority) in enumerate(lines):
+        amount = float("nan") if given is None else given
         reach = 0.0011 * abs(amount)
-        near = [] if amount != amount else by_amount[bisect_left(by_amount, (amount - reach, -1)) : bisect_right(by_amount, (amount + reach, len(rows)))]
+        near = [] if amount != amount else by_amount[bisect_left(by_amount, (amount - reach, -1)) : bisect_right(by_amount, (amount + reach, len(lines)))]
         for g in sorted(g for _, g in near):
             value, head = amounts[g], texts[g]
             close = value == amount == 0 or abs(amount - value) <= 0.001 * max(abs(amount), abs(value))
@@ -130,8 +178,7 @@ def _collapse(rows: pd.DataFrame) -> pd.DataFrame:
             amounts.append(amount)
             best.append((priority, i))
             sizes.append(1)
-    kept = rows.iloc[[i for _, i in best]]
-    return pd.DataFrame({"document_id": kept["document_id"], "id": kept["id"], "place": range(len(kept)), "n": sizes})
+    return [(lines[i][1], place, n) for place, ((_, i), n) in enumerate(zip(best, sizes, strict=True))]
 
 
 def collapse_near_duplicates(items: DataFrame) -> DataFrame:
@@ -140,5 +187,6 @@ def collapse_near_duplicates(items: DataFrame) -> DataFrame:
     A line joins the first group whose first line has a like text and amount; of a group the line of the best sheet stays, the first
     among equals, in the order of groups.
     """
-    rows = items.select("document_id", "id", F.lower("source_text").alias("key"), F.col("amount").cast("double").alias("amount"), T.sheet_priority(F.col("sheet")).alias("priority"), "ord")
-    return rows.groupBy("document_id").applyInPandas(_collapse, "document_id long, id string, place long, n long")
+    rows = items.select("document_id", "ord", "id", F.lower("source_text").alias("key"), F.col("amount").cast("double").alias("amount"), T.sheet_priority(F.col("sheet")).alias("priority"))
+    fields = [("document_id", pa.int64()), ("id", pa.string()), ("place", pa.int64()), ("n", pa.int64())]
+    return _by_group(rows, "document_id", ["ord", "id"], _collapse, "document_id long, id string, place long, n long", fields)
