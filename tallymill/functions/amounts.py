@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values.
 UNIT_DIVISOR = {"rupees": 1, "thousands": 1_000, "lakhs": 100_000, "crores": 10_000_000}
-SCALE = {"absolute": 1, "thousands": 1_000, "lakhs": 100_000, "crores": 10_000_000}
+SCALE = {"absolute": 1, "in_thousands": 1_000, "in_lakhs": 100_000, "in_crores": 10_000_000}
 YEAR_COLUMNS = "BCDEFGHIJKLM"
 BUCKETS = [("pl_income", 22, 34), ("pl_expense", 41, 108), ("bs_liability", 110, 160), ("bs_asset", 161, 258)]
 REAL_FORMULA = r"[A-Za-z][A-Za-z0-9]*\(|[A-Za-z]{1,3}\d+|!|:"
@@ -36,7 +36,8 @@ def divisor(source_unit: Column, out_unit: Column) -> Column:
 
 
 def scale(name: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in SCALE.items() for v in kv]), F.lower(name)), F.lit(1))
+    """What amounts of a page are multiplied by, as the page's reply names it; 1 for any other name and for null."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in SCALE.items() for v in kv]), name), F.lit(1))
 
 
 def converted(amount: Column, source_unit: Column, out_unit: str = "lakhs") -> Column:

@@ -19,6 +19,9 @@ SKIPPED_SHEET = r"(?i)(?:ledger|g\.?\s*l\.?|general\s*ledger|ageing|aging|msme|r
 NOTE_SHEET = r"(?i)(?:notes?\b|schedule|particular|statement\s*of)"
 # Fixed value: names of sheets with the statements themselves.
 FACE_SHEET = r"(?i)(?:balance\s*sheet|b\.?\s*s\.?|p\s*[&.]\s*l|profit\s*(?:and|&)?\s*loss|income\s*statement|cash\s*flow|trading|manufacturing|receipt\s*(?:and|&)\s*payment)"
+#: Page types of model replies. Fixed values.
+FACE_PAGES = ["profit_and_loss", "balance_sheet", "trading_account"]
+NOTE_PAGES = ["notes_to_accounts", "schedules"]
 #: A company's name ends with its legal form. Fixed value.
 COMPANY = r"(?i)([A-Z][A-Za-z\s&.\-]+?(?:Private\s+Limited|Pvt\.?\s*Ltd\.?|Corporation\s+Limited|Limited|Ltd\.?|LLP))"
 
@@ -106,6 +109,11 @@ def sheet_page_type(name: Column) -> Column:
     return F.when(F.rlike(name, F.lit(NOTE_SHEET)), "notes").when(F.rlike(name, F.lit(FACE_SHEET)), "face").otherwise("unknown")
 
 
+def page_type(name: Column) -> Column:
+    """Kind of a page from its type in a model's reply."""
+    return F.when(name.isin(FACE_PAGES), "face").when(name.isin(NOTE_PAGES), "notes").otherwise("unknown")
+
+
 def is_section_header(label: Column) -> Column:
     label = strip(label)
     return (label == F.upper(label)) & F.rlike(label, F.lit(r"\p{L}"))

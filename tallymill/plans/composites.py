@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallymill.functions import amounts as A, ratios, text as T
-from tallymill.operators import budgets, cells, matching, retrieval, snapshots
+from tallymill.operators import budgets, cells, matching, promotions, retrieval, snapshots
 from tallymill.operators.ranking import first_per_key, last_wins, majority, top_per_key
 from tallymill.operators.upserts import update_by_key, upsert_counts
 from tallymill.plans.base import query
@@ -274,6 +274,15 @@ def i37(spark, sf_dir):
     return line_items(spark, sf_dir).select("document_id", F.col("ord.a").alias("oa"), F.col("ord.b").alias("ob"), F.col("ord.c").alias("oc"), F.coalesce(F.last(heading, ignorenulls=True).over(above), F.lit("")).alias("note"), (F.col("amount") * 100000).cast("double").alias("scaled"))
 
 
+@query("i38_promoted_rules", """SELECT id, CASE WHEN who <> 'other' THEN row_number() OVER (PARTITION BY who ORDER BY id) END AS version, '- **[CA_VERIFIED_2026]** If source text matches "' || name || '", classify to Row ' || (22 + client_id % 237) || '.' AS line, CASE WHEN who = 'other' THEN 'Unknown specialist: other' END AS error
+  FROM (SELECT s.id, s.client_id, name, ['pl_income', 'pl_expense', 'bs_liability', 'bs_asset', 'other'][s.id % 5 + 1] AS who FROM statements s JOIN clients c ON s.client_id = c.id)""")
+def i38(spark, sf_dir):
+    who = F.element_at(F.array(*map(F.lit, [*promotions.SPECIALISTS, "other"])), (F.col("id") % 5 + 1).cast("int"))
+    names = clients(spark, sf_dir).select(F.col("id").alias("client_id"), "name")
+    rules = statements(spark, sf_dir).join(names, "client_id").select("id", who.alias("specialist"), promotions.rule_line(F.col("name"), 22 + F.col("client_id") % 237).alias("line"))
+    return promotions.promoted(rules, "id").select("id", "version", "line", "error")
+
+
 @query("i39_keyword_rules", "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(p_type, 'STEEL') THEN 'confirmed' WHEN regexp_matches(p_type, 'TIN') THEN 'dispute' WHEN p_size < 5 THEN 'excluded' ELSE 'truly_unverified' END AS verdict FROM part) GROUP BY verdict")
 def i39(spark, sf_dir):
     verdict = F.when(F.rlike("p_type", F.lit("STEEL")), "confirmed").when(F.rlike("p_type", F.lit("TIN")), "dispute").when(F.col("p_size") < 5, "excluded").otherwise("truly_unverified")

@@ -8,6 +8,7 @@ from tallymill.functions import amounts as A
 from tallymill.operators.ranking import first_per_key, last_wins
 from tallymill.operators.upserts import compare_and_set, insert_absent, replace_groups, update_by_key, upsert_counts
 from tallymill.plans.base import query
+from tallymill.sources import replies
 from tallymill.sources.files import new_path, read_csv, write_csv, write_json
 from tallymill.sources.relations import classifications, clients, fields, line_items, mappings, read, statements
 
@@ -48,6 +49,29 @@ def a8(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", cell.alias("cell"))
 
 
+_REPLY_LINES = "SELECT *, coalesce(CASE WHEN ob % 8 <> 0 THEN amount::VARCHAR END, 'n/a') AS raw, CASE document_id % 4 WHEN 0 THEN 'face' WHEN 1 THEN 'notes' ELSE 'unknown' END AS page_type, CASE document_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 100000 WHEN 3 THEN 10000000 ELSE 1 END AS factor FROM line_items WHERE document_id % 4 <> 2 AND document_id % 11 <> 5 AND ob % 9 <> 0"
+
+
+@query("a9_reply_items", f"SELECT document_id, trim(source_text) AS description, (raw::DOUBLE * factor)::DOUBLE AS amount, lower(section) AS section, '[Page ' || (document_id % 3 + 1) || '] ' || trim(source_text) || '  ' || raw AS raw_text, page_type FROM ({_REPLY_LINES}) WHERE raw <> 'n/a'")
+def a9(spark, sf_dir):
+    # replies about a page for each document: some fenced, some cut off, some items without a description or a number
+    doc = F.col("document_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (doc % n + 1).cast("int"))
+    description = F.when(F.col("ord.b") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "source_text"))
+    amount = F.when(F.col("ord.b") % 8 == 0, "n/a").otherwise(F.col("amount").cast("string"))
+    items = line_items(spark, sf_dir).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(description.alias("description"), amount.alias("amount"), "section"))).alias("items"))
+    page = F.struct((doc % 3 + 1).alias("page_number"), pick(["balance_sheet", "schedules", "auditor_report", "cover"], 4).alias("page_type"), pick(["absolute", "in_thousands", "in_lakhs", "in_crores", "furlongs"], 5).alias("scale_factor"), "items")
+    json = F.to_json(F.struct(F.array(page).alias("page_results")))
+    reply = F.when(doc % 11 == 5, F.concat(F.lit("No "), json)).when(doc % 3 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).otherwise(json)
+    return replies.reply_items(items.select("document_id", reply.alias("reply")), ["document_id"]).select("document_id", "description", "amount", "section", "raw_text", "page_type")
+
+
+@query("a12_readers", "SELECT id, CASE t WHEN 'pdf' THEN 'pages' WHEN 'docx' THEN NULL ELSE 'workbook' END AS reader, CASE WHEN t = 'docx' THEN 'Unsupported file type: ''docx''. Must be one of: xlsx, xls, pdf.' END AS error FROM (SELECT id, CASE WHEN id % 7 = 0 THEN 'docx' ELSE file_type END AS t FROM statements)")
+def a12(spark, sf_dir):
+    file_type = F.when(F.col("id") % 7 == 0, "docx").when(F.col("id") % 2 == 0, F.upper("file_type")).otherwise(F.col("file_type"))
+    return replies.with_reader(statements(spark, sf_dir).select("id", file_type.alias("file_type"))).select("id", "reader", "error")
+
+
 @query("a10_json_items", "SELECT event_id, json_extract(props, '$.k')::INTEGER AS k FROM events")
 def a10(spark, sf_dir):
     # a payload is a list, or an object with a list of items

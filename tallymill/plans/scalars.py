@@ -99,7 +99,7 @@ def c10(spark, sf_dir):
 
 @query("c11_scale", "SELECT id, CASE source_unit WHEN 'thousands' THEN 1000 WHEN 'lakhs' THEN 100000 WHEN 'crores' THEN 10000000 ELSE 1 END::INTEGER AS factor FROM statements")
 def c11(spark, sf_dir):
-    return statements(spark, sf_dir).select("id", A.scale(F.col("source_unit")).cast("int").alias("factor"))
+    return statements(spark, sf_dir).select("id", A.scale(F.concat(F.lit("in_"), "source_unit")).cast("int").alias("factor"))
 
 
 _SHEETS = ["Notes BS (2)", "P & L", "Balance Sheet", "Trial Balance", "Schedule 3", "Stock Register", "Cash Flow", "", "Index", "GST detail", "Manufacturing"]
@@ -123,11 +123,10 @@ def b3(spark, sf_dir):
     return _sheets(spark, sf_dir).select("o_orderkey", T.sheet_priority(F.col("sheet")).alias("priority"), T.sheet_page_type(F.col("sheet")).alias("page_type"))
 
 
-@query("c12_page_type", "SELECT o_orderkey, CASE o_orderpriority[1] WHEN '1' THEN 'face' WHEN '2' THEN 'notes' ELSE 'unknown' END AS page_type FROM orders")
+@query("c12_page_type", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'face' WHEN 1 THEN 'notes' WHEN 2 THEN 'face' WHEN 3 THEN 'notes' WHEN 4 THEN 'face' ELSE 'unknown' END AS page_type FROM orders")
 def c12(spark, sf_dir):
-    raw = F.when(F.substring("o_orderpriority", 1, 1) == "1", " FACE ").when(F.substring("o_orderpriority", 1, 1) == "2", "Notes").otherwise("cover")
-    low = F.lower(T.strip(raw))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.when(low.isin("face", "notes"), low).otherwise("unknown").alias("page_type"))
+    raw = F.element_at(F.array(*map(F.lit, ["profit_and_loss", "schedules", "balance_sheet", "notes_to_accounts", "trading_account", "cover"])), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.page_type(raw).alias("page_type"))
 
 
 @query("c13_to_crores", "SELECT o_orderkey, round(o_totalprice::DECIMAL(14,2)::DECIMAL(24,12) / 10000000, 6)::DECIMAL(18,6)::DOUBLE AS crores FROM (SELECT o_orderkey, round(o_totalprice::DECIMAL(14,2) * 0.0000001, 6)::DOUBLE AS x, o_totalprice FROM orders)".replace("round(o_totalprice::DECIMAL(14,2)::DECIMAL(24,12) / 10000000, 6)::DECIMAL(18,6)::DOUBLE", "x"))

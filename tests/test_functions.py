@@ -61,3 +61,8 @@ def test_sheets(spark):
     assert [one(spark, T.is_relevant_sheet, s) for s in ("P & L", "Trial Balance", "Index", "", "Notes BS (2)")] == [True, False, False, False, True]
     assert one(spark, T.sheet_page_type, "Notes BS (2)") == "notes"
     assert one(spark, T.company_names, "Acme Ltd; ACME LTD; Bolt Private Limited") == ["Acme Ltd", "Bolt Private Limited"]
+
+
+def test_page_types_and_scales_of_replies(spark):
+    assert [one(spark, T.page_type, x) for x in ("profit_and_loss", "schedules", "cover", None)] == ["face", "notes", "unknown", "unknown"]
+    assert [one(spark, A.scale, x) for x in ("in_lakhs", "lakhs", None)] == [100_000, 1, 1]

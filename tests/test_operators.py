@@ -5,8 +5,10 @@ import pytest
 from tallymill.functions import ratios
 from tallymill.operators import matching, snapshots
 from tallymill.operators.budgets import running_cost
+from tallymill.operators.promotions import promoted, text_at
 from tallymill.operators.retrieval import nearest
 from tallymill.operators.upserts import insert_absent, replace_groups, update_by_key, upsert_counts
+from tallymill.sources.replies import reply_items, with_reader
 from tallymill.streaming.counters import counts, event_stream, maintain
 
 LINES = "group long, id string, source_text string, amount decimal(12,2), ord long"
@@ -328,3 +330,31 @@ def test_stream_gives_the_complete_hours(spark, tmp_path):
     everything = {(r.start.hour, r.event_type, r.n) for r in counts(events).collect()}
     assert everything == {(0, "a", 2), (1, "unknown", 1), (9, "b", 1)}
     assert done == {(0, "a", 2), (1, "unknown", 1)}
+
+
+def test_reply_items_of_odd_replies(spark):
+    page = '{"page_number": 2, "page_type": "schedules", "scale_factor": "in_thousands", "items": [{"description": " Rent ", "amount": 1.5, "section": " Expenses "}, {"description": " ", "amount": 3}, {"description": "Tax", "amount": null}, {"description": "Fee", "amount": "1,000"}, {"amount": 4}, {"description": "Gain", "amount": "-2e1", "ambiguity_question": " which? "}]}'
+    skipped = '{"page_type": "auditor_report", "items": [{"description": "Fee", "amount": 1}]}'
+    rows = [(1, f'```json\n{{"page_results": [{skipped}, {page}]}}\n```'), (2, "no idea"), (3, None), (4, "{}"), (5, ""), (6, '{"page_results": [{"items": [{"description": "Cash", "amount": "7"}]}]}')]
+    found = sorted(tuple(r) for r in reply_items(spark.createDataFrame(rows, "id int, reply string"), ["id"]).collect())
+    assert found == [
+        (1, 1, 0, "Rent", 1500.0, "expenses", "[Page 2] Rent  1.5", "notes", None),
+        (1, 1, 5, "Gain", -20000.0, "", "[Page 2] Gain  -2e1", "notes", "which?"),
+        (6, 0, 0, "Cash", 7.0, "", "[Page ?] Cash  7", "unknown", None),
+    ]
+    assert reply_items(spark.createDataFrame([], "id int, reply string"), ["id"]).collect() == []
+
+
+def test_reader_by_file_type(spark):
+    rows = with_reader(spark.createDataFrame([("PDF",), ("xls",), ("docx",), (None,)], "file_type string")).collect()
+    assert [r.reader for r in rows] == ["pages", "workbook", None, None]
+    assert [r.error is None for r in rows] == [True, True, False, False] and "'docx'" in rows[2].error
+
+
+def test_promoted_rules_and_earlier_texts(spark):
+    rules = [(1, "bs_asset", "a"), (5000, "bs_asset", "b"), (7, "nobody", "c"), (9, None, "d"), (10000, "bs_asset", "e"), (3, "pl_income", "f")]
+    done = promoted(spark.createDataFrame(rules, "id long, specialist string, line string"), "id")
+    assert {r.line: (r.version, r.error is None) for r in done.collect()} == {"a": (1, True), "b": (2, True), "e": (3, True), "f": (1, True), "c": (None, False), "d": (None, False)}
+    base = spark.createDataFrame([("bs_asset", "Assets"), ("pl_expense", "Costs")], "specialist string, text string")
+    assert {r.specialist: r.text for r in text_at(base, done, 2).collect()} == {"bs_asset": "Assets\n\na\n\nb", "pl_expense": "Costs"}
+    assert {r.text for r in text_at(base, done, 0).collect()} == {"Assets", "Costs"}
