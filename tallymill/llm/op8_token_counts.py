@@ -8,6 +8,7 @@ first byte; ``share`` splits it by bytes. Counts of all sections of a document a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymill.llm.common import table
+from tallymill.llm.op9_bpe import _coder as own_coder
+
+#: The library's pattern engine stops with an error in runs of about a million white spaces. Texts with runs of this length are left to the heap encoder, which gives the same ids.
+LONG_BLANKS = 500_000
+_long_blanks = re.compile(rf"\s{{{LONG_BLANKS}}}").search
 
 _coders: dict[tuple[str, str], tuple] = {}
 
@@ -34,6 +40,13 @@ def _coder(ranks_path: str, pattern: str) -> tuple:
     return _coders[ranks_path, pattern]
 
 
+def encoded(text: str, ranks_path: str, pattern: str) -> np.ndarray:
+    """The ids of a text, however long it and its runs are."""
+    if len(text) >= LONG_BLANKS and _long_blanks(text):
+        return np.frombuffer(own_coder(ranks_path, pattern).encode([text])[0], np.int32)
+    return np.asarray(_coder(ranks_path, pattern)[0].encode_ordinary(text), np.int64)
+
+
 def attribute(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each section under the rules most, start and share; ends: of all tokens in order; bounds: where sections begin, and the end of the text.
 
@@ -74,7 +87,7 @@ def count_sections(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, lengths = _coder(ranks_path, pattern)
+        lengths = _coder(ranks_path, pattern)[1]
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 part = batch.slice(i, 100)
@@ -82,7 +95,7 @@ def count_sections(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 for row, text in enumerate(part.column(1).to_pylist()):
                     raw = text.encode()
                     bounds = line_bounds(raw)
-                    ends = np.cumsum(lengths[np.asarray(coder.encode_ordinary(text), np.int64)]) if raw else np.zeros(0, np.int64)
+                    ends = np.cumsum(lengths[encoded(text, ranks_path, pattern)]) if raw else np.zeros(0, np.int64)
                     most, start, share = attribute(ends, bounds) if raw else (np.zeros(1, np.int64),) * 2 + (np.zeros(1),)
                     # code points begin at every byte but the continuations
                     chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])[bounds] if not text.isascii() else bounds

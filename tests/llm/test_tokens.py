@@ -204,6 +204,17 @@ def test_sections_tile_texts(spark, docs):
         assert len(own) == max(1, len(text.splitlines()) if "\n" in text else 1)
 
 
+def test_runs_of_white_space_that_stop_the_library(spark):
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    text = "ab\n" + " " * 1_100_000 + "\ncd"
+    rows = op8.count_sections(spark.createDataFrame([(1, text)], "doc_id long, text string"), ranks, pattern).orderBy("section").collect()
+    assert [(r.char_start, r.char_end) for r in rows] == [(0, 3), (3, 1_100_004), (1_100_004, 1_100_006)]
+    ids = op8.encoded(text, ranks, pattern)
+    token = {rank: token for token, rank in op9.read_ranks(ranks).items()}
+    assert b"".join(map(token.__getitem__, ids.tolist())) == text.encode()
+    assert sum(r.n_tokens for r in rows) == len(ids)
+
+
 def test_section_counts_of_the_whole_query(spark):
     import tiktoken
 
