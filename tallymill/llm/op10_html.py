@@ -33,6 +33,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BONUS = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "form": -50.0}
 #: Levels that points climb, and the share of the best container's points from which a sibling is kept.
 LEVELS, SIBLING = 5, 0.2
+#: Elements nested deeper than this, as in browsers, stand beside one another, so that no walk up the tree is long.
+MOST_DEPTH = 512
 
 _tag = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*>?|/([a-zA-Z][^\s>/]*)[^>]*>?|([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _attribute = re.compile(r"(?:^|\s|/)(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -43,11 +45,12 @@ _blank = re.compile(r"\s+")
 class Node:
     """An element; children are nodes and strings."""
 
-    __slots__ = ("attributes", "children", "links", "name", "parent", "points", "size", "unwanted")
+    __slots__ = ("attributes", "children", "depth", "links", "name", "parent", "points", "size", "unwanted")
 
     def __init__(self, name: str, parent: Node | None = None, attributes: str = ""):
         self.name, self.parent, self.attributes, self.children = name, parent, attributes, []
         self.points, self.size, self.links, self.unwanted = 0.0, 0, 0, False
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def parse(html: str) -> Node:
@@ -79,6 +82,8 @@ def parse(html: str) -> Node:
                     if up.name in CLOSED_BY and name in CLOSED_BY[up.name]:
                         here = up.parent
                     up = up.parent
+            if here.depth == MOST_DEPTH:
+                here = here.parent
             node = Node(name, here, match[3] or "")
             here.children.append(node)
             if name in VOID or (match[3] or "").endswith("/") and name not in BLOCKS and name not in RAW:

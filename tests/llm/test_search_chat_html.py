@@ -182,6 +182,8 @@ def test_signs_without_width_do_not_part_words():
 
 def test_deep_and_broken_markup():
     assert op10.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
+    # walks up the tree stay short
+    assert op10.main_text("<article>" + "<b>" * 30_000 + "x" + "<p>y" * 30_000 + "</b>" * 30_000) == "\n\n".join(["x"] + ["y"] * 30_000)
     assert op10.main_text("<p>a</b></div><p>b<") in ("a\n\nb<", "a\n\nb")
     assert op10.main_text("<script>unclosed <p>x") == ""
     assert len(op10.main_text("<p>" + "long, text " * 100000)) == 11 * 100000 - 1
