@@ -247,15 +247,21 @@ def compare_blocks(rows: pa.Table) -> pa.Table:
 def full_comparison(met: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) in the buckets that hold several classes."""
     known = met.join(classes.withColumnRenamed("class", "found"), "node", "left").select("band", "bucket", "node", F.coalesce("found", "node").alias("class"))
-    mixed = known.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = known.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    parts = known.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top")).where("n > top.n")
+    # the nodes of the largest class are linked already: they have blocks of their own, after the others', which meet only the others'
+    apart, blocks = F.col("n") > BLOCK, lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = whole.select("bucket", F.when(apart, F.col("top.class")).alias("large"), F.when(apart, blocks(F.col("n") - F.col("top.n"))).otherwise(1).alias("few"), F.when(apart, blocks(F.col("top.n"))).otherwise(0).alias("many"))
+    is_large, deal = F.coalesce(F.col("class") == F.col("large"), F.lit(False)), lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
+    dealt = known.join(mixed, "bucket").withColumn("block", F.when(is_large, F.col("few") + deal("many")).otherwise(deal("few")))
+    last = F.when(is_large, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).drop("large", "few", "many")
     paired = paired.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
     signed = sets.select("node", "sig", F.expr("octet_length(items) div 8").alias("size"))
     rows = paired.join(signed, "node").select("band", "bucket", "i", "j", "block", "node", "class", "sig", "size")
     members = rows.groupBy("bucket", "i", "j").applyInArrow(likely_members, "band int, bucket long, i int, j int, block int, node long, class long")
-    whole = members.join(sets.withColumn("size", F.expr("octet_length(items) div 8")), "node")
-    return whole.select("band", "bucket", "i", "j", "block", "node", "class", "sig", "size", "items").groupBy("bucket", "i", "j").applyInArrow(compare_blocks, "a long, b long")
+    items = members.join(sets.withColumn("size", F.expr("octet_length(items) div 8")), "node")
+    return items.select("band", "bucket", "i", "j", "block", "node", "class", "sig", "size", "items").groupBy("bucket", "i", "j").applyInArrow(compare_blocks, "a long, b long")
 
 
 def near_classes(links: DataFrame) -> DataFrame:

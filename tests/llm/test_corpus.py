@@ -270,6 +270,23 @@ def test_a_family_of_near_copies_in_blocks(spark, monkeypatch):
     assert all(truth[found[i]] == truth[i] for i in found)
 
 
+def test_a_large_class_and_those_that_hang_on_it(spark, monkeypatch):
+    """Copies of one text, and copies of these that are like their own model alone: no link is lost where the large class is not compared with itself."""
+    monkeypatch.setattr(op7, "BLOCK", 8)
+    base = [f"w{i}" for i in range(140)]
+
+    def edited(words, at, name):
+        return [f"{name}-{i}" if i in at else w for i, w in enumerate(words)]
+
+    rows = [(0, " ".join(base))]
+    for k in range(1, 41):
+        near = edited(base, (k, k + 45), f"x{k}")
+        rows += [(k, " ".join(near)), (100 + k, " ".join(edited(near, (k + 20, k + 95), f"y{k}")))]
+    truth = brute_classes(rows)
+    assert set(truth.values()) == {0}
+    assert {r.doc_id: r.class_id for r in op7.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == truth
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = op7.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
