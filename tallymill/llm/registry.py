@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op7_bagminhash, op8_token_counts, op9_bpe, op10_html
+from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op7_bagminhash, op8_token_counts, op9_bpe, op10_html, op11_nra
 from tallymill.llm.common import for_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,8 @@ _QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts.query,
     "op9_bpe": op9_bpe.query,
     "op10_html": op10_html.query,
+    "op11_nra": op11_nra.query,
 }
 
 QUERIES: dict[str, Query] = {name: for_texts(query) for name, query in _QUERIES.items()}
-ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op5_mixing": op5_mixing.SQL, "op6_chat": op6_chat.SQL}
+ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op5_mixing": op5_mixing.SQL, "op6_chat": op6_chat.SQL, "op11_nra": op11_nra.SQL}
