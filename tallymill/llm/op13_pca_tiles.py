@@ -118,7 +118,8 @@ def tiles(nodes: DataFrame, shared, n_nodes: int) -> DataFrame:
             v = _matrix(rows["v"].chunk(0))
             d = v.shape[1]
             c = unit(v) @ shared.value[d] if d in shared.value else unit(v)
-            short = v.astype(np.float32)
+            with np.errstate(over="ignore"):
+                short = v.astype(np.float32)
             packed = [x.to_numpy().astype(np.int64).tobytes() for x in (rows["gid"], rows["node"], rows["n"])]
             values = (short if np.array_equal(short, v) else v).tobytes()
             columns = [[number], [d], *[[x] for x in (*packed, values)], [c[:, :BOX].min(0)], [c[:, :BOX].max(0)]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op7_bagminhash, op8_token_counts, op9_bpe, op10_html, op11_nra, op13_pca_tiles
+from tallymill.llm import op1_token_files, op2_quality, op3_topk, op4_toxicity, op5_mixing, op6_chat, op7_bagminhash, op8_token_counts, op9_bpe, op10_html, op11_nra, op12_phrases, op13_pca_tiles
 from tallymill.llm.common import for_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,9 @@ _QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe.query,
     "op10_html": op10_html.query,
     "op11_nra": op11_nra.query,
+    "op12_phrases": op12_phrases.query,
     "op13_pca_tiles": op13_pca_tiles.query,
 }
 
 QUERIES: dict[str, Query] = {name: for_texts(query) for name, query in _QUERIES.items()}
-ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op5_mixing": op5_mixing.SQL, "op6_chat": op6_chat.SQL, "op11_nra": op11_nra.SQL, "op13_pca_tiles": op13_pca_tiles.SQL}
+ORACLES: dict[str, str] = {"op2_quality": op2_quality.SQL, "op3_topk": op3_topk.SQL, "op5_mixing": op5_mixing.SQL, "op6_chat": op6_chat.SQL, "op11_nra": op11_nra.SQL, "op12_phrases": op12_phrases.SQL, "op13_pca_tiles": op13_pca_tiles.SQL}
