@@ -128,7 +128,7 @@ def nra(lists: list[tuple[np.ndarray, np.ndarray]], n_docs: int, k: int, floor:
         wanted = [j for j in open_ if int(undecided[lists[j][0][: depth[j]]].sum()) < n]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, lengths, document of each posting, its term, its frequency) of some thousand documents at a time."""
     ids, lengths, sizes, terms, tfs, held = [], [], [], [], [], 0
 
@@ -148,7 +148,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 terms.append(t)
                 tfs.append(f)
                 held += len(t) // 4
-                if len(ids) >= SHARD or held >= SHARD_POSTINGS:
+                if len(ids) >= size or held >= SHARD_POSTINGS:
                     yield shard()
                     held = 0
     if ids:
@@ -163,12 +163,12 @@ def impacts(term: np.ndarray, tf: np.ndarray, length: np.ndarray, weight: np.nda
 
 def _search(rows: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]], weight: np.ndarray, n_docs: int, n_words: int, k: int) -> DataFrame:
     """(item, doc_id, score): the k best of each task's documents for each item, given as (item, terms, counts)."""
-    shared = rows.sparkSession.sparkContext.broadcast((asked, weight))
+    shared, size = rows.sparkSession.sparkContext.broadcast((asked, weight)), SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, w = shared.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2] * len(items)
-        for ids, lengths, where, term, tf in _shards(batches):
+        for ids, lengths, where, term, tf in _shards(batches, size):
             value = impacts(term, tf, lengths[where], w, n_docs, n_words)
             order = np.lexsort((-value, term))
             order = order[value[order] > 0]

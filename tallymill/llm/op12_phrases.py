@@ -29,10 +29,12 @@ TOP, LEAST_COUNT, INSIDE_PERCENT, SCALE = 2000, 10, 50, 1_000_000
 NO_LANG = "und"
 #: Each wave goes down to the score of the language's pair at a rank so many times as far.
 DEEPER = 8
+#: Languages that are broadcast.
+MOST_LANGS = 10_000
 #: Places of a filter as a power of two: 32 MB.
 FILTER_BITS = 25
 #: Bytes of text that are cut into words at a time (more if one word is longer), and words that are counted at a time.
-PIECE, COUNTED = 1 << 21, 3_000_000
+PIECE, COUNTED = 1 << 20, 1_500_000
 
 #: Only A-Z change; blanks part words, a line feed stands for all signs that part pieces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -81,11 +83,11 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -
 class Words:
     """The words of some texts: hashes, pieces and places."""
 
-    __slots__ = ("check", "data", "ends", "hash", "lang", "piece", "starts")
+    __slots__ = ("check", "data", "ends", "hash", "of_lang", "piece", "starts")
 
 
 def words_of(texts: list[bytes | None], langs: list[str | None], seed: int, check: bool = False) -> Words:
-    """Words of texts in order. No piece goes beyond a text, and the hash of a word has its language in it. lang: places in ``langs``."""
+    """Words of texts in order. No piece goes beyond a text, and the hash of a word has its language in it."""
     out = Words()
     joined = b"\n".join(t or b"" for t in texts).translate(_FOLD)
     out.data = data = np.frombuffer(joined, np.uint8)
@@ -94,14 +96,11 @@ def words_of(texts: list[bytes | None], langs: list[str | None], seed: int, chec
     out.starts, out.ends = edges[0::2], edges[1::2]
     breaks = np.flatnonzero(data == 10)
     out.piece = np.searchsorted(breaks, out.starts)
-    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
-    out.lang = np.searchsorted(bounds, out.starts, "right")
-    from xxhash import xxh3_64_intdigest
-
-    own = {x: xxh3_64_intdigest((NO_LANG if x is None else x).encode(), seed) for x in set(langs)}
+    own = {x: _lang_hash(x, seed) for x in set(langs)}
     of_text = np.array([own[x] for x in langs], np.uint64)
-    out.hash = _mix(_hashes(data, out.starts, out.ends, seed) ^ of_text[out.lang])
-    out.check = _mix(_hashes(data, out.starts, out.ends, seed + 1) + of_text[out.lang]) if check else None
+    out.of_lang = of_text[np.searchsorted(np.cumsum([len(t or b"") + 1 for t in texts]), out.starts, "right")]
+    out.hash = _mix(_hashes(data, out.starts, out.ends, seed) ^ out.of_lang)
+    out.check = _mix(_hashes(data, out.starts, out.ends, seed + 1) + out.of_lang) if check else None
     return out
 
 
@@ -139,45 +138,57 @@ _signed = lambda x: pa.array(x.view(np.int64))
 
 
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
-    """(h, check, lang, word, n): how often each task meets a word of a language; check is its second hash."""
-    names = ["h", "check", "lang", "word", "n"]
+    """(h, check, lang_h, word, n): how often each task meets a word of a language; check is its second hash, lang_h the hash of its language."""
+    names = ["h", "check", "lang_h", "word", "n"]
+    most = COUNTED // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, checks, counts, words, langs, held = [], [], [], [], [], 0
+        numbers, words, held = [], [], 0
 
-        def packed() -> pa.RecordBatch:
-            h, c, n = np.concatenate(hashes), np.concatenate(checks), np.concatenate(counts)
+        def grouped(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order = np.lexsort((c, h))
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)]))
+            return order, np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)]))
+
+        def packed() -> pa.RecordBatch:
+            h, c, lang, n = (np.concatenate(x) for x in zip(*numbers, strict=True))
+            order, first = grouped(h, c)
             at = order[first]
-            lang, word = pa.array(langs, pa.string()).take(pa.array(at)), pa.array(words, pa.binary()).take(pa.array(at))
-            out = pa.RecordBatch.from_arrays([_signed(h[at]), _signed(c[at]), lang, word.cast(pa.string()), pa.array(np.add.reduceat(n[order], first))], names)
-            for x in (hashes, checks, counts, words, langs):
-                x.clear()
-            return out
+            word = pa.concat_arrays(words).take(pa.array(at)).cast(pa.string())
+            return pa.RecordBatch.from_arrays([_signed(h[at]), _signed(c[at]), _signed(lang[at]), word, pa.array(np.add.reduceat(n[order], first))], names)
 
         for given, of in _in_pieces(batches):
             w = words_of(given, of, seed, check=True)
             if not len(w.hash):
                 continue
-            order = np.lexsort((w.check, w.hash))
-            h, c = w.hash[order], w.check[order]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(c) != 0)]))
+            order, first = grouped(w.hash, w.check)
             at = order[first]
-            hashes.append(h[first])
-            checks.append(c[first])
-            counts.append(np.diff(np.append(first, len(h))))
+            numbers.append((w.hash[at], w.check[at], w.of_lang[at], np.diff(np.append(first, len(order)))))
             raw = w.data.tobytes()
-            words.extend(raw[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True))
-            langs.extend(NO_LANG if of[i] is None else of[i] for i in w.lang[at].tolist())
+            words.append(pa.array([raw[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)], pa.binary()))
             held += len(first)
-            if held >= COUNTED // 4:
+            if held >= most:
                 yield packed()
-                held = 0
+                numbers, words, held = [], [], 0
         if held:
             yield packed()
 
-    return texts.mapInArrow(run, "h long, check long, lang string, word string, n long")
+    return texts.mapInArrow(run, "h long, check long, lang_h long, word string, n long")
+
+
+def _lang_hash(lang: str | None, seed: int) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest((NO_LANG if lang is None else lang).encode(), seed)
+
+
+def languages(texts: DataFrame, seed: int) -> DataFrame:
+    """(lang_h, lang) of the languages, which are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_signed(np.array([_lang_hash(x, seed) for x in batch.column(0).to_pylist()], np.uint64)), batch.column(0)], ["lang_h", "lang"])
+
+    return texts.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang")).distinct().mapInArrow(run, "lang_h long, lang string")
 
 
 def _counted(texts: DataFrame, seed: int, size: int, shared: Callable, keep: Callable[[Words, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -220,8 +231,8 @@ def _counted(texts: DataFrame, seed: int, size: int, shared: Callable, keep: Cal
     return rows.groupBy(*names[:-1]).agg(F.sum("n").alias("a")).where(F.col("a") >= LEAST_COUNT)
 
 
-def _place(h: np.ndarray) -> np.ndarray:
-    return (_mix(h) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _place(h: np.ndarray, places: int) -> np.ndarray:
+    return (_mix(h) & np.uint64(places - 1)).astype(np.int64)
 
 
 def _pair(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -230,12 +241,12 @@ def _pair(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 def make_filter(rows: DataFrame, columns: list[str]) -> np.ndarray:
     """Flags at the places of (hash columns, flag byte): chunks are put together by Spark, so the driver gets 2 ** FILTER_BITS bytes at most."""
-    chunk = 12
+    chunk, size = 12, 1 << FILTER_BITS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [c.to_numpy().view(np.uint64) for c in batch.columns[:-1]]
-            at = _place(h[0] if len(h) == 1 else _pair(*h))
+            at = _place(h[0] if len(h) == 1 else _pair(*h), size)
             yield pa.RecordBatch.from_arrays([pa.array(at >> chunk), pa.array(at & (1 << chunk) - 1), batch.column(len(h)).cast(pa.int64())], ["chunk", "at", "flag"])
 
     def put(rows_: pa.Table) -> pa.Table:
@@ -243,7 +254,7 @@ def make_filter(rows: DataFrame, columns: list[str]) -> np.ndarray:
         np.bitwise_or.at(out, rows_["at"].to_numpy(), rows_["flag"].to_numpy().astype(np.uint8))
         return pa.table({"chunk": rows_["chunk"].slice(0, 1), "flags": pa.array([out.tobytes()], pa.binary())})
 
-    flags = np.zeros(1 << FILTER_BITS, np.uint8)
+    flags = np.zeros(size, np.uint8)
     placed = rows.select(*columns, "flag").mapInArrow(places, "chunk long, at long, flag long")
     for r in placed.groupBy("chunk").applyInArrow(put, "chunk long, flags binary").toLocalIterator():
         flags[r.chunk << chunk : (r.chunk + 1) << chunk] = np.frombuffer(r.flags, np.uint8)
@@ -256,13 +267,13 @@ FREQUENT, PREFIX, SUFFIX, OPEN = 1, 2, 4, 8
 
 def keep_pairs(w: Words, flags: np.ndarray) -> np.ndarray:
     """Places of pairs of words, in one piece, that may both be frequent."""
-    good = flags[_place(w.hash)] > 0
+    good = flags[_place(w.hash, len(flags))] > 0
     return np.flatnonzero(good[:-1] & good[1:] & (w.piece[:-1] == w.piece[1:]))
 
 
 def keep_triples(w: Words, flags: np.ndarray) -> np.ndarray:
     """Places of three words that a wave counts."""
-    pairs = np.where(w.piece[:-1] == w.piece[1:], flags[_place(_pair(w.hash[:-1], w.hash[1:]))], 0).astype(np.uint8)
+    pairs = np.where(w.piece[:-1] == w.piece[1:], flags[_place(_pair(w.hash[:-1], w.hash[1:]), len(flags))], 0).astype(np.uint8)
     left, right = pairs[:-1], pairs[1:]
     grows = (left & PREFIX > 0) & (right & SUFFIX > 0)
     return np.flatnonzero((left & FREQUENT > 0) & (right & FREQUENT > 0) & (grows | ((left | right) & OPEN > 0)))
@@ -274,15 +285,15 @@ def score_of(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(a) * wide(a) * F.lit(SCALE).cast("decimal(7,0)"), wide(left) * wide(right))
 
 
-def word_counts(texts: DataFrame) -> tuple[DataFrame, int]:
-    """(h, lang, word, f) of every word of every language, and the seed by which no two words have one hash."""
+def word_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(h, lang_h, f) of every word of every language; (h, word) and more, a row for each task that met it; and the seed by which no two words have one hash."""
     seed = 1
     while True:
         rows = stash(count_words(texts, seed), "words")
-        words = stash(rows.groupBy("h").agg(F.first("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("f"), F.min("check").alias("c1"), F.max("check").alias("c2")), "words")
-        discard(rows)
+        words = stash(rows.groupBy("h").agg(F.min("lang_h").alias("lang_h"), F.sum("n").alias("f"), F.min("check").alias("c1"), F.max("check").alias("c2")), "words")
         if words.where("c1 <> c2").isEmpty():
-            return words.select("h", "lang", "word", "f"), seed
+            return words.select("h", "lang_h", "f"), rows, seed
+        discard(rows, words)
         seed += 1
 
 
@@ -294,12 +305,13 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("binary").alias("text"), "lang")
-    words, seed = word_counts(texts)
-    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    words, spellings, seed = word_counts(texts)
+    named = stash(languages(texts, seed), "languages")  # Spark knows the size of a table and broadcasts a small one
+    sizes = words.groupBy("lang_h").agg(F.sum("f").alias("n")).join(named, "lang_h").select("lang", "n")
     frequent = words.where(F.col("f") >= LEAST_COUNT)
     known = spark.sparkContext.broadcast(make_filter(frequent.select("h", F.lit(1).alias("flag")), ["h"]))
-    first, second = frequent.select(F.col("h").alias("h1"), "lang", F.col("f").alias("f1")), frequent.select(F.col("h").alias("h2"), F.col("f").alias("f2"))
-    pairs = _counted(texts, seed, 2, lambda: known.value, keep_pairs).join(first, "h1").join(second, "h2")
+    first, second = frequent.select(F.col("h").alias("h1"), "lang_h", F.col("f").alias("f1")), frequent.select(F.col("h").alias("h2"), F.col("f").alias("f2"))
+    pairs = _counted(texts, seed, 2, lambda: known.value, keep_pairs).join(first, "h1").join(second, "h2").join(named, "lang_h").drop("lang_h")
     pairs = stash(pairs.withColumn("score", score_of(F.col("a"), F.col("f1"), F.col("f2"))), "pairs")
     # pairs of a language by score, so that least scores can be read off
     steps = pairs.groupBy("lang", "score").agg(F.count("*").alias("c"))
@@ -321,9 +333,11 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
             break
         reach *= DEEPER
     discard(pairs, steps, open_)
+    used = out.select(F.explode(F.array("h1", "h2", "h3")).alias("h")).distinct()
+    spelling = spellings.join(used, "h", "left_semi").groupBy("h").agg(F.min("word").alias("word"))
     spelt = out
     for i in (1, 2, 3):
-        spelt = spelt.join(words.select(F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}")), f"h{i}", "left")
+        spelt = spelt.join(spelling.select(F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}")), f"h{i}", "left")
     spelt = spelt.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = spelt.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
@@ -337,7 +351,9 @@ def _wave(texts: DataFrame, seed: int, pairs: DataFrame, least: DataFrame) -> Da
     bound = lambda f: score_of(F.col("a"), F.col("a"), F.col(f)) >= F.col("least")
     flag = F.lit(FREQUENT) + F.when(bound("f1"), PREFIX).otherwise(0) + F.when(bound("f2"), SUFFIX).otherwise(0) + F.when(F.col("score") >= F.col("least"), OPEN).otherwise(0)
     flags = spark.sparkContext.broadcast(make_filter(own.select("h1", "h2", flag.alias("flag")), ["h1", "h2"]))
-    some = texts.join(F.broadcast(least.select(F.col("lang").alias("_lang"))), F.coalesce("lang", F.lit(NO_LANG)) == F.col("_lang"), "left_semi")
+    # texts of settled languages needn't be read again; should there be very many languages, they are
+    few = least.select(F.col("lang").alias("_lang")).limit(MOST_LANGS + 1)
+    some = texts.join(F.broadcast(few), F.coalesce("lang", F.lit(NO_LANG)) == F.col("_lang"), "left_semi") if few.count() <= MOST_LANGS else texts
     triples = stash(_counted(some, seed, 3, lambda: flags.value, keep_triples), "triples")
     first = own.select("h1", "h2", F.col("a").alias("f12"), "f1", "lang", "least")
     second = pairs.select(F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("a").alias("f23"), F.col("f2").alias("f3"))
