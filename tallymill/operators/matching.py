@@ -30,7 +30,7 @@ PAIRS_FROM = 70.0
 #: A gram that more texts have among their rarest is dealt over several tasks.
 HOT = 2000
 
-_SCORES = {"token_sort": ratios.token_sort_ratio, "token_set": ratios.token_set_ratio}
+_SCORES = {"token_sort": ratios.token_sort_ratio, "token_set": ratios.token_set_ratio, "sequence": ratios.sequence_ratio}
 _EPS = 1e-6
 
 
@@ -46,7 +46,7 @@ def grams(text: str, width: int) -> list[str]:
 
 
 def _signed(texts: DataFrame, name: str, kind: str, width: int) -> DataFrame:
-    """(block, name, size, grams, tokens) of different texts: their tokens, the grams and the length of the text that these make (by token set of each token once)."""
+    """(block, name, size, grams, tokens) of different texts: their tokens, the grams and the length of the text that these make (by token set of each token once; by sequence the text as it stands)."""
     rows = texts.select("block", name).where(F.col(name).isNotNull()).distinct()
     schema = StructType([*rows.schema, StructField("size", IntegerType()), StructField("grams", ArrayType(StringType())), StructField("tokens", ArrayType(StringType()))])
 
@@ -54,7 +54,7 @@ def _signed(texts: DataFrame, name: str, kind: str, width: int) -> DataFrame:
         for batch in batches:
             tokens = [t.split() for t in batch.column(1).to_pylist()]
             once = [list(dict.fromkeys(t)) for t in tokens]
-            joined = [" ".join(t) for t in (tokens if kind == "token_sort" else once)]
+            joined = batch.column(1).to_pylist() if kind == "sequence" else [" ".join(t) for t in (tokens if kind == "token_sort" else once)]
             columns = [pa.array(map(len, joined), pa.int32()), *(pa.array(c, pa.list_(pa.string())) for c in ([grams(t, width) for t in joined], once))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
 
@@ -112,7 +112,7 @@ def _pairs_by_tokens(one: DataFrame, other: DataFrame, least: float, names: tupl
 def scored_pairs(texts: DataFrame, rules: DataFrame, kind: str, least: float) -> DataFrame:
     """(block, text, rule, score): all pairs of different texts and rules (block, text) and (block, rule) of one block that score least or more, a number above 0.
 
-    kind: token_sort or token_set. Null texts have no pairs; equal texts are a pair; a text without tokens is like another one by token
+    kind: token_sort, token_set, or sequence, whose matching blocks are a common subsequence too. Null texts have no pairs; equal texts are a pair; a text without tokens is like another one by token
     sort, and like none by token set.
     """
     width = 2 if least > PAIRS_FROM else 1

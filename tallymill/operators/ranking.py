@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallymill.sources.files import stored
+
 
 def first_per_key(rows: DataFrame, keys: list[str | Column], *order: Column | str) -> DataFrame:
     """The first row of each key. Spark drops rows that can't be first before it shuffles."""
@@ -27,14 +29,26 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(*keys, *[f"_last.{c}" for c in rest])
 
 
-def running_sum(rows: DataFrame, key: str, order: str, value: Column, width: int = 4096) -> DataFrame:
-    """rows with ``upto``: the sum of value over the rows of its key up to this one, by a whole-number order without ties.
+def dealt(rows: DataFrame, key: str, order: list[str], label: str = "dealt") -> DataFrame:
+    """The rows, stored, with ``_part``: parts are ranges of (key, order), so a key with many rows has several, in ascending number, and a part no more than its share."""
+    return stored(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), label)
+
+
+def running(parts: DataFrame, key: str, order: list[str], **sums: Column) -> DataFrame:
+    """dealt rows with sums over the rows of the key up to and with this one, in order; equal rows come in any order.
 
-    Keys are cut into slices of the order's range: sums of earlier slices come from one small row for each, and only the rows of a slice
-    are sorted in a task, however many a key has.
+    Sums of a key's earlier parts come from a small row for each part and key; inside a part only its own rows are sorted.
     """
-    cut = rows.withColumn("_slice", F.struct(F.col(key).alias("key"), F.floor(F.col(order) / width).alias("n"))).withColumn("_value", value)
-    earlier = Window.partitionBy("_slice.key").orderBy("_slice.n").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.groupBy("_slice").agg(F.sum("_value").alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.sum("_value").over(Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(before, "_slice").withColumn("upto", F.col("_before") + inside).drop("_slice", "_value", "_before")
+    valued = parts.withColumns({f"_{n}": v for n, v in sums.items()})
+    totals = valued.groupBy("_part", key).agg(*[F.sum(f"_{n}").alias(n) for n in sums])
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_part").alias("_of_part"), F.col(key).alias("_of_key"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    inside = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = valued.withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums})
+    joined = summed.join(before, (F.col("_part") == F.col("_of_part")) & F.col(key).eqNullSafe(F.col("_of_key")))
+    return joined.select(*[F.col(f"`{c}`") for c in parts.columns], *[(F.col(f"_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums])
+
+
+def running_sum(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
+    """rows with ``upto``: the sum of value over the rows of its key up to this one, in an order without ties. No task sorts a whole key, however its order's values lie."""
+    return running(dealt(rows, key, [order]), key, [order], upto=value).drop("_part")

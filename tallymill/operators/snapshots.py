@@ -1,113 +1,48 @@
 """Comparison of two versions of a table of line items, and the near-duplicates within one.
 
-Both are greedy by definition: what a line is paired with depends on the lines before it. They run on groups (a pair of statements, a
-document) that Spark deals out; exact matches are joined before, so that only what is left of a group comes together.
+Both are greedy by definition: what a line is paired with depends on the lines before it. Candidate pairs come from joins that lose none, and
+the greedy choice among them is made for all groups at once in rounds over tables, so no task holds a client or a document.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
-from functools import lru_cache
+import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallymill.functions import amounts as A, ratios, text as T
+from tallymill.functions import amounts as A, text as T
+from tallymill.operators import assignment, matching
+from tallymill.operators.ranking import dealt, running
+from tallymill.sources.files import stored
 
 #: Least scores of a changed label, and of one that keeps its class; of a changed label in the older comparison; of a near-duplicate.
 LEAST, SURE, LEGACY_LEAST, SAME = 75.0, 90.0, 85.0, 85.0
+#: Fixed value: how far amounts of near-duplicates may be apart, as a share of the larger.
+CLOSE = 0.001
 #: Fixed value: a sheet with more lines is a ledger of single bookings, not part of a statement, and is left out as a whole.
 LEDGER_LINES = 300
+#: Amounts are cut into bands that are a little wider than CLOSE, so close ones lie in the same or neighbouring bands.
+BAND = math.log1p(1.1 * CLOSE)
 
 
-#: Rows of a batch of results.
-BATCH = 5000
+def _placed(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """rows with ``o``, which orders the lines of a group; lines that agree in all of it are numbered."""
+    number = F.row_number().over(Window.partitionBy(*keys, "ord", "id").orderBy(*more))
+    return rows.withColumn("_n", number).withColumn("o", F.struct("ord", "id", F.col("_n").alias("n"))).drop("_n")
 
 
-def _by_group(rows: DataFrame, key: str, order: list[str], run, ddl: str, fields: list[tuple[str, pa.DataType | str]]) -> DataFrame:
-    """What run gives, a list of tuples, for the rows of each key in order, as a list of tuples without the key. Groups pass a task one after another, so many small ones cost little. A field's type may be given by the name of a column."""
-    rows = rows.select(key, *[c for c in rows.columns if c != key])
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, out, types = None, [], [], {}
-
-        def packed() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [()] * len(fields)
-            return pa.RecordBatch.from_arrays([pa.array(c, types.get(t, t)) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
-
-        for batch in batches:
-            types = {f.name: f.type for f in batch.schema}
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != here and held:
-                    out += [(here, *r) for r in run(held)]
-                    held = []
-                    if len(out) >= BATCH:
-                        yield packed()
-                        out = []
-                here = k
-                held.append(row)
-        if held:
-            out += [(here, *r) for r in run(held)]
-        if out:
-            yield packed()
-
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(stream, ddl)
-
-
-def greedy_pairs(old: list[str], new: list[str], score=ratios.token_set, least: float = LEAST) -> list[tuple[int, int, float]]:
-    """(place in old, place in new, score): each old label, in order, takes the best new one that is left; the first of equals."""
-    return _greedy(old, new, _remembered(score, least), least)
-
-
-def _remembered(score, least: float):
-    """A score that is computed once for a pair of labels, of late pairs; 0 where their tokens and lengths rule out least."""
-    sign = lru_cache(100_000)(lambda t: (frozenset(t.split()), len(" ".join(t.split())), len(" ".join(set(t.split())))))
-
-    @lru_cache(500_000)
-    def reached(a: str, b: str) -> float:
-        (x, most_x, least_x), (y, most_y, least_y) = sign(a), sign(b)
-        # common characters are at most the shorter text; repeated tokens count on one side only
-        possible = not x.isdisjoint(y) or 200 * min(most_x, most_y) >= least * (least_x + least_y) or not (x and y)
-        return score(a, b) if possible else 0.0
-
-    return reached
-
-
-def _greedy(old: list[str], new: list[str], reached, least: float) -> list[tuple[int, int, float]]:
-    left, out = list(range(len(new))), []
-    for i, key in enumerate(old):
-        best, place = 0.0, -1
-        for at, k in enumerate(left):
-            s = reached(key, new[k])
-            if s >= least and s > best:
-                best, place = s, at
-        if place >= 0:
-            out.append((i, left.pop(place), best))
-        if not left:
-            break
-    return out
-
-
-def _paired(rows: DataFrame, score, least: float) -> DataFrame:
-    """(group, old_id, new_id, score, old_amount, new_amount): the pairs of each group of rows (group, side, id, key, ord, amount), and its lines without one, in one pass."""
-
-    tools: list = []
-
-    def run(lines: list) -> list[tuple]:
-        if not tools:  # once for each task
-            tools.append(_remembered(score, least))
-        old, new = ([x[2:] for x in lines if x[0] == s] for s in ("old", "new"))
-        found = _greedy([x[1] for x in old], [x[1] for x in new], tools[0], least)
-        gone, come = set(range(len(old))) - {i for i, *_ in found}, set(range(len(new))) - {k for _, k, _ in found}
-        out = found + [(i, None, 0.0) for i in sorted(gone)] + [(None, k, 0.0) for k in sorted(come)]
-        pick = lambda side, at, field: None if at is None else side[at][field]
-        return [(pick(old, i, 0), pick(new, k, 0), s, pick(old, i, 2), pick(new, k, 2)) for i, k, s in out]
-
-    amount = rows.schema["amount"].dataType.simpleString()
-    fields = [("group", pa.int64()), ("old_id", pa.string()), ("new_id", pa.string()), ("score", pa.float64()), ("old_amount", "amount"), ("new_amount", "amount")]
-    given = rows.select("group", "side", "ord", "id", "key", "amount")
-    return _by_group(given, "group", ["side", "ord", "id"], run, f"group long, old_id string, new_id string, score double, old_amount {amount}, new_amount {amount}", fields)
+def _paired(rows: DataFrame, kind: str, least: float) -> DataFrame:
+    """(group, old_id, new_id, score, old_amount, new_amount): the pairs of each group of rows (group, side, id, key, ord, amount), and its lines without one. Lines without a group are paired with none."""
+    rows = stored(_placed(rows, ["group", "side"], "key", "amount"), "lines")
+    old, new = (rows.where(F.col("side") == s).select("group", F.col("key").alias("text"), "o", "id", "amount") for s in ("old", "new"))
+    scores = matching.scored_pairs(old.select(F.col("group").alias("block"), "text"), new.select(F.col("group").alias("block"), F.col("text").alias("rule")), kind, least)
+    scores = scores.select(F.col("block").alias("group"), "text", F.col("rule").alias("other"), "score")
+    found = assignment.in_turn(old.select("group", "text", "o"), new.select("group", "text", F.col("o").alias("n")), scores)
+    right = new.select("group", F.col("o").alias("n"), F.col("id").alias("new_id"), F.col("amount").alias("new_amount"))
+    lefts = old.select("group", "o", F.col("id").alias("old_id"), F.col("amount").alias("old_amount")).join(found, ["group", "o"], "left").join(right, ["group", "n"], "left")
+    lefts = lefts.select("group", "old_id", "new_id", F.coalesce("score", F.lit(0.0)).alias("score"), "old_amount", "new_amount")
+    come = right.join(found, ["group", "n"], "left_anti")
+    return lefts.unionByName(come.select("group", F.lit(None).cast(old.schema["id"].dataType).alias("old_id"), "new_id", F.lit(0.0).alias("score"), F.lit(None).cast(old.schema["amount"].dataType).alias("old_amount"), "new_amount"))
 
 
 def _both(old: DataFrame, new: DataFrame, key: Column) -> DataFrame:
@@ -129,7 +64,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     exact = rows.where("exact").groupBy("group", "key").agg(one("old", "id").alias("old_id"), one("new", "id").alias("new_id"), one("old", "amount").alias("a"), one("new", "amount").alias("b"))
     same = A.equal_within(F.col("a"), F.col("b"))
     exact = exact.select("group", "old_id", "new_id", F.when(same, "unchanged").otherwise("amount_changed").alias("category"), F.lit(100.0).alias("score"))
-    left = _paired(rows.where("not exact").withColumn("key", F.coalesce("key", F.lit(""))), ratios.token_set, LEAST)
+    left = _paired(rows.where("not exact").withColumn("key", F.coalesce("key", F.lit(""))), "token_set", LEAST)
     category = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").otherwise("desc_changed")
     out = exact.unionByName(left.select("group", "old_id", "new_id", category.alias("category"), "score"))
     reclassify = (F.col("category") == "added") | ((F.col("category") == "desc_changed") & (F.col("score") < SURE))
@@ -138,7 +73,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def legacy_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(group, old_id, new_id, category): changed where a pair's amounts differ, added, removed. Labels are compared as they stand."""
-    left = _paired(_both(old, new, F.coalesce("source_text", F.lit(""))), ratios.token_sort, LEGACY_LEAST)
+    left = _paired(_both(old, new, F.coalesce("source_text", F.lit(""))), "token_sort", LEGACY_LEAST)
     category = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").otherwise(F.when(~A.equal_within(F.col("old_amount"), F.col("new_amount")), "changed"))
     return left.select("group", "old_id", "new_id", category.alias("category")).where("category is not null")
 
@@ -152,41 +87,36 @@ def apply_diff(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.select("group", F.coalesce("old_id", "new_id").alias("id"), text.alias("source_text"), amount.alias("amount"), F.col("reclassify").alias("flagged"), (F.col("category") == "unchanged").alias("verified"))
 
 
-def _collapse(lines: list) -> list[tuple]:
-    """(id, place, n) for a document's lines (ord, id, text, amount, priority). Heads are looked up by amount, and of those near it the first with a like text is taken; an equal text needs no score."""
-    texts: list[str] = []
-    amounts: list[float] = []
-    by_amount: list[tuple[float, int]] = []
-    best: list[tuple[int, int]] = []
-    sizes: list[int] = []
-    for i, (_, _, text, given, priority) in enumerate(lines):
-        amount = float("nan") if given is None else given
-        reach = 0.0011 * abs(amount)
-        near = [] if amount != amount else by_amount[bisect_left(by_amount, (amount - reach, -1)) : bisect_right(by_amount, (amount + reach, len(lines)))]
-        for g in sorted(g for _, g in near):
-            value, head = amounts[g], texts[g]
-            close = value == amount == 0 or abs(amount - value) <= 0.001 * max(abs(amount), abs(value))
-            if close and text and head and (text == head or ratios.sequence_reaches(text, head, SAME)):
-                sizes[g] += 1
-                if priority > best[g][0]:
-                    best[g] = (priority, i)
-                break
-        else:
-            if amount == amount:
-                insort(by_amount, (amount, len(texts)))
-            texts.append(text)
-            amounts.append(amount)
-            best.append((priority, i))
-            sizes.append(1)
-    return [(lines[i][1], place, n) for place, ((_, i), n) in enumerate(zip(best, sizes, strict=True))]
+def _alike(first: DataFrame) -> DataFrame:
+    """(early, late) of different lines (document_id, key, amount, o) of a document with like texts and close amounts, early before late."""
+    sign, band = F.signum("amount").cast("int"), F.floor(F.log(F.abs("amount")) / BAND)
+    banded = first.withColumn("sign", sign).withColumn("band", F.when(F.col("amount") == 0, F.lit(0)).otherwise(band))
+    block = lambda b: F.struct("document_id", "sign", b.alias("band"))
+    near = F.when(F.col("amount") == 0, F.array(F.col("band"))).otherwise(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
+    late = banded.withColumn("b", F.explode(near)).select(block(F.col("b")).alias("block"), F.col("key").alias("text"), F.col("o").alias("late"), F.col("amount").alias("x"))
+    early = banded.select(block(F.col("band")).alias("block"), F.col("key").alias("rule"), F.col("o").alias("early"), F.col("amount").alias("y"))
+    pairs = matching.scored_pairs(late.select("block", "text"), early.select("block", "rule"), "sequence", SAME).select("block", "text", "rule")
+    met = pairs.join(late, ["block", "text"]).join(early, ["block", "rule"])
+    close = F.abs(F.col("x") - F.col("y")) <= CLOSE * F.greatest(F.abs("x"), F.abs("y"))
+    node = lambda o: F.struct(F.col("block.document_id").alias("document_id"), F.col(o).alias("o")).alias(o)
+    return met.where((F.col("early") < F.col("late")) & close).select(node("early"), node("late"))
 
 
 def collapse_near_duplicates(items: DataFrame) -> DataFrame:
     """(document_id, id, place, n): the lines of a document (document_id, id, source_text, amount, sheet, ord) that stay.
 
     A line joins the first group whose first line has a like text and amount; of a group the line of the best sheet stays, the first
-    among equals, in the order of groups.
+    among equals, in the order of groups. A line without a text or an amount, or with one that is no number, is a group of its own.
     """
-    rows = items.select("document_id", "ord", "id", F.lower("source_text").alias("key"), F.col("amount").cast("double").alias("amount"), T.sheet_priority(F.col("sheet")).alias("priority"))
-    fields = [("document_id", pa.int64()), ("id", pa.string()), ("place", pa.int64()), ("n", pa.int64())]
-    return _by_group(rows, "document_id", ["ord", "id"], _collapse, "document_id long, id string, place long, n long", fields)
+    amount = F.col("amount").cast("double")
+    rows = items.select("document_id", "ord", "id", F.lower("source_text").alias("key"), F.nanvl(amount, F.lit(None).cast("double")).alias("amount"), T.sheet_priority(F.col("sheet")).alias("priority"))
+    rows = stored(_placed(rows, ["document_id"], "key", "amount", "priority"), "lines")
+    some = (F.col("key") != "") & F.col("amount").isNotNull()
+    # equal lines have the same groups to join, so the first of them stands for all
+    first = stored(rows.where(some).groupBy("document_id", "key", "amount").agg(F.min("o").alias("o")), "firsts")
+    belongs = assignment.first_independent(_alike(first)).select(F.col("node.document_id").alias("document_id"), F.col("node.o").alias("o"), F.col("head.o").alias("head"))
+    heads = first.join(belongs, (first["document_id"].eqNullSafe(belongs["document_id"])) & (first["o"] == belongs["o"]), "left").select(first["document_id"].alias("_d"), F.col("key").alias("_k"), F.col("amount").alias("_a"), F.coalesce("head", first["o"]).alias("head"))
+    of_line = rows.join(heads, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("amount") == F.col("_a")), "left")
+    groups = of_line.withColumn("head", F.coalesce("head", "o")).groupBy("document_id", "head").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("priority")).alias("p"), "o")).alias("best"))
+    counted = running(dealt(groups, "document_id", ["head"], "groups"), "document_id", ["head"], place=F.lit(1))
+    return counted.select("document_id", F.col("best.o.id").alias("id"), (F.col("place") - 1).alias("place"), "n")

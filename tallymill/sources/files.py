@@ -25,6 +25,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallymill/{label}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written as a table in the shared folder and read from there: what follows starts from files that outlive a lost executor, and sees one and the same rows however often it reads them."""
+    path = new_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan reads any more."""
+    for rows in tables:
+        spark = rows.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(rows.stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_csv(rows: DataFrame, fields: list[str], path: str) -> StructType:
     """Writes these fields in this order, with a header; other columns are left out, fields that rows lack are empty. Returns the schema to read with."""
     out = rows.select(*[F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields])

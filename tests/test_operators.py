@@ -173,10 +173,37 @@ def test_running_sums_over_slices(spark):
     rows = spark.createDataFrame([(k, i, i % 7) for k in ("a", None) for i in range(100)], "k string, i long, v long")
     from tallymill.operators.ranking import running_sum
 
-    out = running_sum(rows.repartition(5), "k", "i", matching.F.col("v"), width=8).collect()
+    out = running_sum(rows.repartition(5), "k", "i", matching.F.col("v")).collect()
     assert {(r.k, r.i): r.upto for r in out} == {(k, i): sum(x % 7 for x in range(i + 1)) for k in ("a", None) for i in range(100)}
 
 
+def test_running_sums_of_sparse_orders(spark):
+    """Orders far apart, one key with most of the rows: parts share the key."""
+    from tallymill.operators.ranking import dealt, running_sum
+
+    rows = spark.createDataFrame([("hot", i * 10**12 + i % 5, i) for i in range(3000)] + [("b", -7, 1), ("b", 2**60, 5)], "k string, i long, v long")
+    assert dealt(rows, "k", ["i"]).where("k = 'hot'").select("_part").distinct().count() > 1
+    out = {(r.k, r.i): r.upto for r in running_sum(rows, "k", "i", matching.F.col("v")).collect()}
+    assert out == {**{("hot", i * 10**12 + i % 5): i * (i + 1) // 2 for i in range(3000)}, ("b", -7): 1, ("b", 2**60): 6}
+
+
+def test_budgets_of_a_hot_key(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("hot", i, rng.choice([0, 0, 1, 7, 30, 99, None])) for i in range(3000)] + [(f"c{k}", i, 10) for k in range(3) for i in range(5)]
+    expected, spent = {}, {}
+    for key, i, cost in rows:
+        before = spent.get(key, 0)
+        spent[key] = (0 if before > 50 else before) + (cost or 0)
+        expected[key, i] = spent[key]
+    given = spark.createDataFrame(rows, "client string, n int, cost int")
+    assert {(r.client, r.n): r.spent for r in running_cost(given.repartition(3), "client", ["n"], "cost", 50).collect()} == expected
+    assert running_cost(given.limit(0), "client", ["n"], "cost", 50).count() == 0
+    with pytest.raises(Exception, match="below 0"):
+        running_cost(spark.createDataFrame([("a", 1, -1)], "client string, n int, cost int"), "client", ["n"], "cost", 50).collect()
+
+
 def brute_greedy(old, new, score, least):
     left, out = list(new), []
     for line in old:
@@ -246,6 +273,57 @@ def test_snapshots_by_brute_force(spark, versions):
     assert got["d13_legacy_assignment"] == sorted((x for x in legacy if x[3] == "changed"), key=str)
 
 
+def many_labels(rng, n, kinds):
+    words = "salary wages rent interest depreciation trade receivable payable bank charges audit fees expense income stock".split()
+    texts = [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(kinds)]
+    return [rng.choice(texts) + rng.choice(["", "", "s", " net", " old"]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["token_set", "token_sort"])
+def test_assignment_of_one_hot_client(spark, kind):
+    """A client with thousands of lines, many of them equal, beside small ones and lines without a client."""
+    import random
+    from collections import namedtuple
+
+    line = namedtuple("line", "id key o")
+    rng = random.Random(kind)
+    sides = [[line(f"{s}{i}", t, i) for i, t in enumerate([*many_labels(rng, n, 40), *["rent"] * n, "", ""])] for s, n in (("o", 700), ("n", 600))]
+    frame = lambda side: spark.createDataFrame([(g, "x", x.id, x.key, x.o, 1) for g in (1, None) for x in sides[side][: None if g else 5]], "group long, side string, id string, key string, ord long, amount int").repartition(5)
+    rows = frame(0).withColumn("side", matching.F.lit("old")).unionByName(frame(1).withColumn("side", matching.F.lit("new")))
+    pairs, gone, come = brute_greedy(*sides, getattr(ratios, kind), 75.0)
+    expected = [(1, a.id, b.id, s, 1, 1) for a, b, s in pairs] + [(1, a.id, None, 0.0, 1, None) for a in gone] + [(1, None, b.id, 0.0, None, 1) for b in come]
+    expected += [(None, x.id, None, 0.0, 1, None) for x in sides[0][:5]] + [(None, None, x.id, 0.0, None, 1) for x in sides[1][:5]]
+    assert sorted(map(tuple, snapshots._paired(rows, kind, 75.0).collect()), key=str) == sorted(expected, key=str)
+
+
+def test_first_independent_set(spark):
+    import random
+
+    from tallymill.operators.assignment import first_independent
+
+    rng = random.Random(8)
+    for edges in ([(i, i + 1) for i in range(12)], [(0, i) for i in range(1, 30)], [tuple(sorted(rng.sample(range(60), 2))) for _ in range(120)], []):
+        near, heads, expected = {}, set(), {}
+        for a, b in edges:
+            near.setdefault(b, set()).add(a)
+        for v in range(60):
+            of = near.get(v, set()) & heads
+            expected |= {v: min(of)} if of else {}
+            heads |= set() if of else {v}
+        found = first_independent(spark.createDataFrame(edges, "early int, late int"))
+        assert {r.node: r["head"] for r in found.collect()} == expected
+
+
+def test_collapse_of_one_hot_document(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(7, f"{i:05}", t, rng.choice([100.0, 100.05, 2500.0, -3.0, 0.0, None, float("nan")]), "P & L", f"{i:05}") for i, t in enumerate(many_labels(rng, 2500, 25))]
+    found = snapshots.collapse_near_duplicates(spark.createDataFrame(rows, "document_id long, id string, source_text string, amount double, sheet string, ord string").repartition(4)).orderBy("place").collect()
+    none = float("nan")
+    assert [(r.id, r.place, r.n) for r in found] == brute_collapse([(i, t, none if a is None else a, 1) for _, i, t, a, *_ in rows])
+
+
 def brute_collapse(lines):
     """lines: (id, text, amount, priority) of a document in order."""
     from difflib import SequenceMatcher
