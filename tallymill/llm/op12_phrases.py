@@ -100,7 +100,7 @@ def words_of(texts: list[bytes | None], langs: list[str | None], seed: int, chec
     of_text = np.array([own[x] for x in langs], np.uint64)
     out.of_lang = of_text[np.searchsorted(np.cumsum([len(t or b"") + 1 for t in texts]), out.starts, "right")]
     out.hash = _mix(_hashes(data, out.starts, out.ends, seed) ^ out.of_lang)
-    out.check = _mix(_hashes(data, out.starts, out.ends, seed + 1) + out.of_lang) if check else None
+    out.check = _mix(_hashes(data, out.starts, out.ends, seed + 1) + out.of_lang) >> np.uint64(32) if check else None
     return out
 
 
@@ -138,41 +138,52 @@ _signed = lambda x: pa.array(x.view(np.int64))
 
 
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
-    """(h, check, lang_h, word, n): how often each task meets a word of a language; check is its second hash, lang_h the hash of its language."""
-    names = ["h", "check", "lang_h", "word", "n"]
-    most = COUNTED // 4
+    """(h, check, lang_h, n): how often each task meets a word of a language; check is half of its second hash, lang_h the hash of its language."""
+    names = ["h", "check", "lang_h", "n"]
+    most = COUNTED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, words, held = [], [], 0
+        numbers, held = [], 0
 
-        def grouped(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def grouped(h: np.ndarray, c: np.ndarray, lang: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
             order = np.lexsort((c, h))
-            return order, np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)]))
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)]))
+            at = order[first]
+            return h[at], c[at], lang[at], np.add.reduceat(n[order], first)
 
         def packed() -> pa.RecordBatch:
-            h, c, lang, n = (np.concatenate(x) for x in zip(*numbers, strict=True))
-            order, first = grouped(h, c)
-            at = order[first]
-            word = pa.concat_arrays(words).take(pa.array(at)).cast(pa.string())
-            return pa.RecordBatch.from_arrays([_signed(h[at]), _signed(c[at]), _signed(lang[at]), word, pa.array(np.add.reduceat(n[order], first))], names)
+            return pa.RecordBatch.from_arrays(list(map(_signed, grouped(*(np.concatenate(x) for x in zip(*numbers, strict=True))))), names)
 
         for given, of in _in_pieces(batches):
             w = words_of(given, of, seed, check=True)
             if not len(w.hash):
                 continue
-            order, first = grouped(w.hash, w.check)
-            at = order[first]
-            numbers.append((w.hash[at], w.check[at], w.of_lang[at], np.diff(np.append(first, len(order)))))
-            raw = w.data.tobytes()
-            words.append(pa.array([raw[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)], pa.binary()))
-            held += len(first)
+            numbers.append(grouped(w.hash, w.check, w.of_lang, np.ones(len(w.hash), np.int64)))
+            held += len(numbers[-1][0])
             if held >= most:
                 yield packed()
-                numbers, words, held = [], [], 0
+                numbers, held = [], 0
         if held:
             yield packed()
 
-    return texts.mapInArrow(run, "h long, check long, lang_h long, word string, n long")
+    return texts.mapInArrow(run, "h long, check long, lang_h long, n long")
+
+
+def spell(texts: DataFrame, seed: int, used: DataFrame) -> DataFrame:
+    """(h, word) of the hashes in used (h): one more pass over the texts, from which only these words come."""
+    flags = used.sparkSession.sparkContext.broadcast(make_filter(used.select("h", F.lit(1).alias("flag")), ["h"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given, of in _in_pieces(batches):
+            w = words_of(given, of, seed)
+            some = np.flatnonzero(flags.value[_place(w.hash, len(flags.value))])
+            h, at = np.unique(w.hash[some], return_index=True)
+            at = some[at]
+            raw = w.data.tobytes()
+            words = pa.array([raw[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([_signed(h), words.cast(pa.string())], ["h", "word"])
+
+    return texts.mapInArrow(run, "h long, word string").groupBy("h").agg(F.first("word").alias("word")).join(used, "h", "left_semi")
 
 
 def _lang_hash(lang: str | None, seed: int) -> int:
@@ -285,15 +296,15 @@ def score_of(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(a) * wide(a) * F.lit(SCALE).cast("decimal(7,0)"), wide(left) * wide(right))
 
 
-def word_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(h, lang_h, f) of every word of every language; (h, word) and more, a row for each task that met it; and the seed by which no two words have one hash."""
+def word_counts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(h, lang_h, f) of every word of every language, and the seed by which no two words have one hash."""
     seed = 1
     while True:
-        rows = stash(count_words(texts, seed), "words")
-        words = stash(rows.groupBy("h").agg(F.min("lang_h").alias("lang_h"), F.sum("n").alias("f"), F.min("check").alias("c1"), F.max("check").alias("c2")), "words")
+        sums = count_words(texts, seed).groupBy("h").agg(F.min("lang_h").alias("lang_h"), F.sum("n").alias("f"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+        words = stash(sums, "words")
         if words.where("c1 <> c2").isEmpty():
-            return words.select("h", "lang_h", "f"), rows, seed
-        discard(rows, words)
+            return words.select("h", "lang_h", "f"), seed
+        discard(words)
         seed += 1
 
 
@@ -305,7 +316,7 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("binary").alias("text"), "lang")
-    words, spellings, seed = word_counts(texts)
+    words, seed = word_counts(texts)
     named = stash(languages(texts, seed), "languages")  # Spark knows the size of a table and broadcasts a small one
     sizes = words.groupBy("lang_h").agg(F.sum("f").alias("n")).join(named, "lang_h").select("lang", "n")
     frequent = words.where(F.col("f") >= LEAST_COUNT)
@@ -333,8 +344,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
             break
         reach *= DEEPER
     discard(pairs, steps, open_)
-    used = out.select(F.explode(F.array("h1", "h2", "h3")).alias("h")).distinct()
-    spelling = spellings.join(used, "h", "left_semi").groupBy("h").agg(F.min("word").alias("word"))
+    used = out.select(F.explode(F.array("h1", "h2", "h3")).alias("h")).where("h is not null").distinct()
+    spelling = stash(spell(texts, seed, stash(used, "used")), "spelling")
     spelt = out
     for i in (1, 2, 3):
         spelt = spelt.join(spelling.select(F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}")), f"h{i}", "left")
