@@ -1,8 +1,9 @@
 """HTML extraction by tree scoring.
 
 Blocks of text pass points for their length and commas to the elements above them, halved from level to level; an element's points are
-then discounted by the share of its text that stands in links. The best container is kept with those of its siblings that score near
-it or read like paragraphs, less menus, notices, forms and the like inside it.
+then discounted by the share of its text that stands in links. Around the best container an article or main element bounds what is kept;
+where there is none, the siblings of the container and of what it stands in are kept too, but for those whose text is mostly links. Menus,
+notices, forms, reader comments and the like are left out wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 CLOSED_BY = {"p": BLOCKS - {"br", "body", "html", "head"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 SCOPES = frozenset("html body table td th ul ol dl article section div main aside nav header footer form blockquote".split())
 UNWANTED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|login|menu|modal|nav\w*|newsletter|notice|pagination|pager|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscri\w+|tags|toolbar|widget)(?:$|[\s_-])", re.I)
+#: In classes and ids of paragraphs and headings only these words tell that they are no text; of articles only the second.
+ADVERTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|cookies?|consent|promo\w*|sponsor\w*)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)(?:$|[\s_-])", re.I)
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6".split())
 WANTED = frozenset("article articlebody body content entry main post story text".split())
 #: A class that only says what a page has, such as with-sidebar.
 ABOUT = re.compile(r"(?:has|with|without|no|is)[_-]", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BONUS = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "form": -50.0}
-#: Levels that points climb, and the share of the best container's points from which a sibling is kept.
-LEVELS, SIBLING = 5, 0.2
+#: Levels that points climb, and the share of links in a text from which a block beside the container is a menu.
+LEVELS, MENU = 5, 0.5
 #: Elements nested deeper than this, as in browsers, stand beside one another, so that no walk up the tree is long.
 MOST_DEPTH = 512
 
@@ -117,10 +122,11 @@ def _look(node: Node) -> bool:
         return True
     if found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"):
         return True
-    if node.name in ("html", "body", "article", "main"):
+    if node.name in ("html", "body", "main"):
         return False
+    words = COMMENTS if node.name == "article" else ADVERTS if node.name in TEXT else UNWANTED
     classes = [c for c in found.get("class", "").lower().split() if not ABOUT.match(c)]
-    return bool(UNWANTED.search(found.get("id", ""))) or not WANTED & set(classes) and any(UNWANTED.search(c) for c in classes)
+    return bool(words.search(found.get("id", ""))) or not WANTED & set(classes) and any(words.search(c) for c in classes)
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -167,32 +173,35 @@ def score(top: Node) -> list[Node]:
     return order
 
 
-def _container(order: list[Node]) -> Node | None:
-    """The best element, or the article or main element around it; among equals the outermost."""
+def _best(order: list[Node]) -> Node | None:
+    """The element with the most points; among equals the outermost."""
     best = max((n for n in order if n.size), key=lambda n: n.points, default=None)
     # what is left of a page without points is taken whole
-    if best is None or best.points <= 0:
-        return best and order[0]
-    # one section of an article may have more points than the whole
+    return order[0] if best is not None and best.points <= 0 else best
+
+
+def _kept(best: Node) -> list[Node | str]:
+    """What stays, in page order: the article or main element around the best one, or else the best one and all beside the way up to it that isn't a menu."""
     around = best
     while around is not None and around.name not in ("article", "main"):
         around = around.parent
-    return around or best
+    if around is not None:
+        if around.name == "article":  # an article in an article is a comment on it
+            for node in _walk(around):
+                node.unwanted = node is not around and node.name == "article"
+        return [around]
+    before, after, here = [], [], best
+    while here.parent is not None:
+        at = next(i for i, c in enumerate(here.parent.children) if c is here)
+        plain = lambda c: isinstance(c, str) or not c.unwanted and not (_is_block(c) and c.links >= MENU * max(1, c.size))
+        before = [c for c in here.parent.children[:at] if plain(c)] + [_EDGE] * _is_block(here) + before
+        after += [_EDGE] * _is_block(here) + [c for c in here.parent.children[at + 1 :] if plain(c)]
+        here = here.parent
+    return [*before, best, *after]
 
 
-def _kept(best: Node) -> list[Node | str]:
-    if best.parent is None:
-        return [best]
-    out = []
-    for child in best.parent.children:
-        if child is best:
-            out.append(child)
-        elif isinstance(child, Node) and not child.unwanted:
-            dense = child.links / max(1, child.size)
-            paragraph = child.name in ("p", "h1", "h2", "h3", "blockquote", "pre") and child.size and dense < 0.25 and best.name not in ("p",)
-            if paragraph or child.size and _is_block(child) and child.points >= max(10.0, SIBLING * best.points) and dense < 0.5:
-                out.append(child)
-    return out
+#: Parts what stands before and after it, and has no text.
+_EDGE = Node("br")
 
 
 def blocks(nodes: list[Node | str]) -> list[str]:
@@ -224,7 +233,7 @@ def blocks(nodes: list[Node | str]) -> list[str]:
 
 def main_text(html: str) -> str:
     """The main text of a page; empty if it has none."""
-    best = _container(score(parse(html)))
+    best = _best(score(parse(html)))
     return "" if best is None else "\n\n".join(blocks(_kept(best)))
 
 

@@ -31,7 +31,9 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     """(vec_id, w array<long>): floor(SCALE * x) of each component. Vectors that are null or hold a null or non-finite component, and rows without an id, are left out."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     sound = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda v: F.coalesce((F.abs(v) < float("inf")) & ~F.isnan(v), F.lit(False)))
-    return vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("w"))
+    # a double of 2 ** 63 or more would become the largest whole number without a word
+    whole = lambda v: F.when((v * SCALE >= -(2.0**63)) & (v * SCALE < 2.0**63), F.floor(v * SCALE).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for 64 bits")).cast("long"))
+    return vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, whole).alias("w"))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -105,7 +107,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows, other than those of the query's own id, with the highest inner product of whole-number vectors; ties go to the smaller id.
 
     Vectors of different lengths are compared over the components that both have. A query with fewer candidates has fewer rows; a
-    repeated id is a candidate, and a query, once for each row. Scores are 64-bit; a result that doesn't fit is an error.
+    repeated id is a candidate, and a query, once for each row. Scores and components are 64-bit; a result, or a scaled component, that doesn't fit is an error.
     Vectors without sound components take no part, other columns are not looked at, and an empty table gives no rows.
     """
     rows = whole_vectors(vectors)
@@ -118,7 +120,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     left = q_blocks.select([F.col(c).alias(f"q_{c}") for c in _BLOCK.names] + [F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")])
     # a block's number holds its partition above 32 bits and its place there
     right = c_blocks.withColumn("slot", F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND((1 << 32) - 1), F.lit(slots)).cast("int"))
-    pairs = left.repartition(slots, "slot").join(right.repartition(slots, "slot"), "slot").drop("slot")
+    # a value for each slot that Spark deals to a partition of its own
+    keys = F.broadcast(vectors.sparkSession.range(40 * slots).groupBy(F.pmod(F.hash("id"), F.lit(slots)).alias("slot")).agg(F.min("id").alias("key")))
+    keyed = lambda part: part.join(keys, "slot", "left").withColumn("key", F.coalesce("key", F.col("slot").cast("long"))).drop("slot").repartition(slots, "key")
+    pairs = keyed(left).join(keyed(right), "key").drop("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

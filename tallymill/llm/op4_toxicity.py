@@ -105,7 +105,8 @@ class _Featurizer:
         for c in chunks:
             if c not in self.memo:
                 self.memo[c] = features(c)
-        return np.array(sorted(set().union(*map(self.memo.__getitem__, chunks))), np.uint32)
+        found = set().union(*map(self.memo.__getitem__, chunks))
+        return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
 def swapped(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> list[str]:
@@ -159,13 +160,14 @@ def training_row(text: str, toxic: int, featurize: _Featurizer, terms: tuple[tup
     chunks = set(text.split())
     own = featurize(chunks)
     swaps = [_gap(own, featurize(set(c.split()))) for c in swapped(text, terms)]
-    # features don't depend on places, so the texts themselves need not be put together
-    inserts = [_gap(featurize(chunks | {a}), featurize(chunks | {b})) for a, b, _ in inserted(text, terms)]
+    # features don't depend on places, and what the pair differs in is what either term has alone and the text lacks
+    less = lambda term: np.setdiff1d(featurize({term}), own, True)
+    inserts = [_gap(less(a), less(b)) for a, b, _ in inserted(text, terms)]
     return {"toxic": toxic, "own": own.tobytes(), "swaps": swaps, "inserts": inserts}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...], per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(toxic, own features, what swaps change, what inserted pairs differ in) of the sampled labelled rows whose text may be learned from. A document with several labels is toxic if one says so."""
+    """(toxic, own features, what swaps change, what inserted pairs differ in) of the sampled labelled rows whose text may be learned from. A document with several labels is toxic if one says so, and one with several rows is learned from one of its texts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -181,8 +183,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ..
             yield pa.RecordBatch.from_pylist(rows, schema=_TRAIN)
 
     # the sample has a bounded number of rows of two numbers
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    return sample.mapInArrow(run, _TRAIN_DDL)
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("t.text", "toxic").mapInArrow(run, _TRAIN_DDL)
 
 
 class Model:
@@ -281,7 +284,8 @@ def fit(rows: list[tuple[int, np.ndarray, list[Gap], list[Gap]]], penalty: float
 
 
 def train(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    rows = training_rows(docs, labels, terms, per_class).orderBy("toxic", F.xxhash64("own")).toLocalIterator()
+    """The model of the sampled rows, which the driver holds; they are sorted there, so that sums don't depend on where rows lie."""
+    rows = sorted(training_rows(docs, labels, terms, per_class).collect(), key=lambda r: (r.toxic, bytes(r.own)))
     return fit([unpacked(r) for r in rows], penalty, sum(len(s) for s in terms if len(s) > 1))
 
 

@@ -93,6 +93,66 @@ def test_held_out_accuracy(spark, model):
     assert not any(p for t, p in pairs if t == 0)
 
 
+def plain_features(text):
+    from xxhash import xxh32_intdigest
+
+    out = set()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        out.add(xxh32_intdigest(w.encode()) % (1 << op4.HASH_BITS))
+        out |= {xxh32_intdigest(w[:n].encode(), n) % (1 << op4.HASH_BITS) for n in op4.PREFIXES if len(w) > n}
+    return out
+
+
+def test_toxicity_query_by_a_plain_optimiser(spark):
+    """Every row of the query against weights found by gradient steps, from features of whole texts with terms swapped and put in."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in texts}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.toxic is not None and r.doc_id in texts and not held[r.doc_id]}
+    own = {d: plain_features(texts[d]) for d in texts}
+    n = [sum(t == v for t in toxic.values()) for v in (0, 1)]
+    counts = [{}, {}]
+    for d, t in toxic.items():
+        for f in own[d]:
+            counts[t][f] = counts[t].get(f, 0) + 1
+
+    def ratio(f):
+        neg, pos = counts[0].get(f, 0), counts[1].get(f, 0)
+        cells = ((pos, pos + neg, n[1]), (neg, pos + neg, n[0]), (n[1] - pos, sum(n) - pos - neg, n[1]), (n[0] - neg, sum(n) - pos - neg, n[0]))
+        return 2 * sum(k * math.log(k * sum(n) / (row * side)) for k, row, side in cells if k)
+
+    good = [f for f in counts[1] if counts[1][f] >= op4.MIN_DOCS and counts[1][f] * n[0] > op4.MIN_LIFT * counts[0].get(f, 0) * n[1] and ratio(f) >= op4.EVIDENCE]
+    assert 0 < len(good) <= op4.MOST_FEATURES
+    vector = lambda found: np.array([float(f in found) for f in good])
+    x, y = np.array([[*vector(own[d]), 1.0] for d in toxic]), np.array(list(toxic.values()), float)
+    share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    swaps = [vector(own[d]) - vector(plain_features(c)) for d in toxic for c in op4.swapped(texts[d])]
+    pairs = [vector(plain_features(op4.with_term(texts[d], a, at))) - vector(plain_features(op4.with_term(texts[d], b, at))) for d in toxic for a, b, at in op4.inserted(texts[d])]
+    square = lambda gaps: sum((np.outer(g, g) for g in gaps), np.zeros((len(good), len(good))))
+    curb = np.zeros((len(good) + 1, len(good) + 1))
+    curb[:-1, :-1] = op4.RIDGE * np.eye(len(good)) + 2 * op4.PENALTY * (square(swaps) / max(1, len(swaps)) + square(pairs) * sum(map(len, op4.IDENTITY_TERMS)) / max(1, 2 * len(pairs)))
+    steep = np.linalg.eigvalsh((x * share[:, None]).T @ x / 4 + curb)[-1]
+    w = past = np.zeros(len(good) + 1)
+    for k in range(60_000):
+        ahead = w + k / (k + 3) * (w - past)
+        slope = x.T @ (share * (1 / (1 + np.exp(-x @ ahead)) - y)) + curb @ ahead
+        past, w = w, ahead - slope / steep
+        if np.abs(slope).max() < 1e-9:
+            break
+    bias = min(w[-1], op4.MOST_BIAS)
+    expected = {d: 1 / (1 + math.exp(-(bias + vector(own[d]) @ w[:-1]))) for d in texts}
+    rows = op4.query(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert max(abs(r.score - expected[r.doc_id]) for r in rows) < 1e-4
+    assert all(r.held_out == held[r.doc_id] and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_training_rows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "one text")] * 50 + [(1, "another text"), (2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted(r.toxic for r in op4.training_rows(docs, labels, op4.IDENTITY_TERMS).collect()) == [0, 1]
+
+
 def biased_rows(named_in_labels):
     """Labelled texts in which a group is named beside abuse, and hardly elsewhere; or is never named, but an abusive word begins like its name."""
     rng = np.random.default_rng(3)

@@ -54,6 +54,14 @@ def test_products_beyond_64_bits(spark):
         op3.top_k(spark.createDataFrame([(0, [3e7, 3e7]), (1, [3e7, 3e7])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
 
 
+@pytest.mark.parametrize("x", [1e300, -1e300, 2.0**55])
+def test_components_beyond_64_bits(spark, x):
+    rows = [(0, [1.0]), (1, [x])]
+    with pytest.raises(Exception, match="too large for 64 bits"):
+        op3.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert op3.whole_vectors(spark.createDataFrame([(0, [-(2.0**55)])], "vec_id long, embedding array<double>")).first().w == [-(2**63)]
+
+
 def test_top_k_of_few_or_no_rows(spark):
     vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in op3.top_k(vectors, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
@@ -139,6 +147,12 @@ PAGES = [
     (f"<div class='cookie-notice'>We use cookies, many, and many, and many.</div><article><p>{LONG}</p><section class=comments><p>{LONG}</p></section><script>var a='<p>no</p>'</script><style>p{{}}</style><!-- <p>no</p> --><table><tr><td>a<td>b</table></article>", f"{LONG}\n\na\n\nb"),
     (f"<article><p>{LONG} <b>bold<br>line</p></article>", f"{LONG} bold\n\nline"),
     ("<nav><a href=a>x</a></nav>", ""),
+    (f"<main><article><p>{LONG}</p><article class='comment'><p>{LONG}</p></article></article><article class='comment'><p>{LONG}</p></article></main>", LONG),
+    (f"<main><h1>Head</h1><p>{LONG}</p><article id='reply-3'><p>{LONG}</p></article></main>", f"Head\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><div><article><p>{LONG}</p></article></div></article>", LONG),
+    (f"<body><p>Before.</p><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>one<li>two</ul>bare <b>text</b><div>short</div><div><a href=a>x</a> <a href=b>y</a></div></body>", f"Before.\n\n{LONG}\n\n{LONG}\n\none\n\ntwo\n\nbare text\n\nshort"),
+    (f"<div><div><section><p>{LONG}</p><p>{LONG}</p></section></div><div><p>Further.</p></div></div><div class=sidebar>No</div>", f"{LONG}\n\n{LONG}\n\nFurther."),
+    (f"<article><p class='social'>{LONG}</p><h2 id='related-work'>Related work</h2><p class='ad'>Buy</p><p>{LONG}</p></article>", f"{LONG}\n\nRelated work\n\n{LONG}"),
     (f"<div class='post has-sidebar'><p>{LONG}</p><p>{LONG}</p></div><div class=share>Share this, now</div>", f"{LONG}\n\n{LONG}"),
 ]
 
@@ -148,13 +162,16 @@ def test_main_text(html, text):
     assert op10.main_text(html or "") == text
 
 
-def test_pages_table(spark):
+def test_pages_table(spark, tmp_path):
     rows = [(i, f"u{i}", html, "clash") for i, (html, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>", None), (3, "u3", PAGES[3][0], "clash")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     found = op10.extract(pages).collect()
     assert len(found) == len(rows)
     out = {r.page_id: r.text for r in found}
     assert out == {i: t for i, (_, t) in enumerate(PAGES)} | {None: "x"}
+    spark.createDataFrame(rows, pages.schema).drop("text").write.parquet(f"{tmp_path}/pages.parquet")
+    whole = {(r.page_id, r.url, r.text, r.n_chars) for r in op10.query(spark, str(tmp_path)).collect()}
+    assert whole == {(i, u, out[i], len(out[i])) for i, u, *_ in rows}
     assert op10.extract(pages.limit(0)).count() == 0
 
 
