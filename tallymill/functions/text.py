@@ -159,9 +159,3 @@ def occurrences(text: Column, term: Column) -> Column:
     """How often a term stands in a text, without regard to case or overlap."""
     low, term = F.lower(text), F.lower(term)
     return F.when(F.length(term) == 0, 0).otherwise(((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)).cast("int"))
-
-
-def first_pattern(x: Column, patterns: tuple[str, ...]) -> Column:
-    """The first of the patterns that is part of a text, whatever its case; null if none is."""
-    low = F.lower(x)
-    return F.coalesce(*[F.when(F.contains(low, F.lit(p.lower())), p) for p in patterns])

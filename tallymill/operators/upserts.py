@@ -28,8 +28,3 @@ def upsert_counts(base: DataFrame, delta: DataFrame, keys: list[str], count: str
 def replace_groups(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """base with all rows of the groups that rows has replaced by these."""
     return base.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows.select(*base.columns))
-
-
-def compare_and_set(base: DataFrame, condition, column: str, value) -> DataFrame:
-    """base with a column set where the condition holds; other rows stay."""
-    return base.withColumn(column, F.when(condition, value).otherwise(F.col(column)))

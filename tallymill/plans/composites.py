@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallymill.functions import amounts as A, ratios, text as T
-from tallymill.operators import budgets, cells, matching, promotions, retrieval, snapshots
+from tallymill.operators import budgets, cells, decisions, matching, promotions, retrieval, snapshots
 from tallymill.operators.ranking import first_per_key, last_wins, majority, top_per_key
-from tallymill.operators.upserts import update_by_key, upsert_counts
+from tallymill.operators.upserts import update_by_key
 from tallymill.plans.base import query
 from tallymill.plans.joins import _CELLS, _report_cells
 from tallymill.plans.scalars import _LABEL_SQL, _PARTS_SQL, _raw_parts
-from tallymill.sources.relations import classifications, clients, fields, line_items, read, statements
+from tallymill.sources.relations import classifications, clients, fields, line_items, mappings, read, statements
 
 
 def _items(spark, sf_dir):
@@ -118,12 +118,6 @@ def i13(spark, sf_dir):
     return kept.join(docs, "document_id").select("client_id", "document_id", "line_no", "part_id", "year", F.lit("Carried Forward").alias("section"))
 
 
-@query("i14_roll_forward", "WITH y AS (SELECT client_id, list_sort(list(DISTINCT financial_year)) AS years, bool_and(status <> 'failed') AS clean FROM statements GROUP BY client_id) SELECT client_id, CASE WHEN len(years) >= 3 THEN years[1] END AS dropped, years[len(years)] + 1 AS added, clean AND len(years) >= 2 AS can_confirm FROM y")
-def i14(spark, sf_dir):
-    y = statements(spark, sf_dir).groupBy("client_id").agg(F.array_sort(F.collect_set("financial_year")).alias("years"), F.bool_and(F.col("status") != "failed").alias("clean"))
-    return y.select("client_id", F.when(F.size("years") >= 3, F.element_at("years", 1)).alias("dropped"), (F.element_at("years", -1) + 1).alias("added"), (F.col("clean") & (F.size("years") >= 2)).alias("can_confirm"))
-
-
 @query("i15_roll_forward_confirm", "WITH y AS (SELECT client_id, CASE WHEN count(DISTINCT financial_year) >= 3 THEN min(financial_year) END AS dropped FROM statements GROUP BY client_id) SELECT s.client_id, list_sort(list(s.id)) AS document_ids, list_sort(list(DISTINCT upper(nature[1]) || nature[2:])) AS natures FROM statements s JOIN y ON s.client_id = y.client_id WHERE s.status <> 'failed' AND (y.dropped IS NULL OR s.financial_year <> y.dropped) GROUP BY s.client_id")
 def i15(spark, sf_dir):
     docs = statements(spark, sf_dir)
@@ -140,30 +134,6 @@ def i4(spark, sf_dir):
     return out.select("id", F.when(F.col("id") != F.col("successor"), "superseded").otherwise(F.col("status")).alias("status"), "successor")
 
 
-@query("i18_doubt_approval", "SELECT document_id, line_no, part_id, CASE WHEN is_doubt AND part_id % 2 = 0 THEN 'approved' ELSE status END AS status FROM classifications")
-def i18(spark, sf_dir):
-    rows = classifications(spark, sf_dir)
-    answers = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("part_id"), F.lit(True).alias("answered"))
-    out = rows.join(answers, "part_id", "left")
-    return out.select("document_id", "line_no", "part_id", F.when(F.col("is_doubt") & F.coalesce("answered", F.lit(False)), "approved").otherwise(F.col("status")).alias("status"))
-
-
-@query("i19_corrections", "SELECT lower(p_name) AS source_text, (count(*) + count(*) FILTER (WHERE p_partkey % 3 = 0))::BIGINT AS times_used, max(p_partkey) AS last_id FROM part GROUP BY 1")
-def i19(spark, sf_dir):
-    parts = read(spark, sf_dir, "part").select(F.lower("p_name").alias("source_text"), F.lit(1).cast("long").alias("times_used"), F.col("p_partkey").alias("last_id"))
-    base = parts.groupBy("source_text").agg(F.sum("times_used").alias("times_used"), F.max("last_id").alias("last_id"))
-    return upsert_counts(base, parts.where("last_id % 3 = 0"), ["source_text"], "times_used", "last_id")
-
-
-@query("i20_eval_gate", "WITH r AS (SELECT reviewer, 1000 * count(*) FILTER (WHERE confidence >= 0.80) // count(*) AS before, 1000 * count(*) FILTER (WHERE confidence >= 0.79 AND part_id % 40 <> reviewer) // count(*) AS after, count(*) AS n FROM classifications GROUP BY reviewer) SELECT count(*) FILTER (WHERE before - after > 20) AS n_regressions, list_sort(list(reviewer) FILTER (WHERE before - after > 20)) AS regressions, bool_and(before - after <= 20) AND sum(after * n) >= sum(before * n) AS passed FROM r")
-def i20(spark, sf_dir):
-    share = lambda c: F.expr(f"1000 * count_if({c}) div count(*)")
-    by = classifications(spark, sf_dir).groupBy("reviewer").agg(share("confidence >= 0.80").alias("before"), share("confidence >= 0.79 and part_id % 40 <> reviewer").alias("after"), F.count("*").alias("n"))
-    worse = F.col("before") - F.col("after") > 20
-    out = by.agg(F.count_if(worse).alias("n_regressions"), F.array_sort(F.collect_list(F.when(worse, F.col("reviewer")))).alias("regressions"), (F.bool_and(~worse) & (F.sum(F.col("after") * F.col("n")) >= F.sum(F.col("before") * F.col("n")))).alias("passed"))
-    return out.select("n_regressions", F.when(F.size("regressions") > 0, F.col("regressions")).alias("regressions"), "passed")
-
-
 @query("i24_conditional_fixes", "SELECT document_id, line_no, part_id, CASE WHEN reviewer = 2 AND cma_row = 40 THEN 41 WHEN reviewer = 3 AND cma_row BETWEEN 50 AND 60 AND amount > 20000 THEN 99 ELSE cma_row END::INTEGER AS cma_row FROM classifications")
 def i24(spark, sf_dir):
     fixed = F.when((F.col("reviewer") == 2) & (F.col("cma_row") == 40), 41).when((F.col("reviewer") == 3) & F.col("cma_row").between(50, 60) & (F.col("amount") > 20000), 99).otherwise(F.col("cma_row"))
@@ -177,34 +147,6 @@ def i25(spark, sf_dir):
     return first_per_key(counts, ["reviewer"], F.desc("n"), "off")
 
 
-#: Ordered routes of a section's text; the first that fits wins. Fixed values.
-ROUTES = [("sale|turnover|revenue", "revenue"), ("salary|wages|staff", "employee_cost"), ("steel|tin|copper|brass|nickel", "raw_materials"), ("depreciation|deprn", "depreciation"), ("audit|legal|office", "admin_expense")]
-
-
-def route(section, sheet):
-    """The category of a section: by its own text, else with the sheet's name, else by the sheet."""
-    both, out = F.concat_ws(" ", sheet, section), None
-    for text in (section, both):
-        for pattern, category in ROUTES:
-            hit = F.rlike(text, F.lit(f"(?i){pattern}"))
-            out = F.when(hit, category) if out is None else out.when(hit, category)
-    return out.when(F.lower(sheet).contains("bs"), "other_assets").otherwise("admin_expense")
-
-
-def _route_sql(section, sheet):
-    out = "CASE"
-    for text in (section, f"{sheet} || ' ' || {section}"):
-        for pattern, category in ROUTES:
-            out += f" WHEN regexp_matches({text}, '{pattern}', 'i') THEN '{category}'"
-    return out + f" WHEN contains(lower({sheet}), 'bs') THEN 'other_assets' ELSE 'admin_expense' END"
-
-
-@query("i27_section_routing", f"SELECT category, count(*) AS n FROM (SELECT {_route_sql('p_type', 'sheet')} AS category FROM line_items JOIN part ON part_id = p_partkey) GROUP BY category")
-def i27(spark, sf_dir):
-    types = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_type")
-    return line_items(spark, sf_dir).join(types, "part_id").groupBy(route(F.col("p_type"), F.col("sheet")).alias("category")).agg(F.count("*").alias("n"))
-
-
 @query("i28_scoped_context", "SELECT bucket, list_sort(list(DISTINCT cma_row)) AS rows, count(*) FILTER (WHERE r <= 30) AS examples FROM (SELECT CASE WHEN cma_row <= 108 THEN 'pl' ELSE 'bs' END AS bucket, cma_row, row_number() OVER (PARTITION BY CASE WHEN cma_row <= 108 THEN 'pl' ELSE 'bs' END ORDER BY confidence DESC, document_id, line_no, part_id) AS r FROM classifications) GROUP BY bucket")
 def i28(spark, sf_dir):
     rows = classifications(spark, sf_dir).withColumn("bucket", F.when(F.col("cma_row") <= 108, "pl").otherwise("bs"))
@@ -212,20 +154,6 @@ def i28(spark, sf_dir):
     return rows.groupBy("bucket").agg(F.array_sort(F.collect_set("cma_row")).alias("rows")).join(examples, "bucket")
 
 
-#: Ordered rules of one company: (field, condition on the label and section). Fixed values.
-COMPANY_RULES = [("metal sale", "STEEL", "R"), ("metal stock", "TIN|COPPER", ""), ("returns", "", "R"), ("brushed", "BRUSHED", "")]
-
-
-@query("i29_rule_engine", "SELECT rule, count(*) AS n FROM (SELECT CASE WHEN p_type LIKE '%STEEL%' AND section = 'R' THEN 'metal sale' WHEN regexp_matches(p_type, 'TIN|COPPER') THEN 'metal stock' WHEN section = 'R' THEN 'returns' WHEN p_type LIKE '%BRUSHED%' THEN 'brushed' ELSE 'none' END AS rule FROM line_items JOIN part ON part_id = p_partkey) GROUP BY rule")
-def i29(spark, sf_dir):
-    rule = None
-    for name, label, section in COMPANY_RULES:
-        hit = (F.rlike("p_type", F.lit(label)) if label else F.lit(True)) & ((F.col("section") == section) if section else F.lit(True))
-        rule = F.when(hit, name) if rule is None else rule.when(hit, name)
-    types = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_type")
-    return line_items(spark, sf_dir).join(types, "part_id").groupBy(rule.otherwise("none").alias("rule")).agg(F.count("*").alias("n"))
-
-
 @query("i30_row_taxonomy", "SELECT p_partkey, CASE WHEN p_partkey % 50 = 1 THEN 'META' WHEN p_partkey % 7 = 0 THEN 'YELLOW' WHEN p_partkey % 11 = 0 THEN 'BLANK' WHEN p_partkey % 5 = 0 THEN 'NOTE_ROW' WHEN p_partkey % 3 = 0 THEN 'BLUE' ELSE 'WHITE_HEADER' END AS kind FROM part")
 def i30(spark, sf_dir):
     k = F.col("p_partkey")
@@ -235,13 +163,6 @@ def i30(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
 
 
-@query("i31_section_tree", "SELECT CASE WHEN cma_row <= 108 THEN 'pl' ELSE 'bs' END AS part, string_agg('R' || rpad(cma_row::VARCHAR, 3, ' ') || ' [FIELD  ]  ' || name, chr(10) ORDER BY cma_row) AS tree FROM fields GROUP BY 1")
-def i31(spark, sf_dir):
-    line = F.format_string("R%-3d [%-7s]  %s", "cma_row", F.lit("FIELD"), "name")
-    by = fields(spark).groupBy(F.when(F.col("cma_row") <= 108, "pl").otherwise("bs").alias("part")).agg(F.array_sort(F.collect_list(F.struct("cma_row", line.alias("line")))).alias("x"))
-    return by.select("part", F.array_join(F.transform("x", lambda i: i["line"]), "\n").alias("tree"))
-
-
 @query("i33_seeded_sample", "SELECT reviewer, part_id, document_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY reviewer ORDER BY md5('7-' || document_id || '-' || line_no || '-' || part_id), amount) AS r FROM classifications) WHERE r <= 5")
 def i33(spark, sf_dir):
     key = F.md5(F.concat_ws("-", F.lit("7"), *[F.col(c).cast("string") for c in ("document_id", "line_no", "part_id")]).cast("binary"))
@@ -283,12 +204,6 @@ def i38(spark, sf_dir):
     return promotions.promoted(rules, "id").select("id", "version", "line", "error")
 
 
-@query("i39_keyword_rules", "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(p_type, 'STEEL') THEN 'confirmed' WHEN regexp_matches(p_type, 'TIN') THEN 'dispute' WHEN p_size < 5 THEN 'excluded' ELSE 'truly_unverified' END AS verdict FROM part) GROUP BY verdict")
-def i39(spark, sf_dir):
-    verdict = F.when(F.rlike("p_type", F.lit("STEEL")), "confirmed").when(F.rlike("p_type", F.lit("TIN")), "dispute").when(F.col("p_size") < 5, "excluded").otherwise("truly_unverified")
-    return read(spark, sf_dir, "part").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
 @query("i40_spot_check", "SELECT status, note, count(*) AS n FROM (SELECT CASE WHEN k = 0 THEN 'FORMULA' WHEN k = 1 THEN 'MISSING' WHEN k = 2 THEN 'MATCH' ELSE 'MISMATCH' END AS status, CASE WHEN k = 3 THEN '100x too large' WHEN k = 4 THEN 'other' ELSE '' END AS note FROM (SELECT part_id % 5 AS k FROM classifications WHERE amount > 10)) GROUP BY status, note")
 def i40(spark, sf_dir):
     k, want = F.col("part_id") % 5, F.col("amount")
@@ -529,13 +444,6 @@ def i26(spark, sf_dir):
     return out.select("text_id", "rule_id", decision.alias("decision"))
 
 
-@query("i21_golden_rules", "SELECT source, count(*) AS n FROM (SELECT DISTINCT lower(p_name) AS t, CASE WHEN p_partkey % 3 = 0 THEN 'override' ELSE 'interview' END AS source, i AS industry FROM part, (VALUES ('building'), ('all')) v(i) WHERE p_partkey % 2 = 0 OR i = 'all') GROUP BY source")
-def i21(spark, sf_dir):
-    answers = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("building"), F.lit(1), F.lit("all"), F.lit(2))).otherwise(F.create_map(F.lit("all"), F.lit(2)))
-    rules = read(spark, sf_dir, "part").select(F.lower("p_name").alias("t"), F.when(F.col("p_partkey") % 3 == 0, "override").otherwise("interview").alias("source"), F.explode(answers).alias("industry", "row"))
-    return rules.dropDuplicates(["t", "source", "industry"]).groupBy("source").agg(F.count("*").alias("n"))
-
-
 _OWN_SQL = _PARTS_SQL + ", texts AS (SELECT lower(array_to_string(list_filter(string_split(raw, ' '), lambda w: w <> ''), ' ')) AS text, p_partkey FROM raws), rules AS (SELECT lower(p_name) AS rule, p_partkey FROM part), "
 _SCORE_SQL = _OWN_SQL + _PAIRS_SQL + " SELECT p_partkey, score FROM texts JOIN rules USING (p_partkey) JOIN {} USING (text, rule)"
 
@@ -581,3 +489,69 @@ def h10(spark, sf_dir):
 def a16_status(spark, sf_dir):
     base = statements(spark, sf_dir).select("id", "status")
     return update_by_key(base, base.where("id % 4 = 1").select("id", F.lit("extracted").alias("status")), ["id"])
+
+
+@query("i14_roll_forward", """WITH y AS (SELECT client_id, list_sort(list(DISTINCT financial_year)) AS years, list_sort(list(id) FILTER (WHERE status = 'failed')) AS failed FROM statements GROUP BY client_id),
+x AS (SELECT client_id, CASE WHEN len(years) >= 3 THEN years[1] END AS dropped, CASE WHEN len(years) >= 3 THEN years[2:] ELSE years END AS kept, years[len(years)] + 1 AS added,
+  list_concat(CASE WHEN len(failed) > 0 THEN ['failed documents: ' || array_to_string(failed, ', ')] ELSE [] END, CASE WHEN len(years) < 2 THEN ['fewer than two years'] ELSE [] END) AS blockers FROM y)
+SELECT client_id, dropped, kept, added, array_to_string(blockers, '; ') AS blockers, len(blockers) = 0 AS can_confirm FROM x""")
+def i14(spark, sf_dir):
+    """The years that a report would keep, drop and get, and what stands in the way."""
+    failed = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("id"))))
+    y = statements(spark, sf_dir).groupBy("client_id").agg(F.array_sort(F.collect_set("financial_year")).alias("years"), failed.alias("failed"))
+    full = F.size("years") >= 3
+    listed = F.array_join(F.transform("failed", lambda i: i.cast("string")), ", ")
+    blockers = F.concat_ws("; ", F.when(F.size("failed") > 0, F.concat(F.lit("failed documents: "), listed)), F.when(F.size("years") < 2, "fewer than two years"))
+    kept = F.when(full, F.slice("years", F.lit(2), F.size("years"))).otherwise(F.col("years"))
+    return y.select("client_id", F.when(full, F.element_at("years", 1)).alias("dropped"), kept.alias("kept"), (F.element_at("years", -1) + 1).alias("added"), blockers.alias("blockers"), (blockers == "").alias("can_confirm"))
+
+
+@query("i20_eval_gate", """WITH r AS (SELECT reviewer, 1000 * count(*) FILTER (WHERE confidence >= 0.80) // count(*) AS before, 1000 * count(*) FILTER (WHERE confidence >= 0.79 AND part_id % 40 <> reviewer) // count(*) AS after, count(*) AS n FROM classifications GROUP BY reviewer),
+g AS (SELECT bool_and(before - after <= 20) AND sum(after * n) >= sum(before * n) AS passed FROM r)
+SELECT reviewer, before, after, CASE WHEN before - after > 20 THEN 'regression' WHEN after > before THEN 'improvement' ELSE 'held' END AS verdict, passed FROM r, g""")
+def i20(spark, sf_dir):
+    """Each reviewer's shares before and after, in permille, and whether the change passes: no regression by more than 20, and no loss in all."""
+    share = lambda c: F.expr(f"1000 * count_if({c}) div count(*)")
+    by = classifications(spark, sf_dir).groupBy("reviewer").agg(share("confidence >= 0.80").alias("before"), share("confidence >= 0.79 and part_id % 40 <> reviewer").alias("after"), F.count("*").alias("n"))
+    lost = F.col("before") - F.col("after")
+    gate = by.agg((F.bool_and(lost <= 20) & (F.sum(F.col("after") * F.col("n")) >= F.sum(F.col("before") * F.col("n")))).alias("passed"))
+    verdict = F.when(lost > 20, "regression").when(lost < 0, "improvement").otherwise("held")
+    return by.join(F.broadcast(gate)).select("reviewer", "before", "after", verdict.alias("verdict"), "passed")
+
+
+def _decided(spark, sf_dir, decision, said):
+    """Classifications with a reviewer's decision, and what they are to be instead."""
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("text"))
+    return classifications(spark, sf_dir).join(names, "part_id").select("document_id", "line_no", "part_id", "text", "cma_row", decision.alias("decision"), said.cast("int").alias("said"), F.struct("document_id", "line_no", "part_id").alias("at"))
+
+
+_DECIDED_SQL = """made AS (SELECT document_id || '-' || line_no || '-' || part_id AS subject, lower(p_name) AS t, [document_id, line_no, part_id] AS o, cma_row, decision, CASE WHEN decision = 'correct' THEN said ELSE cma_row END::INTEGER AS now
+  FROM (SELECT c.*, p_name, {} AS decision, {} AS said FROM classifications c JOIN part ON p_partkey = part_id) WHERE decision IS NOT NULL),
+used AS (SELECT t, now, 1::BIGINT AS n FROM made UNION ALL SELECT source_text, cma_row, times_used FROM mappings)
+SELECT 'status' AS trace, subject, now AS cma_row, CASE decision WHEN 'approve' THEN 'approved' ELSE 'corrected' END AS detail, 1::BIGINT AS n FROM made
+UNION ALL SELECT 'mapping', t, now, NULL, sum(n)::BIGINT FROM used GROUP BY t, now
+UNION ALL SELECT 'rule', t, max_by(now, o), NULL, 1 FROM made WHERE decision = 'correct' GROUP BY t
+UNION ALL SELECT 'audit', subject, cma_row, decision, 1 FROM made"""
+
+
+@query("i19_corrections", "WITH " + _DECIDED_SQL.format("CASE WHEN c.status = 'auto_classified' THEN CASE part_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'correct' END END", "22 + part_id * 7 % 237"))
+def i19(spark, sf_dir):
+    k = F.col("part_id")
+    decision = F.when(F.col("status") == "auto_classified", F.when(k % 3 == 0, "approve").when(k % 3 == 1, "correct"))
+    return decisions.traces(_decided(spark, sf_dir, decision, 22 + k * 7 % 237), ["document_id", "line_no", "part_id"], mappings(spark, sf_dir))
+
+
+@query("i18_doubt_approval", "WITH " + _DECIDED_SQL.format("CASE WHEN is_doubt AND part_id % 2 = 0 THEN CASE WHEN part_id % 4 = 0 THEN 'approve' ELSE 'correct' END END", "22 + part_id * 11 % 237"))
+def i18(spark, sf_dir):
+    k = F.col("part_id")
+    decision = F.when(F.col("is_doubt") & (k % 2 == 0), F.when(k % 4 == 0, "approve").otherwise("correct"))
+    return decisions.traces(_decided(spark, sf_dir, decision, 22 + k * 11 % 237), ["document_id", "line_no", "part_id"], mappings(spark, sf_dir))
+
+
+@query("i31_section_tree", """SELECT CASE WHEN cma_row <= 108 THEN 'pl' ELSE 'bs' END AS part, string_agg('R' || rpad(cma_row::VARCHAR, 3, ' ') || ' [' || rpad(coalesce(name, '-'), 9, ' ') || ']  ' || n || ' lines', chr(10) ORDER BY cma_row) AS tree
+  FROM (SELECT cma_row, count(*) AS n FROM classifications GROUP BY cma_row) LEFT JOIN fields USING (cma_row) GROUP BY 1""")
+def i31(spark, sf_dir):
+    counts = classifications(spark, sf_dir).groupBy("cma_row").agg(F.count("*").alias("n")).join(fields(spark), "cma_row", "left")
+    line = F.format_string("R%-3d [%-9s]  %d lines", "cma_row", F.coalesce("name", F.lit("-")), "n")
+    by = counts.groupBy(F.when(F.col("cma_row") <= 108, "pl").otherwise("bs").alias("part")).agg(F.array_sort(F.collect_list(F.struct("cma_row", line.alias("line")))).alias("x"))
+    return by.select("part", F.array_join(F.transform("x", lambda i: i["line"]), "\n").alias("tree"))

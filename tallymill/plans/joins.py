@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallymill.functions import amounts as A
+from tallymill.operators import writes
 from tallymill.operators.ranking import first_per_key, last_wins
-from tallymill.operators.upserts import compare_and_set, insert_absent, replace_groups, update_by_key, upsert_counts
+from tallymill.operators.upserts import insert_absent, update_by_key, upsert_counts
 from tallymill.plans.base import query
 from tallymill.sources import replies
 from tallymill.sources.files import new_path, read_csv, write_csv, write_json
@@ -95,17 +96,26 @@ def a13(spark, sf_dir):
     return statements(spark, sf_dir).select("id", (good & F.col("financial_year").between(1990, 2100) & (F.length(content) <= 50 * 1024 * 1024)).alias("ok"))
 
 
-@query("a14_append", "SELECT 'base' AS part, count(*) AS n FROM statements UNION ALL SELECT 'more', count(*) FROM statements WHERE id % 10 = 0")
+#: Buckets of a stored table of the test's size.
+BUCKETS = 8
+
+
+@query("a14_append", "SELECT id, status, 'base' AS part FROM statements UNION ALL SELECT id, status, 'more' FROM statements WHERE id % 10 = 0")
 def a14(spark, sf_dir):
-    base = statements(spark, sf_dir).select("id", F.lit("base").alias("part"))
-    return base.unionByName(base.where("id % 10 = 0").withColumn("part", F.lit("more"))).groupBy("part").agg(F.count("*").alias("n"))
+    base, path = statements(spark, sf_dir).select("id", "status", F.lit("base").alias("part")), new_path(spark, "append")
+    writes.create(base, path, "id", BUCKETS)
+    writes.append(base.where("id % 10 = 0").withColumn("part", F.lit("more")), path, "id", BUCKETS)
+    return writes.rows_of(spark, path)
 
 
 @query("a15_replace_groups", "SELECT document_id, count(*) AS n, sum(CASE WHEN document_id % 10 = 0 THEN 0 ELSE amount END)::DOUBLE AS total FROM line_items GROUP BY document_id")
 def a15(spark, sf_dir):
-    base = line_items(spark, sf_dir).select("document_id", "amount")
+    base, path = line_items(spark, sf_dir).select("document_id", "amount"), new_path(spark, "replace")
+    writes.create(base, path, "document_id", BUCKETS)
     again = base.where("document_id % 10 = 0").withColumn("amount", F.lit(0).cast("decimal(12,2)"))
-    return replace_groups(base, again, ["document_id"]).groupBy("document_id").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+    for _ in range(2):  # running it again changes nothing
+        writes.replace(again, path, "document_id", BUCKETS)
+    return writes.rows_of(spark, path).groupBy("document_id").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
 @query("a16_update_by_key", "SELECT id, CASE WHEN id % 6 = 0 THEN 'verified' ELSE status END AS status FROM statements")
@@ -114,11 +124,13 @@ def a16(spark, sf_dir):
     return update_by_key(base, base.where("id % 6 = 0").withColumn("status", F.lit("verified")), ["id"])
 
 
-@query("a17_compare_and_set", "SELECT id, CASE WHEN id % 2 = 0 AND status IN ('pending', 'failed') THEN 'processing' ELSE status END AS status, id % 2 = 0 AND status IN ('pending', 'failed') AS changed FROM statements")
+@query("a17_compare_and_set", "WITH x AS (SELECT id, status, id % 2 = 0 AND status IN ('pending', 'failed') AS hit FROM statements) SELECT id, CASE WHEN hit THEN 'processing' ELSE status END AS status, (SELECT count(*) FROM x WHERE hit) AS n_first, 0::BIGINT AS n_second FROM x")
 def a17(spark, sf_dir):
-    base = statements(spark, sf_dir).select("id", "status")
+    path = new_path(spark, "set")
+    writes.create(statements(spark, sf_dir).select("id", "status"), path, "id", BUCKETS)
     condition = (F.col("id") % 2 == 0) & F.col("status").isin("pending", "failed")
-    return compare_and_set(base.withColumn("changed", condition), F.col("changed"), "status", F.lit("processing"))
+    first, second = (writes.compare_and_set(spark, path, condition, "status", F.lit("processing")) for _ in range(2))  # the second comes too late
+    return writes.rows_of(spark, path).select("id", "status", F.lit(first).cast("long").alias("n_first"), F.lit(second).cast("long").alias("n_second"))
 
 
 @query("a18_upsert_counts", "SELECT user_id, event_type, count(*) AS times_used, max(event_id) AS last_id FROM events GROUP BY user_id, event_type")

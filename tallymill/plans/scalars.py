@@ -304,30 +304,6 @@ def c39(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", T.company_names(text).alias("names"))
 
 
-_TERMS = ["the", "and", "ing", "é"]
-
-
-@query("c40_term_counts", "SELECT t.term, sum((length(lower(text)) - length(replace(lower(text), t.term, ''))) // length(t.term))::BIGINT AS n FROM documents, (VALUES ('the'), ('and'), ('ing'), ('é')) t(term) GROUP BY t.term")
-def c40(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("text", F.explode(F.array(*map(F.lit, _TERMS))).alias("term"))
-    return docs.groupBy("term").agg(F.sum(T.occurrences(F.col("text"), F.col("term"))).alias("n"))
-
-
-@query("c41_redact", "SELECT doc_id, replace(replace(text, 'the', '[X]'), 'und', '[X]') AS redacted, 0::BIGINT AS n_left FROM documents")
-def c41(spark, sf_dir):
-    out = F.col("text")
-    for term in ("the", "und"):
-        out = F.replace(out, F.lit(term), F.lit("[X]"))
-    left = sum((F.regexp_count(out, F.lit(t)) for t in ("the", "und")), F.lit(0)).cast("long")
-    return read(spark, sf_dir, "documents").select("doc_id", out.alias("redacted"), left.alias("n_left"))
-
-
-@query("c43_formula_template", "SELECT cma_row, replace('=B' || cma_row || '+C' || cma_row || '*1.' || cma_row, cma_row::VARCHAR, '[ROW]') AS template FROM fields")
-def c43(spark, sf_dir):
-    row = F.col("cma_row").cast("string")
-    return fields(spark).select("cma_row", F.replace(F.concat(F.lit("=B"), row, F.lit("+C"), row, F.lit("*1."), row), row, F.lit("[ROW]")).alias("template"))
-
-
 @query("b1_client_search", "SELECT id, name FROM clients WHERE name ILIKE '%00001%' AND industry_type = 'building' ORDER BY id DESC")
 def b1(spark, sf_dir):
     return clients(spark, sf_dir).where(F.col("name").ilike(f"%{' 00001 '.strip()}%") & (F.col("industry_type") == "building")).select("id", "name").orderBy(F.desc("id"))
@@ -387,16 +363,6 @@ def b15(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", T.complement(T.page_ranges(F.lit(_RANGES), total), total).alias("pages"))
 
 
-#: Labels with one of these in them stay unclassified; the first that fits is named. Fixed values.
-PATTERNS = ("d Ring", "Old", "Large W", "gear", "hot", "E B", "ol")
-
-
-@query("b16_first_pattern", "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(lower(p_name), '{p.lower()}') THEN '{p}'" for p in PATTERNS) + " END AS pattern FROM part WHERE " + " OR ".join(f"contains(lower(p_name), '{p.lower()}')" for p in PATTERNS))
-def b16(spark, sf_dir):
-    first = T.first_pattern(F.col("p_name"), PATTERNS)
-    return read(spark, sf_dir, "part").select("p_partkey", first.alias("pattern")).where("pattern is not null")
-
-
 @query("b17_whitelist", "SELECT document_id, line_no, part_id, CASE WHEN f.cma_row IS NULL THEN 0 ELSE c.cma_row END AS cma_row, (CASE WHEN f.cma_row IS NULL THEN least(confidence, 0.40) ELSE confidence END)::DOUBLE AS confidence, f.cma_row IS NULL OR is_doubt AS is_doubt, CASE WHEN f.cma_row IS NULL THEN 'row ' || c.cma_row || ' not allowed' END AS reason FROM classifications c LEFT JOIN fields f ON c.cma_row = f.cma_row")
 def b17(spark, sf_dir):
     valid = fields(spark).select(F.col("cma_row").alias("valid_row"))
@@ -417,11 +383,6 @@ def b19(spark, sf_dir):
     return classifications(spark, sf_dir).where(F.col("status").isin("needs_review", "auto_classified") | F.col("is_doubt")).select("document_id", "line_no", "part_id")
 
 
-@query("b20_field_search", "SELECT cma_row, name FROM fields WHERE contains(lower(name), lower('D 1'))")
-def b20(spark, sf_dir):
-    return fields(spark).where(F.contains(F.lower("name"), F.lower(F.lit("D 1"))))
-
-
 @query("b21_own_documents", "SELECT id FROM statements WHERE uploaded_by = 3")
 def b21(spark, sf_dir):
     admin, user = False, 3
@@ -439,6 +400,20 @@ def b23(spark, sf_dir):
     return classifications(spark, sf_dir).join(fields(spark), "cma_row", "left_anti").where("amount <> 0").select("document_id", "line_no", "part_id", "cma_row")
 
 
-@query("b24_row_range", "SELECT cma_row, name FROM fields WHERE cma_row BETWEEN 161 AND 258 AND cma_row NOT IN (200, 201) ORDER BY cma_row")
+@query("c43_formula_template", "SELECT document_id, line_no, part_id, replace('=B' || cma_row || '+C' || cma_row || '*' || amount::VARCHAR, cma_row::VARCHAR, '[ROW]') AS template FROM classifications")
+def c43(spark, sf_dir):
+    row = F.col("cma_row").cast("string")
+    formula = F.concat(F.lit("=B"), row, F.lit("+C"), row, F.lit("*"), F.col("amount").cast("string"))
+    return classifications(spark, sf_dir).select("document_id", "line_no", "part_id", F.replace(formula, row, F.lit("[ROW]")).alias("template"))
+
+
+@query("b20_field_search", "SELECT id, name, industry_type FROM clients WHERE contains(lower(name), lower('UI')) OR contains(lower(industry_type), lower('UI'))")
+def b20(spark, sf_dir):
+    asked = F.lower(F.lit("UI"))
+    return clients(spark, sf_dir).where(F.contains(F.lower("name"), asked) | F.contains(F.lower("industry_type"), asked)).select("id", "name", "industry_type")
+
+
+@query("b24_row_range", "SELECT document_id, line_no, part_id, cma_row FROM classifications WHERE cma_row BETWEEN 161 AND 258 AND cma_row NOT IN (200, 201) ORDER BY cma_row, document_id, line_no, part_id")
 def b24(spark, sf_dir):
-    return fields(spark).where(F.col("cma_row").between(161, 258) & ~F.col("cma_row").isin(200, 201)).orderBy("cma_row")
+    rows = classifications(spark, sf_dir).where(F.col("cma_row").between(161, 258) & ~F.col("cma_row").isin(200, 201))
+    return rows.select("document_id", "line_no", "part_id", "cma_row").orderBy("cma_row", "document_id", "line_no", "part_id")
