@@ -42,8 +42,8 @@ def in_turn(old: DataFrame, new: DataFrame, scores: DataFrame) -> DataFrame:
         asked = asking.join(ranked, ["group", "text", "place"]).where(F.col("least").isNull() | (F.col("least") > F.col("o"))).select("group", "n", "o", "score")
         asked = stored(asked, "asked")
         if asked.isEmpty():
-            drop(asked, old, wants)
-            return asked.limit(0) if held is None else held
+            drop(old, wants)
+            return asked if held is None else held
         both = asked if held is None else held.unionByName(asked)
         now = stored(both.groupBy("group", "n").agg(F.min(F.struct("o", "score")).alias("best")).select("group", "n", "best.o", "best.score"), "held")
         drop(asked, *([] if held is None else [held]))

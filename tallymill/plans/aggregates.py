@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallymill.functions import amounts as A
+from tallymill.operators import vector_cache
 from tallymill.operators.ranking import first_per_key, majority, running_sum, top_per_key
 from tallymill.operators.snapshots import LEDGER_LINES
 from tallymill.plans.base import query
+from tallymill.sources.files import new_path
 from tallymill.sources.relations import classifications, clients, fields, line_items, read, statements
 
 
@@ -444,6 +446,11 @@ def g6(spark, sf_dir):
     return named.orderBy(F.regexp_extract("name", r"\d+", 0).cast("int")).limit(60)
 
 
-@query("a22_vector_cache", "SELECT vec_id, len(embedding)::BIGINT AS n FROM embeddings")
+@query("a22_vector_cache", "SELECT vec_id, len(embedding)::BIGINT AS n, list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)))::BIGINT AS total, false AS first, true AS again FROM embeddings")
 def a22(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"))
+    """The vectors from the cache, which the first call fills and the second finds."""
+    rows, path = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), new_path(spark, "vectors")
+    _, first = vector_cache.cached(rows, path)
+    vectors, again = vector_cache.cached(rows, path)
+    total = F.aggregate("vector", F.lit(0).cast("long"), lambda t, x: t + F.floor(x.cast("double") * 1024).cast("long"))
+    return vectors.select(F.col("id").alias("vec_id"), F.size("vector").cast("long").alias("n"), total.alias("total"), F.lit(first).alias("first"), F.lit(again).alias("again"))

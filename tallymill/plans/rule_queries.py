@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallymill.operators import nearby, patterns
+from tallymill.operators import nearby, patterns, substrings
 from tallymill.operators.ranking import first_per_key
 from tallymill.plans.base import query
 from tallymill.plans.joins import _CELLS, _report_cells
+from tallymill.sources.files import new_path
 from tallymill.sources.relations import line_items, read, statements
 
 
@@ -37,6 +38,17 @@ def c41(spark, sf_dir):
     return patterns.redact(read(spark, sf_dir, "documents").select("doc_id", "text"), _terms(spark, sf_dir), "text").select("doc_id", "redacted", "n_found", "n_left")
 
 
+@query("b1_substring_index", f"WITH {_TERMS_SQL}, p AS (SELECT pattern FROM terms UNION ALL SELECT 'zq' UNION ALL SELECT upper(pattern) FROM terms WHERE rule_id % 7 = 0) SELECT DISTINCT pattern, doc_id FROM documents JOIN p ON contains(lower(text), lower(pattern))")
+def b1_index(spark, sf_dir):
+    """Several hundred search strings over all documents, of which a tenth come to the index later."""
+    rows, path = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), new_path(spark, "trigrams")
+    substrings.add(rows.where("id % 10 <> 0"), path)
+    substrings.add(rows.where("id % 10 = 0"), path)
+    terms = _terms(spark, sf_dir)
+    asked = terms.select("pattern").unionByName(spark.createDataFrame([("zq",)], "pattern string")).unionByName(terms.where("rule_id % 7 = 0").select(F.upper("pattern").alias("pattern")))
+    return substrings.search(spark, path, rows, asked).select("pattern", F.col("id").alias("doc_id"))
+
+
 def _words(spark, sf_dir):
     """(word, k) of the words of part names, k numbers where a word comes first."""
     parts = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.lower("p_name"), " ")).alias("i", "word"))

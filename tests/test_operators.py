@@ -397,6 +397,15 @@ def test_sequence_match_by_the_standard_library(spark):
     assert {r.p_partkey: r.same for r in QUERIES["c30_sequence_match"](spark, "/root/testdata/sf0.001").collect()} == {k: SequenceMatcher(None, raws[k], n).ratio() >= 0.85 for k, n in names.items()}
 
 
+def test_matching_blocks_are_those_of_the_standard_library():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    texts = ["", "a", "bank charges", "charges bank", "ab" * 150, "ba" * 120 + "xyz"] + ["".join(rng.choice("abc de") for _ in range(rng.choice([3, 12, 40, 199, 200, 260]))) for _ in range(40)]
+    assert all(ratios.sequence(a, b) == 100.0 * SequenceMatcher(None, a, b).ratio() for a in texts for b in texts)
+
+
 def test_stream_gives_the_complete_hours(spark, tmp_path):
     at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
     rows = [(1, at(0), "a", 1.0), (2, at(0, 30), "a", 2.0), (3, at(1), None, 1.0), (4, at(9), "b", 1.0)]

@@ -1,12 +1,13 @@
 """Patterns, nearest amounts, keyed writes and reviewers' decisions against plain versions."""
 
+import datetime
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import decisions, nearby, patterns, writes
+from tallymill.operators import decisions, nearby, patterns, substrings, vector_cache, writes
 
 WORDS = ["rent", "ren", "entry", "net rent", "aa", "é", "x.y", "r"]
 
@@ -111,3 +112,94 @@ def test_decisions_leave_all_traces(spark):
         ("rule", "rent", 13, None, 1),
         ("audit", "1", 10, "approve", 1), ("audit", "2", 11, "correct", 1), ("audit", "3", 11, "correct", 1), ("audit", "6", 1, "approve", 1),
     }
+
+
+def test_substrings_by_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 16)
+    texts = [*phrases(4, 120), None, "", "ab", "İstanbul ÉCOLE"]
+    rows = spark.createDataFrame([*enumerate(texts), (None, "rent")], "id long, text string").repartition(3)
+    path = f"{tmp_path}/index"
+    substrings.add(rows.where("id < 90"), path)
+    before = {p: os.stat(p).st_mtime_ns for r, _, names in os.walk(path) for p in [f"{r}/{n}" for n in names if n.startswith("part-")]}
+    substrings.add(rows.where("id >= 90 or id is null"), path)
+    assert all(os.stat(p).st_mtime_ns == t for p, t in before.items())
+    asked = ["rent", "RENT", "parent", "x.y", "xzy", "net", "a", "ab", "é é", "never there", "entry par", "école", "", None]
+    found = substrings.search(spark, path, rows, spark.createDataFrame([(a,) for a in asked], "pattern string"))
+    assert sorted(map(tuple, found.collect())) == sorted((a, i) for a in asked if a is not None for i, t in enumerate(texts) if t is not None and a.lower() in t.lower())
+    assert substrings.search(spark, path, rows, spark.createDataFrame([], "pattern string")).count() == 0
+
+
+def test_postings_of_a_search_read_its_slots_alone(spark, tmp_path):
+    rows = spark.createDataFrame(list(enumerate(phrases(5, 50))), "id long, text string")
+    substrings.add(rows, f"{tmp_path}/index")
+    plan = substrings.postings(spark, f"{tmp_path}/index", spark.createDataFrame([("ren",)], "gram string"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "slot" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_vector_cache(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "id long, vector array<float>")
+    path = f"{tmp_path}/cache"
+    first, there = vector_cache.cached(rows, path)
+    again, found = vector_cache.cached(rows.repartition(7), path)
+    assert (there, found) == (False, True) and sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+    changed, found = vector_cache.cached(rows.withColumn("vector", F.transform("vector", lambda x: x + 1)), path)
+    assert not found and {tuple(r.vector) for r in changed.collect()} == {(i + 1.0, 2.0) for i in range(30)}
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def settled(events, until):
+    """HISTORY of events (job, event_id, seconds, wanted) up to a time, state by state."""
+    from tallymill.streaming.status_machine import ALLOWED, LEASE
+
+    out = []
+    for job in {e[0] for e in events}:
+        status, since = "new", 0.0
+        for _, number, at, wanted in sorted({e for e in events if e[0] == job and e[2] < until}, key=lambda e: (e[2], e[1])) + [(job, None, until, None)]:
+            if status == "processing" and since + LEASE <= at:
+                out.append((job, None, since + LEASE, "processing", "failed", True))
+                status, since = "failed", since + LEASE
+            if number is not None:
+                good = wanted in ALLOWED[status]
+                out.append((job, number, at, status, wanted, good))
+                status, since = (wanted, at) if good else (status, since)
+    return sorted(out, key=str)
+
+
+def test_status_machine_over_late_and_repeated_events(spark, tmp_path):
+    from tallymill.streaming import status_machine as machine
+    from tallymill.streaming.counters import event_stream
+
+    rng = random.Random(11)
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp()
+    states = list(machine.ALLOWED)[1:]
+    # three files of twelve hours each, in no order; rows of the last two hours of a file may come with the next one
+    events = [(rng.randint(1, 6), i, start + 240.0 * i + rng.randint(0, 200), rng.choice(states)) for i in range(540)]
+    events += [(7, 1000, start + 5, "pending"), (7, 1001, start + 9, "processing")]  # then nothing is heard of it
+    parts = [[e for e in events if (e[1] % 1000 // 180) == k] for k in range(3)]
+    for k in (0, 1):
+        late = [e for e in parts[k] if e[2] > max(e[2] for e in parts[k]) - 6000 and rng.random() < 0.4][:-1]
+        parts[k] = [e for e in parts[k] if e not in late]
+        parts[k + 1] += late + rng.sample(parts[k], 40)  # and repeats of any age
+    schema = "job long, event_id long, at timestamp, wanted string"
+    given, done = spark.createDataFrame([], schema), []
+    for k, part in enumerate(parts):
+        rng.shuffle(part)
+        rows = [(j, i, datetime.datetime.fromtimestamp(t, datetime.timezone.utc), w) for j, i, t, w in part]
+        spark.createDataFrame([*rows, (None, 1, rows[0][2], "pending"), (1, 9000 + k, None, "pending")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2 if k == 1 else 1):  # stopped and started again in between
+            machine.maintain(event_stream(spark, f"{tmp_path}/in", given.schema, 1), f"{tmp_path}/out", f"{tmp_path}/check")
+        done.append(spark.read.parquet(f"{tmp_path}/out").count())
+    got = sorted(((r.job, r.event_id, r.at.replace(tzinfo=datetime.timezone.utc).timestamp(), r.before, r.after, r.applied) for r in spark.read.parquet(f"{tmp_path}/out").select("job", "event_id", "at", "before", "after", "applied").collect()), key=str)
+    until = max(e[2] for e in events) - 7200
+    assert got == settled(events, until) and 0 < done[0] < done[1] < done[2]
+    assert any(r[1] is None for r in got) and {r[5] for r in got} == {True, False}
+    assert spark.conf.get(machine._PROVIDER) != "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_status_machine_query(spark):
+    from tallymill.plans.registry import QUERIES
+    from tallymill.plans.streams import job_events
+
+    events = [(r.job, r.event_id, r.at.replace(tzinfo=datetime.timezone.utc).timestamp(), r.wanted) for r in job_events(spark, "/root/testdata/sf0.001").collect()]
+    got = sorted(((r.job, r.event_id, r.at.replace(tzinfo=datetime.timezone.utc).timestamp(), r.before, r.after, r.applied) for r in QUERIES["k2_status_machine"](spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert got == settled(events, max(e[2] for e in events) - 7200)
