@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tallymill.functions import amounts as A, ratios, text as T
+from tallymill.functions import amounts as A, ratios, sql_names, text as T
 from tallymill.operators import budgets, cells, decisions, matching, promotions, retrieval, snapshots
 from tallymill.operators.ranking import first_per_key, last_wins, majority, top_per_key
 from tallymill.operators.upserts import update_by_key
@@ -468,6 +468,14 @@ def c30(spark, sf_dir):
     return _own_scores(spark, sf_dir, ratios.sequence_ratio).select("p_partkey", (F.col("score") >= 85).alias("same"))
 
 
+@query("j1_scores_by_name", f"{_OWN_SQL}{_PAIRS_SQL} SELECT p_partkey, 'token_set' AS scorer, score, score >= 75 AS like FROM texts JOIN rules USING (p_partkey) JOIN setted USING (text, rule) UNION ALL SELECT p_partkey, 'token_sort', score, score >= 75 FROM texts JOIN rules USING (p_partkey) JOIN sorted USING (text, rule)".replace("AS like", "AS alike"))
+def j1(spark, sf_dir):
+    """Each part's label and name, scored from SQL."""
+    sql_names.register(spark)
+    rows = _raw_parts(spark, sf_dir).join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", F.lower("raw").alias("a"), F.lower("p_name").alias("b"))
+    return spark.sql("SELECT p_partkey, scorer, score, score >= 75 AS alike FROM {rows}, LATERAL text_scores('token_set, token_sort', a, b)", rows=rows)
+
+
 #: A budget that clients of the test tables exceed.
 BUDGET = 200
 

@@ -42,6 +42,12 @@ def drop(*tables: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all that queries of this package have written to the shared folder: for when none of their results will be read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallymill")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_csv(rows: DataFrame, fields: list[str], path: str) -> StructType:
     """Writes these fields in this order, with a header; other columns are left out, fields that rows lack are empty. Returns the schema to read with."""
     out = rows.select(*[F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields])

@@ -66,3 +66,16 @@ def test_sheets(spark):
 def test_page_types_and_scales_of_replies(spark):
     assert [one(spark, T.page_type, x) for x in ("profit_and_loss", "schedules", "cover", None)] == ["face", "notes", "unknown", "unknown"]
     assert [one(spark, A.scale, x) for x in ("in_lakhs", "lakhs", None)] == [100_000, 1, 1]
+
+
+def test_scores_under_sql_names(spark):
+    from tallymill.functions import ratios, sql_names
+
+    sql_names.register(spark)
+    rows = spark.createDataFrame([("rent paid", "paid rents"), (None, "x"), ("", "")], "a string, b string")
+    found = spark.sql("SELECT a, s.scorer, s.score FROM {rows}, LATERAL text_scores('token_sort, sequence,token_set', a, b) s", rows=rows).collect()
+    assert {(r.a, r.scorer): r.score for r in found} == {(a, n): f(a, b) for a, b in (("rent paid", "paid rents"), ("", "")) for n, f in sql_names.SCORERS.items()}
+    row = spark.sql("SELECT token_sort_ratio(a, b) AS x, sequence_ratio(a, b) AS y FROM {rows} WHERE a LIKE 'rent%'", rows=rows).first()
+    assert (row.x, row.y) == (ratios.token_sort("rent paid", "paid rents"), ratios.sequence("rent paid", "paid rents"))
+    with pytest.raises(Exception, match="nonsense"):
+        spark.sql("SELECT * FROM {rows}, LATERAL text_scores('nonsense', a, b)", rows=rows).collect()
