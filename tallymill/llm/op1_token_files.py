@@ -31,6 +31,8 @@ END_ID = 2
 MAGIC = b"TKB1"
 #: The dictionary is fitted on about this many documents, chosen by a hash of the id, and has at most this many bytes.
 DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 64 * 1024
+#: Of a document's ids so many bytes are looked at when the dictionary is fitted.
+SAMPLE_BYTES = 64 * 1024
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 2048
 
 _INDEX = np.dtype([("doc", "<i8"), ("has", "u1"), ("tokens", "<u4"), ("end", "<u8")])
@@ -136,12 +138,13 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: s
 
 
 def fit_dictionary(docs: DataFrame, tokenizer_path: str, width: int, special_as_text: bool = False, docs_wanted: int = DICTIONARY_DOCS, most_bytes: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the id arrays of about ``docs_wanted`` documents; few or tiny ones give a plain-content dictionary, none an empty one."""
+    """A zstandard dictionary from the id arrays of about ``docs_wanted`` documents, of each at most SAMPLE_BYTES and of equal ones one; few or tiny ones give a plain-content dictionary, none an empty one."""
     import zstandard
 
     share = min(1.0, docs_wanted / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    arrays = sorted({_narrow(r.ids, width) for r in encode(chosen, tokenizer_path, special_as_text=special_as_text).select("ids").toLocalIterator()})
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    heads = encode(chosen, tokenizer_path, special_as_text=special_as_text).select(F.substring("ids", 1, SAMPLE_BYTES).alias("ids")).distinct()
+    arrays = sorted(_narrow(r.ids, width) for r in heads.collect())
     try:
         return zstandard.train_dictionary(most_bytes, arrays, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
