@@ -12,12 +12,14 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 #: What may follow what; a job without events is new. Fixed values.
 ALLOWED = {"new": ("pending",), "pending": ("processing", "failed"), "processing": ("extracted", "failed"), "extracted": ("verified",), "failed": ("pending",), "verified": ()}
 LATENESS, LEASE = "2 hours", 6 * 3600
 HISTORY = "job long, event_id long, at timestamp, before string, after string, applied boolean"
+#: What is kept of a job, which comes with its rows and goes back with its history: calls to the JVM for each event or job would take far longer than the work.
+KEPT = "status string, since double, event_id array<long>, at array<double>, wanted array<string>"
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -42,48 +44,35 @@ def follow(status: str, since: float, events: list[tuple[float, int, str]], unti
     return status, since, out
 
 
-class Machine(StatefulProcessor):
-    """Keeps (status, since) and the waiting events of a job."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.now = handle.getValueState("now", "status string, since double")
-        self.waiting = handle.getMapState("waiting", "event_id long", "at double, wanted string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for number, at, wanted in zip(part["event_id"].tolist(), part["at"].tolist(), part["wanted"].tolist(), strict=True):
-                self.waiting.updateValue((number,), (at.timestamp(), wanted))
-                self.handle.registerTimer(int(at.timestamp() * 1000) + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() / 1000
-        due = sorted((v[0], k[0], v[1]) for k, v in self.waiting.iterator() if v[0] <= until)
-        status, since = self.now.get() if self.now.exists() else ("new", 0.0)
-        status, since, history = follow(status, since, due, until)
-        for _, number, _ in due:
-            self.waiting.removeKey((number,))
-        self.now.update((status, since))
-        if status == "processing":
-            self.handle.registerTimer(int((since + LEASE) * 1000))
-        if history:
-            rows = [(key[0], number, pd.Timestamp(round(at * 1e6), unit="us"), before, after, good) for number, at, before, after, good in history]
-            yield pd.DataFrame(rows, columns=["job", "event_id", "at", "before", "after", "applied"]).astype({"event_id": "Int64"})
-
-    def close(self) -> None:
-        pass
+def advance(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Takes in the new events of a job and applies at once all that is due. Kept are (status, since) and the waiting events, in the order they came; the job is called on again when the earliest of them, or its lease, is due."""
+    until = state.getCurrentWatermarkMs()
+    status, since, *waiting = state.get if state.exists else ("new", 0.0, [], [], [])
+    # a repeat takes the place of the event that waits
+    events = {number: (at, number, wanted) for number, at, wanted in zip(*waiting, strict=True)}
+    for part in () if state.hasTimedOut else rows:
+        for number, at, wanted in zip(part["event_id"].tolist(), part["at"].tolist(), part["wanted"].tolist(), strict=True):
+            events[number] = (at.timestamp(), number, wanted)
+    status, since, history = follow(status, since, sorted(e for e in events.values() if e[0] <= until / 1000), until / 1000)
+    later = [e for e in events.values() if e[0] > until / 1000]
+    state.update((status, since, [e[1] for e in later], [e[0] for e in later], [e[2] for e in later]))
+    due = [e[0] for e in later] + ([since + LEASE] if status == "processing" else [])
+    if due:
+        state.setTimeoutTimestamp(max(int(min(due) * 1000), until + 1))
+    if history:
+        made = [(key[0], number, pd.Timestamp(round(at * 1e6), unit="us"), before, after, good) for number, at, before, after, good in history]
+        yield pd.DataFrame(made, columns=["job", "event_id", "at", "before", "after", "applied"]).astype({"event_id": "Int64"})
 
 
 def histories(events: DataFrame) -> DataFrame:
     """HISTORY of a stream of events (job, event_id, at, wanted)."""
     known = events.where(F.col("job").isNotNull() & F.col("event_id").isNotNull() & F.col("at").isNotNull() & F.col("wanted").isNotNull())
-    return known.withWatermark("at", LATENESS).groupBy("job").transformWithStateInPandas(statefulProcessor=Machine(), outputStructType=HISTORY, outputMode="Append", timeMode="EventTime")
+    return known.withWatermark("at", LATENESS).groupBy("job").applyInPandasWithState(advance, HISTORY, KEPT, "append", "EventTimeTimeout")
 
 
 @contextmanager
 def _timers(spark: SparkSession) -> Iterator[None]:
-    """Timers need a state store of this kind; the session has its own again afterwards."""
+    """State that is kept on disk instead of in memory; the session has its own again afterwards."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

@@ -203,3 +203,35 @@ def test_status_machine_query(spark):
     events = [(r.job, r.event_id, r.at.replace(tzinfo=datetime.timezone.utc).timestamp(), r.wanted) for r in job_events(spark, "/root/testdata/sf0.001").collect()]
     got = sorted(((r.job, r.event_id, r.at.replace(tzinfo=datetime.timezone.utc).timestamp(), r.before, r.after, r.applied) for r in QUERIES["k2_status_machine"](spark, "/root/testdata/sf0.001").collect()), key=str)
     assert got == settled(events, max(e[2] for e in events) - 7200)
+
+
+def test_status_machine_applies_all_that_is_due_in_one_call():
+    """However many events a job has, it is called once for a batch and has one timer."""
+    import pandas as pd
+
+    from tallymill.streaming import status_machine as machine
+
+    class State:
+        exists, hasTimedOut, calls = False, False, 0
+
+        def getCurrentWatermarkMs(self):
+            return self.until
+
+        def update(self, value):
+            self.get, self.exists, self.calls = value, True, self.calls + 1
+
+        def setTimeoutTimestamp(self, at):
+            assert at > self.until
+            self.timeout = at
+
+    state, rng, got = State(), random.Random(4), []
+    events = [(1, i, 1000.0 + 60 * i, rng.choice(list(machine.ALLOWED)[1:])) for i in range(500)]
+    rows = pd.DataFrame([(i, pd.Timestamp(at, unit="s", tz="UTC"), wanted) for _, i, at, wanted in events], columns=["event_id", "at", "wanted"])
+    for state.until, state.hasTimedOut, parts in ((0, False, [rows[:300], rows[200:]]), (16000 * 1000, True, []), (10**9, True, [])):
+        for part in machine.advance((1,), iter(parts), state):
+            got += [(1, None if pd.isna(n) else n, at.timestamp(), b, a, ok) for n, at, b, a, ok in part.drop(columns="job").itertuples(index=False)]
+        if state.until == 0:
+            assert not got and state.timeout == 1000 * 1000
+        if state.until == 16000 * 1000:
+            assert state.timeout == 16060 * 1000 and len(state.get[2]) == 500 - 251
+    assert state.calls == 3 and sorted(got, key=str) == settled(events, 10**6)
