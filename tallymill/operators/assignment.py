@@ -7,15 +7,98 @@ lines before, so rounds are few and tables are dealt over tasks; no task holds a
 Old lines with the same text want the same new lines in the same order. They ask together, the first of them for the best, the second for
 the next and so on, as far as all of these would prefer each of them to the line that they keep: a line's place in the queue is then sure.
 Many equal lines are thus one round's work.
+
+Groups of few lines need no rounds: after one shuffle by group a task goes through them one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tallymill.sources.files import drop, stored
 
 
+#: Pairs of texts whose score a task remembers.
+REMEMBERED = 500_000
+
+
+def in_small_groups(rows: DataFrame, order: list[str], score: Callable[[str, str], float], least: float, exact: bool) -> DataFrame:
+    """(group, old, new, score, exact): who gets whom in groups of few lines, and with a score of 0 who gets nobody.
+
+    rows: (group, side, key, line) and the columns of order, which orders the lines of a group and side; line is what the result gives of a line.
+    exact: of each key that both sides have, the last lines get each other before all others. No more than one group and a batch of rows are at hand at once.
+    """
+    line = rows.schema["line"].dataType
+    schema = StructType([StructField("group", rows.schema["group"].dataType), StructField("old", line), StructField("new", line), StructField("score", DoubleType()), StructField("exact", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], float] = {}
+
+        def scored(a: str, b: str) -> float:
+            if (a, b) not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[a, b] = score(a, b)
+            return known[a, b]
+
+        def pair(old: list[int], new: list[int], keys: list[str | None]) -> Iterator[tuple[int | None, int | None, float, bool]]:
+            if exact:
+                last_old, last_new = ({keys[i]: i for i in side if keys[i] is not None} for side in (old, new))
+                both = [(i, last_new[k]) for k, i in last_old.items() if k in last_new]
+                yield from ((i, j, 100.0, True) for i, j in both)
+                used = {i for two in both for i in two}
+                old, new = ([i for i in side if i not in used] for side in (old, new))
+            queues: dict[str, list[int]] = {}
+            for j in reversed(new):
+                queues.setdefault(keys[j] or "", []).append(j)
+            for i in old:
+                best, text = (-least, len(keys)), keys[i] or ""
+                for other, queue in queues.items():
+                    asked = (-scored(text, other), queue[-1])
+                    if asked < best:
+                        best = asked
+                if best[1] == len(keys):
+                    yield i, None, 0.0, False
+                else:
+                    queue = queues[keys[best[1]] or ""]
+                    yield i, queue.pop(), -best[0], False
+                    if not queue:
+                        del queues[keys[best[1]] or ""]
+            yield from ((None, j, 0.0, False) for queue in queues.values() for j in queue)
+
+        rest: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            rest += [] if batch is None or not batch.num_rows else [batch]
+            if not rest:
+                continue
+            rows_ = pa.Table.from_batches(rest).combine_chunks()
+            groups, olds, keys = (rows_.column(c).to_pylist() for c in ("group", "is_old", "key"))
+            starts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
+            if batch is not None:
+                starts.pop()  # the last group may go on in the next batch
+            found = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                found += pair([i for i in range(a, b) if olds[i]], [i for i in range(a, b) if not olds[i]], keys)
+            rest = rows_.slice(starts[-1]).to_batches()
+            if found:
+                old, new, scores, exacts = zip(*found, strict=True)
+                first = pa.array([j if i is None else i for i, j in zip(old, new, strict=True)], pa.int64())
+                lines = rows_.column("line").combine_chunks()
+                lines = lines.chunk(0) if isinstance(lines, pa.ChunkedArray) else lines
+                group = rows_.column("group").take(first).combine_chunks()
+                group = group.chunk(0) if isinstance(group, pa.ChunkedArray) else group
+                yield pa.RecordBatch.from_arrays([group, *(lines.take(pa.array(x, pa.int64())) for x in (old, new)), pa.array(scores, pa.float64()), pa.array(exacts, pa.bool_())], schema.names)
+
+    together = rows.withColumn("is_old", F.col("side") == "old").select("group", "is_old", "key", "line", *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order)])
+    in_order = together.repartition("group").sortWithinPartitions("group", *[f"_by_{i}" for i in range(len(order))])
+    return in_order.select("group", "is_old", "key", "line").mapInArrow(run, schema)
+
+
 def in_turn(old: DataFrame, new: DataFrame, scores: DataFrame) -> DataFrame:
     """(group, o, n, score): who gets whom.
 

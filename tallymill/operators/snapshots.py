@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallymill.functions import amounts as A, text as T
+from tallymill.functions import amounts as A, ratios, text as T
 from tallymill.operators import assignment, matching
 from tallymill.operators.ranking import dealt, running
 from tallymill.sources.files import stored
@@ -21,6 +21,9 @@ LEAST, SURE, LEGACY_LEAST, SAME = 75.0, 90.0, 85.0, 85.0
 CLOSE = 0.001
 #: Fixed value: a sheet with more lines is a ledger of single bookings, not part of a statement, and is left out as a whole.
 LEDGER_LINES = 300
+#: A group of no more lines is gone through line by line in one task; larger ones take rounds over tables. The pairs are the same.
+SMALL = 1000
+_SCORES = {"token_set": ratios.token_set, "token_sort": ratios.token_sort}
 #: Amounts are cut into bands that are a little wider than CLOSE, so close ones lie in the same or neighbouring bands.
 BAND = math.log1p(1.1 * CLOSE)
 
@@ -31,51 +34,92 @@ def _placed(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
     return rows.withColumn("_n", number).withColumn("o", F.struct("ord", "id", F.col("_n").alias("n"))).drop("_n")
 
 
-def _paired(rows: DataFrame, kind: str, least: float) -> DataFrame:
-    """(group, old_id, new_id, score, old_amount, new_amount): the pairs of each group of rows (group, side, id, key, ord, amount), and its lines without one. Lines without a group are paired with none."""
-    rows = stored(_placed(rows, ["group", "side"], "key", "amount"), "lines")
-    old, new = (rows.where(F.col("side") == s).select("group", F.col("key").alias("text"), "o", "id", "amount") for s in ("old", "new"))
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows, stored, of groups of up to SMALL lines and of all others, lines without a group among them; None if there are no others."""
+    rows = stored(rows, "lines")
+    large = stored(rows.groupBy(F.col("group").alias("_g")).agg(F.count("*").alias("_n")).where((F.col("_n") > SMALL) | F.col("_g").isNull()).select("_g"), "large")
+    if large.isEmpty():
+        return rows, None
+    of = F.col("group").eqNullSafe(F.col("_g"))
+    return rows.join(large, of, "left_anti"), rows.join(large, of, "left_semi")
+
+
+def _pairs(rows: DataFrame, kind: str, least: float, exact: bool) -> DataFrame:
+    """(group, old, new, score, exact): the pairs of each group of rows (group, side, key, ord, line), and its lines without one; line is a struct with id and amount, others may follow. Lines without a group are paired with none, but for those that are exact."""
+    small, large = _by_size(rows)
+    some = assignment.in_small_groups(small, ["ord", "line.id", "key", "line.amount"], _SCORES[kind], least, exact)
+    if large is None:
+        return some
+    if not exact:
+        return some.unionByName(_pairs_in_rounds(large, kind, least))
+    of_key = Window.partitionBy("group", "key")
+    last = F.row_number().over(Window.partitionBy("group", "key", "side").orderBy(F.desc("ord"), F.desc("line.id"))) == 1
+    large = stored(large.withColumn("exact", last & F.col("key").isNotNull() & (F.min("side").over(of_key) != F.max("side").over(of_key))), "lines")
+    one = lambda side: F.max(F.when(F.col("side") == side, F.col("line"))).alias(side)
+    pairs = large.where("exact").groupBy("group", "key").agg(one("old"), one("new")).select("group", "old", "new", F.lit(100.0).alias("score"), F.lit(True).alias("exact"))
+    return some.unionByName(pairs).unionByName(_pairs_in_rounds(large.where("not exact").drop("exact").withColumn("key", F.coalesce("key", F.lit(""))), kind, least))
+
+
+def _pairs_in_rounds(rows: DataFrame, kind: str, least: float) -> DataFrame:
+    """_pairs, however many lines a group has: candidates by a join, assigned in rounds over tables."""
+    rows = rows.withColumn("id", F.col("line.id")).withColumn("amount", F.col("line.amount"))
+    rows = stored(_placed(rows, ["group", "side"], "key", "amount").drop("id", "amount"), "lines")
+    old, new = (rows.where(F.col("side") == s).select("group", F.col("key").alias("text"), "o", "line") for s in ("old", "new"))
     scores = matching.scored_pairs(old.select(F.col("group").alias("block"), "text"), new.select(F.col("group").alias("block"), F.col("text").alias("rule")), kind, least)
     scores = scores.select(F.col("block").alias("group"), "text", F.col("rule").alias("other"), "score")
     found = assignment.in_turn(old.select("group", "text", "o"), new.select("group", "text", F.col("o").alias("n")), scores)
-    right = new.select("group", F.col("o").alias("n"), F.col("id").alias("new_id"), F.col("amount").alias("new_amount"))
-    lefts = old.select("group", "o", F.col("id").alias("old_id"), F.col("amount").alias("old_amount")).join(found, ["group", "o"], "left").join(right, ["group", "n"], "left")
-    lefts = lefts.select("group", "old_id", "new_id", F.coalesce("score", F.lit(0.0)).alias("score"), "old_amount", "new_amount")
+    right = new.select("group", F.col("o").alias("n"), F.col("line").alias("new"))
+    lefts = old.select("group", "o", F.col("line").alias("old")).join(found, ["group", "o"], "left").join(right, ["group", "n"], "left")
+    lefts = lefts.select("group", "old", "new", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(False).alias("exact"))
     come = right.join(found, ["group", "n"], "left_anti")
-    return lefts.unionByName(come.select("group", F.lit(None).cast(old.schema["id"].dataType).alias("old_id"), "new_id", F.lit(0.0).alias("score"), F.lit(None).cast(old.schema["amount"].dataType).alias("old_amount"), "new_amount"))
+    return lefts.unionByName(come.select("group", F.lit(None).cast(old.schema["line"].dataType).alias("old"), "new", F.lit(0.0).alias("score"), F.lit(False).alias("exact")))
+
+
+def _paired(rows: DataFrame, kind: str, least: float) -> DataFrame:
+    """(group, old_id, new_id, score, old_amount, new_amount): the pairs of each group of rows (group, side, id, key, ord, amount), and its lines without one. Lines without a group are paired with none."""
+    found = _pairs(rows.select("group", "side", "key", "ord", F.struct("id", "amount").alias("line")), kind, least, False)
+    return found.select("group", F.col("old.id").alias("old_id"), F.col("new.id").alias("new_id"), "score", F.col("old.amount").alias("old_amount"), F.col("new.amount").alias("new_amount"))
 
 
-def _both(old: DataFrame, new: DataFrame, key: Column) -> DataFrame:
-    side = lambda rows, name: rows.select("group", F.lit(name).alias("side"), "id", key.alias("key"), "amount", "ord")
+def _both(old: DataFrame, new: DataFrame, key: Column, *more: str) -> DataFrame:
+    side = lambda rows, name: rows.select("group", F.lit(name).alias("side"), key.alias("key"), "ord", F.struct("id", "amount", *more).alias("line"))
     return side(old, "old").unionByName(side(new, "new"))
 
 
+def _changes(old: DataFrame, new: DataFrame, *more: str) -> DataFrame:
+    """(group, old, new, category, score, reclassify) of two versions; old and new are structs of id, amount and more."""
+    found = _pairs(_both(old, new, T.diff_key(F.col("source_text")), *more), "token_set", LEAST, True)
+    same = A.equal_within(F.col("old.amount"), F.col("new.amount"))
+    category = F.when(F.col("exact"), F.when(same, "unchanged").otherwise("amount_changed"))
+    category = F.coalesce(category, F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("desc_changed"))
+    out = found.select("group", "old", "new", category.alias("category"), "score")
+    reclassify = (F.col("category") == "added") | ((F.col("category") == "desc_changed") & (F.col("score") < SURE))
+    return out.withColumn("reclassify", reclassify)
+
+
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(group, old_id, new_id, category, score, reclassify) of two versions (group, id, source_text, amount, ord).
 
     Lines with the same key are unchanged or amount_changed; of several, the last of each version is matched and the earlier ones go on.
     Lines left are paired by token-set score as desc_changed; the rest is removed or added.
     """
-    rows = _both(old, new, T.diff_key(F.col("source_text")))
-    of_key = Window.partitionBy("group", "key")
-    last = F.row_number().over(Window.partitionBy("group", "key", "side").orderBy(F.desc("ord"), F.desc("id"))) == 1
-    rows = rows.withColumn("exact", last & F.col("key").isNotNull() & (F.min("side").over(of_key) != F.max("side").over(of_key)))
-    one = lambda side, field: F.max(F.when(F.col("side") == side, F.col(field)))
-    exact = rows.where("exact").groupBy("group", "key").agg(one("old", "id").alias("old_id"), one("new", "id").alias("new_id"), one("old", "amount").alias("a"), one("new", "amount").alias("b"))
-    same = A.equal_within(F.col("a"), F.col("b"))
-    exact = exact.select("group", "old_id", "new_id", F.when(same, "unchanged").otherwise("amount_changed").alias("category"), F.lit(100.0).alias("score"))
-    left = _paired(rows.where("not exact").withColumn("key", F.coalesce("key", F.lit(""))), "token_set", LEAST)
-    category = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").otherwise("desc_changed")
-    out = exact.unionByName(left.select("group", "old_id", "new_id", category.alias("category"), "score"))
-    reclassify = (F.col("category") == "added") | ((F.col("category") == "desc_changed") & (F.col("score") < SURE))
-    return out.withColumn("reclassify", reclassify)
+    return _changes(old, new).select("group", F.col("old.id").alias("old_id"), F.col("new.id").alias("new_id"), "category", "score", "reclassify")
 
 
 def legacy_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(group, old_id, new_id, category): changed where a pair's amounts differ, added, removed. Labels are compared as they stand."""
-    left = _paired(_both(old, new, F.coalesce("source_text", F.lit(""))), "token_sort", LEGACY_LEAST)
-    category = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").otherwise(F.when(~A.equal_within(F.col("old_amount"), F.col("new_amount")), "changed"))
-    return left.select("group", "old_id", "new_id", category.alias("category")).where("category is not null")
+    left = _pairs(_both(old, new, F.coalesce("source_text", F.lit(""))), "token_sort", LEGACY_LEAST, False)
+    changed = F.when(~A.equal_within(F.col("old.amount"), F.col("new.amount")), "changed")
+    category = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise(changed)
+    return left.select("group", F.col("old.id").alias("old_id"), F.col("new.id").alias("new_id"), category.alias("category")).where("category is not null")
+
+
+def applied(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What apply_diff gives for the diff of two versions; each change has its lines with it, so none is looked up again."""
+    after = _changes(old, new, "source_text").where("category <> 'removed'")
+    text = F.when(F.col("category").isin("desc_changed", "added"), F.col("new.source_text")).otherwise(F.col("old.source_text"))
+    amount = F.when(F.col("category") == "unchanged", F.col("old.amount")).otherwise(F.col("new.amount"))
+    return after.select("group", F.coalesce("old.id", "new.id").alias("id"), text.alias("source_text"), amount.alias("amount"), F.col("reclassify").alias("flagged"), (F.col("category") == "unchanged").alias("verified"))
 
 
 def apply_diff(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:

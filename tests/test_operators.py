@@ -449,3 +449,22 @@ def test_promoted_rules_and_earlier_texts(spark):
     base = spark.createDataFrame([("bs_asset", "Assets"), ("pl_expense", "Costs")], "specialist string, text string")
     assert {r.specialist: r.text for r in text_at(base, done, 2).collect()} == {"bs_asset": "Assets\n\na\n\nb", "pl_expense": "Costs"}
     assert {r.text for r in text_at(base, done, 0).collect()} == {"Assets", "Costs"}
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_small_groups_as_in_rounds(spark, monkeypatch, exact):
+    """Groups of few lines give the same pairs in one pass as in rounds, and write no tables for rounds."""
+    import random
+
+    rng = random.Random(exact)
+    lines = [(g, side, k, f"{rng.randint(0, 20):03}", (f"{side}{g}-{i}", i)) for g in (1, 2, 3, None) for side, n in (("old", 14), ("new", 11)) for i, k in enumerate([*many_labels(rng, n, 6), None, "", "rent"])]
+    frame = spark.createDataFrame(lines, "group long, side string, key string, ord string, line struct<id: string, amount: int>").repartition(3)
+    frame = frame if exact else frame.fillna("", ["key"])
+    written, store = [], snapshots.stored
+    monkeypatch.setattr(snapshots, "stored", lambda rows, label: written.append(label) or store(rows, label))
+    monkeypatch.setattr(snapshots.assignment, "stored", lambda rows, label: written.append(label) or store(rows, label))
+    one_pass = sorted(map(tuple, snapshots._pairs(frame.where("group is not null"), "token_set", 75.0, exact).collect()), key=str)
+    assert written == ["lines", "large"] and len({r[4] for r in one_pass}) == 1 + exact
+    monkeypatch.setattr(snapshots, "SMALL", 0)
+    in_rounds = sorted(map(tuple, snapshots._pairs(frame, "token_set", 75.0, exact).collect()), key=str)
+    assert [r for r in in_rounds if r[0] is not None] == one_pass and len(written) > 4
