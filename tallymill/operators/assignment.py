@@ -18,7 +18,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from tallymill.sources.files import drop, stored
 
@@ -99,6 +99,51 @@ def in_small_groups(rows: DataFrame, order: list[str], score: Callable[[str, str
     return in_order.select("group", "is_old", "key", "line").mapInArrow(run, schema)
 
 
+def heads_in_small_groups(rows: DataFrame, order: list[str], near: Callable[[tuple[str, float], tuple[str, float]], bool]) -> DataFrame:
+    """(group, id, place, n) for each head of groups of few lines: going through the lines in order, each joins the first earlier head that is near, or else is a head. place numbers the heads of a group from 0, n counts the lines of each, and id is that of its first line of the highest priority.
+
+    rows: (group, text, amount, id, priority) and the columns of order. Lines without a text or an amount are heads that none joins. No more than
+    one group and a batch of rows are at hand at once.
+    """
+    fields = [StructField("group", rows.schema["group"].dataType), StructField("id", rows.schema["id"].dataType), StructField("place", LongType()), StructField("n", LongType())]
+    schema = StructType(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            rest += [] if batch is None or not batch.num_rows else [batch]
+            if not rest:
+                continue
+            rows_ = pa.Table.from_batches(rest)
+            groups, texts, amounts, priorities = (rows_.column(c).to_pylist() for c in ("group", "text", "amount", "priority"))
+            starts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
+            if batch is not None:
+                starts.pop()  # the last group may go on in the next batch
+            best, place, n = [], [], []
+            for a, b in zip(starts, starts[1:], strict=False):
+                first, heads = len(best), []
+                for i in range(a, b):
+                    line = (texts[i], amounts[i]) if texts[i] and amounts[i] is not None else None
+                    k = next((k for k, head in enumerate(heads) if line and head and near(line, head)), len(heads))
+                    if k == len(heads):
+                        heads.append(line)
+                        best.append(i)
+                        place.append(k)
+                        n.append(1)
+                    else:
+                        n[first + k] += 1
+                        if priorities[i] > priorities[best[first + k]]:
+                            best[first + k] = i
+            rest = rows_.slice(starts[-1]).to_batches()
+            if best:
+                kept = rows_.select(["group", "id"]).take(pa.array(best, pa.int64())).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(place, pa.int64()), pa.array(n, pa.int64())], schema.names)
+
+    given = ["group", "text", "amount", "id", "priority"]
+    in_order = rows.select(*given, *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order)]).repartition("group").sortWithinPartitions("group", *[f"_by_{i}" for i in range(len(order))])
+    return in_order.select(*given).mapInArrow(run, schema)
+
+
 def in_turn(old: DataFrame, new: DataFrame, scores: DataFrame) -> DataFrame:
     """(group, o, n, score): who gets whom.
 

@@ -133,7 +133,7 @@ def apply_diff(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
 
 def _alike(first: DataFrame) -> DataFrame:
     """(early, late) of different lines (document_id, key, amount, o) of a document with like texts and close amounts, early before late."""
-    sign, band = F.signum("amount").cast("int"), F.floor(F.log(F.abs("amount")) / BAND)
+    sign, band = F.signum("amount").cast("int"), F.floor(F.least(F.log(F.abs("amount")), F.lit(1e6)) / BAND)
     banded = first.withColumn("sign", sign).withColumn("band", F.when(F.col("amount") == 0, F.lit(0)).otherwise(band))
     block = lambda b: F.struct("document_id", "sign", b.alias("band"))
     near = F.when(F.col("amount") == 0, F.array(F.col("band"))).otherwise(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
@@ -154,6 +154,20 @@ def collapse_near_duplicates(items: DataFrame) -> DataFrame:
     """
     amount = F.col("amount").cast("double")
     rows = items.select("document_id", "ord", "id", F.lower("source_text").alias("key"), F.nanvl(amount, F.lit(None).cast("double")).alias("amount"), T.sheet_priority(F.col("sheet")).alias("priority"))
+    small, large = _by_size(rows.withColumnRenamed("document_id", "group"))
+    of_small = assignment.heads_in_small_groups(small.withColumn("text", F.col("key")), ["ord", "id", "key", "amount", "priority"], _near)
+    kept = of_small.select(F.col("group").alias("document_id"), "id", "place", "n")
+    return kept if large is None else kept.unionByName(_collapse_in_rounds(large.withColumnRenamed("group", "document_id")))
+
+
+def _near(one: tuple[str, float], other: tuple[str, float]) -> bool:
+    """Whether a line (text, amount) is like an earlier one."""
+    (a, x), (b, y) = one, other
+    return (a == b and x == y) or (abs(x - y) < math.inf and abs(x - y) <= CLOSE * max(abs(x), abs(y)) and (a == b or ratios.sequence(a, b) >= SAME))
+
+
+def _collapse_in_rounds(rows: DataFrame) -> DataFrame:
+    """collapse_near_duplicates of (document_id, ord, id, key, amount, priority), however many lines a document has."""
     rows = stored(_placed(rows, ["document_id"], "key", "amount", "priority"), "lines")
     some = (F.col("key") != "") & F.col("amount").isNotNull()
     # equal lines have the same groups to join, so the first of them stands for all

@@ -468,3 +468,19 @@ def test_small_groups_as_in_rounds(spark, monkeypatch, exact):
     monkeypatch.setattr(snapshots, "SMALL", 0)
     in_rounds = sorted(map(tuple, snapshots._pairs(frame, "token_set", 75.0, exact).collect()), key=str)
     assert [r for r in in_rounds if r[0] is not None] == one_pass and len(written) > 4
+
+
+def test_collapse_of_small_documents_as_in_rounds(spark, monkeypatch):
+    """Documents of few lines collapse to the same lines in one pass as in rounds, and write no tables for rounds."""
+    import random
+
+    rng = random.Random(9)
+    amounts = [100.0, 100.05, 2500.0, -3.0, 0.0, None, float("nan"), float("inf")]
+    rows = [(d, f"{i:02}", t, rng.choice(amounts), rng.choice(["P & L", "Notes BS", "x"]), f"{rng.randint(0, 9)}") for d in (1, 2, 3, 4) for i, t in enumerate([*many_labels(rng, 40, 5), "", None])]
+    frame = spark.createDataFrame(rows, "document_id long, id string, source_text string, amount double, sheet string, ord string").repartition(3)
+    written, store = [], snapshots.stored
+    monkeypatch.setattr(snapshots, "stored", lambda rows, label: written.append(label) or store(rows, label))
+    one_pass = sorted(map(tuple, snapshots.collapse_near_duplicates(frame).collect()))
+    assert written == ["lines", "large"] and any(r[3] > 2 for r in one_pass)
+    monkeypatch.setattr(snapshots, "SMALL", 0)
+    assert sorted(map(tuple, snapshots.collapse_near_duplicates(frame).collect())) == one_pass
