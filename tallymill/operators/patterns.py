@@ -16,6 +16,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Patterns that a pass looks for.
 MOST = 200_000
+#: Texts that are redacted at once.
+AT_ONCE = 200
 #: Different texts whose rule a task remembers.
 REMEMBERED = 100_000
 
@@ -117,7 +119,7 @@ def redact(rows: DataFrame, terms: DataFrame, text: str, mark: str = "[X]") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton((p, len(p)) for p in shared.value)
-        for batch in batches:
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
             out, n_found, n_left = [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 spots = _spots(automaton, t) if t and shared.value else []

@@ -235,3 +235,22 @@ def test_status_machine_applies_all_that_is_due_in_one_call():
         if state.until == 16000 * 1000:
             assert state.timeout == 16060 * 1000 and len(state.get[2]) == 500 - 251
     assert state.calls == 3 and sorted(got, key=str) == settled(events, 10**6)
+
+
+def test_redaction_holds_few_texts(spark, monkeypatch):
+    """Texts of a long batch come back in short ones; nothing is lost between them."""
+    monkeypatch.setattr(patterns, "AT_ONCE", 7)
+    frame, terms = spark.createDataFrame([(i, f"{i} rent") for i in range(40)], "id int, text string").coalesce(1), spark.createDataFrame([("rent",)], "pattern string")
+    sizes = patterns.redact(frame, terms, "text").mapInArrow(lambda batches: batches, "id int, text string, redacted string, n_found long, n_left long")
+    assert {(r.id, r.redacted) for r in sizes.collect()} == {(i, f"{i} [X]") for i in range(40)}
+
+
+def test_long_texts_are_indexed_in_linear_time(spark, tmp_path):
+    """A text of half a million characters: each gram was cut out by going through the text from its start before."""
+    import time
+
+    rows = spark.createDataFrame([(1, "ab" * 250_000 + "rent")], "id long, text string")
+    began = time.time()
+    substrings.add(rows, f"{tmp_path}/index")
+    found = substrings.search(spark, f"{tmp_path}/index", rows, spark.createDataFrame([("bren",), ("brex",)], "pattern string"))
+    assert [tuple(r) for r in found.collect()] == [("bren", 1)] and time.time() - began < 30
