@@ -31,3 +31,25 @@ class Memo(dict):
 
     def join(self, parts: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, parts))
+
+
+class Recent(dict):
+    """Maps a string to what ``find`` gives for it, found when it is first asked for.
+
+    When there are ``most`` entries they become the older half, and what was older is dropped; what is asked for again moves to the newer half, so
+    common strings stay.
+    """
+
+    def __init__(self, find: Callable[[str], bytes], most: int = 400_000):
+        super().__init__()
+        self.find, self.most, self.older = find, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

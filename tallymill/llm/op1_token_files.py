@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 import struct
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallymill.llm.common import new_path, table
-from tallymill.llm.memo import Memo
+from tallymill.llm.memo import Recent
 
 END_ID = 2
 MAGIC = b"TKB1"
@@ -36,12 +37,18 @@ SAMPLE_BYTES = 64 * 1024
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 2048
 
 _INDEX = np.dtype([("doc", "<i8"), ("has", "u1"), ("tokens", "<u4"), ("end", "<u8")])
-_encoders: dict[tuple[str, bool], tuple[Memo, _Words]] = {}
+_encoders: dict[tuple[str, bool], _Words] = {}
 #: The normalizer and pre-tokenizer under which a text's ids are those of its words.
 KNOWN = (
     r'''{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}''',
     r'''{"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": true}, {"type": "ByteLevel", "add_prefix_space": false, "trim_offsets": true, "use_regex": false}]}''',
 )
+#: Letters of Latin-1 in lower case, its numbers and its white space. Its texts are their own normal form, and a letter's lower case is in it too.
+_LETTERS, _NUMBERS, _BLANKS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\x09-\x0d\x20\x85\xa0"
+_latin = re.compile(r"[\x00-\xff]*").fullmatch
+#: The pre-tokens of a lower-case text of Latin-1 under the KNOWN pre-tokenizer.
+_pieces = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+").findall
+_letters = re.compile(rf"[{_LETTERS}]+").fullmatch
 #: A plain word: letters whose normal form and lower case are simple, then marks, which make a pre-token of their own.
 _plain = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)").fullmatch
 #: An added token that a plain word or a run of marks could hold, or that holds white space, is not found word by word.
@@ -51,7 +58,8 @@ _inside_plain = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*[.,
 class _Words:
     """Word -> its ids as little-endian u32, by the tokenizers library. No pre-token of the tokenizer holds white space and it keeps no context, so a text's ids are those of its words in order.
 
-    The two pre-tokens of a plain word go to the library's model at once; any other word passes its whole chain. Both hold for a tokenizer
+    A text of Latin-1 without added tokens is cut into its pre-tokens at once, of which those of letters go to the library's model. In other texts
+    the two pre-tokens of a plain word do; any other word passes its whole chain. All this holds for a tokenizer
     whose normalizer and pre-tokenizer are the KNOWN ones; with others, texts are encoded as a whole (``by_word`` is false).
     """
 
@@ -62,8 +70,9 @@ class _Words:
         self.tokenizer.encode_special_tokens = special_as_text
         parts = json.loads(self.tokenizer.to_str())
         added = [t["content"] for t in parts["added_tokens"]]
+        self.added = [unicodedata.normalize("NFC", a).lower() for a in added]
         self.by_word = [parts["normalizer"], parts["pre_tokenizer"]] == [json.loads(k) for k in KNOWN] and not any(map(_inside_plain, added))
-        self.model, self.known = self.tokenizer.model, {}
+        self.model, self.found = self.tokenizer.model, Recent(self.find)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         signs = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(0x21, 0x7F)}
         signs |= {b: level.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1] for b in range(0x80, 0xC0)}
@@ -72,32 +81,32 @@ class _Words:
     def chain(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def fill(self, words: list[str]) -> list[bytes]:
-        known, model, signs, out = self.known, self.model, self.signs, []
-        if len(known) > 250_000:
-            known.clear()
-        for word in words:
-            if not (plain := _plain(word)):
-                out.append(self.chain(word))
-                continue
-            letters, marks = plain.groups()
-            letters = letters.lower()
-            if (ids := known.get(letters)) is None:
-                mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(signs)
-                ids = known[letters] = array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
-            if marks:
-                if marks not in known:
-                    known[marks] = self.chain(marks)
-                ids += known[marks]
-            out.append(ids)
-        return out
-
-
-def _encoder(path: str, special_as_text: bool) -> tuple[Memo, _Words]:
+    def find(self, word: str) -> bytes:
+        """Ids of a pre-token or of a word."""
+        if word.isascii() and _letters(word):
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if not (plain := _plain(word)):
+            return self.chain(word)
+        letters, marks = plain.groups()
+        if marks or letters != letters.lower():
+            return self.found[letters.lower()] + (self.found[marks] if marks else b"")
+        return array("I", [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(self.signs))]).tobytes()
+
+    def text(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.chain(text)
+        ids = self.found.__getitem__
+        if _latin(text):
+            low = text.lower()
+            if not any(a in low for a in self.added):
+                return b"".join(map(ids, _pieces(low)))
+        return b"".join(map(ids, split_words(text)))
+
+
+def _encoder(path: str, special_as_text: bool) -> _Words:
     """One for each Python worker."""
     if (path, special_as_text) not in _encoders:
-        words = _Words(path, special_as_text)
-        _encoders[path, special_as_text] = Memo(words.fill), words
+        _encoders[path, special_as_text] = _Words(path, special_as_text)
     return _encoders[path, special_as_text]
 
 
@@ -111,12 +120,7 @@ def split_words(text: str) -> list[str]:
 
 def encode_texts(texts: list[str], path: str, special_as_text: bool = False) -> list[bytes]:
     """Ids of each text as little-endian u32. As in the library, the strings of special tokens give their ids, unless they are to count as ordinary text."""
-    memo, words = _encoder(path, special_as_text)
-    if not words.by_word:
-        return list(map(words.chain, texts))
-    parts = [split_words(t) for t in texts]
-    memo.learn(set().union(*parts))
-    return [memo.join(p) for p in parts]
+    return list(map(_encoder(path, special_as_text).text, texts))
 
 
 def _sliced(batch: pa.RecordBatch, rows: int = 100) -> Iterator[pa.RecordBatch]:

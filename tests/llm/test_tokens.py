@@ -49,6 +49,30 @@ def test_special_strings_are_the_librarys_matter(text, special_as_text):
     assert np.frombuffer(op1.encode_texts([text], WORDS, special_as_text)[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.characters(max_codepoint=255), st.sampled_from(["'", "'s", "'RE", "###", "Wort", "\u0301", "<|endoftext|>"])), max_size=40).map("".join))
+def test_latin_texts_are_cut_as_the_library_does(text):
+    library = op1._encoder(WORDS, False).tokenizer
+    assert np.frombuffer(op1.encode_texts([text], WORDS)[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_marks_behind_words_pass_the_librarys_chain_once(monkeypatch):
+    words, calls = op1._Words(WORDS), []
+    monkeypatch.setitem(op1._encoders, (WORDS, False), words)
+    chain = words.chain
+    monkeypatch.setattr(words, "chain", lambda w: calls.append(w) or chain(w))
+    op1.encode_texts([" ".join(f"{a}{b}{mark}" for a in "abcde" for b in "VWXYZ" for mark in ("###", ".%%%", "&&&"))], WORDS)
+    assert sorted(calls) == ["###", "&&&", ".%%%"]
+
+
+def test_recent_strings_stay_and_others_are_found_again():
+    calls = []
+    memo = op1.Recent(lambda k: calls.append(k) or k.encode(), most=3)
+    assert b"".join(map(memo.__getitem__, "aabacadaeafaga")) == b"aabacadaeafaga" and calls == list("abcdefg")
+    assert len(memo) + len(memo.older) <= 6
+    assert memo["b"] == b"b" and calls[-1] == "b"
+
+
 def test_another_tokenizer_is_not_taken_apart():
     from tokenizers import Tokenizer
 
