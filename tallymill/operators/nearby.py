@@ -23,7 +23,8 @@ def nearest_amount(left: DataFrame, right: DataFrame, by: str, tolerance: float)
     along = Window.partitionBy(by).orderBy("_part")
     around = ends.select("_part", by, F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_high"), F.min("low").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_low"))
     inside = Window.partitionBy("_part", by).orderBy(*order)
-    found = parts.withColumn("below", F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.min(value).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    # shuffled before value is made, which would go along with every row
+    found = parts.repartition("_part", by).withColumn("below", F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.min(value).over(inside.rowsBetween(1, Window.unboundedFollowing)))
     found = found.where("kind = 1").join(around, ["_part", by]).select(by, "amount", F.coalesce("below", "_high").alias("below"), F.coalesce("above", "_low").alias("above"))
     away = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.v") - F.col("amount")).alias("d"), F.col(f"{side}.id").alias("id"), F.col(f"{side}.v").alias("v")))
     best = found.withColumn("best", F.least(away("below"), away("above")))

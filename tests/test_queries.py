@@ -57,3 +57,23 @@ def test_last_version_sorts_nothing(spark, duck):
     frame = __spark_entry__.queries()["h10_last_version"](spark, FOLDER)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Sort" not in plan and plan.count("Exchange") == 1
+
+
+def test_rule_engine_sends_no_line_through_the_rules_and_follows_the_sql(spark, duck, tmp_path, monkeypatch):
+    """Lines with other sections or none, without amount, without a part or a document; the rules see each part once for each kind of section."""
+    from tallymill.plans import rule_queries
+
+    sources = {"part": f"SELECT * FROM '{FOLDER}/part.parquet'", "orders": f"SELECT * FROM '{FOLDER}/orders.parquet' WHERE o_orderkey % 13 <> 0"}
+    sources["lineitem"] = f"""SELECT * REPLACE (CASE WHEN l_linenumber % 4 = 1 THEN NULL WHEN l_linenumber % 4 = 2 THEN '-' ELSE l_returnflag END AS l_returnflag,
+      CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice, CASE WHEN l_partkey % 7 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS l_partkey) FROM '{FOLDER}/lineitem.parquet'"""
+    odd = duckdb.connect()
+    for name, sql in sources.items():
+        odd.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        odd.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    seen, first_rule = [], rule_queries.patterns.first_rule
+    monkeypatch.setattr(rule_queries.patterns, "first_rule", lambda rows, *given: seen.append(rows.count()) or first_rule(rows, *given))
+    columns = ["document_id", "oa", "ob", "oc", "rule_id", "cma_row", "how"]
+    got = __spark_entry__.queries()["i29_rule_engine"](spark, str(tmp_path)).select(*columns).collect()
+    expected = odd.execute(f"SELECT {', '.join(columns)} FROM ({__spark_entry__.oracle_sql()['i29_rule_engine']})").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr) and {r.how for r in got} == {"rule", "amount", "none"}
+    assert seen == [5 * odd.execute("SELECT count(*) FROM part").fetchone()[0]]
