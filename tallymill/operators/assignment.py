@@ -99,11 +99,11 @@ def in_small_groups(rows: DataFrame, order: list[str], score: Callable[[str, str
     return in_order.select("group", "is_old", "key", "line").mapInArrow(run, schema)
 
 
-def heads_in_small_groups(rows: DataFrame, order: list[str], near: Callable[[tuple[str, float], tuple[str, float]], bool]) -> DataFrame:
+def heads_in_small_groups(rows: DataFrame, order: list[str], near: Callable[[tuple[str, float], tuple[str, float]], bool], together: bool = False) -> DataFrame:
     """(group, id, place, n) for each head of groups of few lines: going through the lines in order, each joins the first earlier head that is near, or else is a head. place numbers the heads of a group from 0, n counts the lines of each, and id is that of its first line of the highest priority.
 
     rows: (group, text, amount, id, priority) and the columns of order. Lines without a text or an amount are heads that none joins. No more than
-    one group and a batch of rows are at hand at once.
+    one group and a batch of rows are at hand at once. together: the rows come out of a window by group, so they need no shuffle.
     """
     fields = [StructField("group", rows.schema["group"].dataType), StructField("id", rows.schema["id"].dataType), StructField("place", LongType()), StructField("n", LongType())]
     schema = StructType(fields)
@@ -140,7 +140,8 @@ def heads_in_small_groups(rows: DataFrame, order: list[str], near: Callable[[tup
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(place, pa.int64()), pa.array(n, pa.int64())], schema.names)
 
     given = ["group", "text", "amount", "id", "priority"]
-    in_order = rows.select(*given, *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order)]).repartition("group").sortWithinPartitions("group", *[f"_by_{i}" for i in range(len(order))])
+    keyed = rows.select(*given, *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order)])
+    in_order = (keyed if together else keyed.repartition("group")).sortWithinPartitions("group", *[f"_by_{i}" for i in range(len(order))])
     return in_order.select(*given).mapInArrow(run, schema)
 
 

@@ -152,14 +152,25 @@ def collapse_near_duplicates(items: DataFrame) -> DataFrame:
     A line joins the first group whose first line has a like text and amount; of a group the line of the best sheet stays, the first
     among equals, in the order of groups. A line without a text or an amount, or with one that is no number, is a group of its own.
     """
-    amount = F.col("amount").cast("double")
-    rows = items.select("document_id", "ord", "id", F.lower("source_text").alias("key"), F.nanvl(amount, F.lit(None).cast("double")).alias("amount"), T.sheet_priority(F.col("sheet")).alias("priority"))
-    small, large = _by_size(rows.withColumnRenamed("document_id", "group"))
+    small, large = _by_size(_keyed(items, F.col("id")))
     of_small = assignment.heads_in_small_groups(small.withColumn("text", F.col("key")), ["ord", "id", "key", "amount", "priority"], _near)
     kept = of_small.select(F.col("group").alias("document_id"), "id", "place", "n")
     return kept if large is None else kept.unionByName(_collapse_in_rounds(large.withColumnRenamed("group", "document_id")))
 
 
+def collapse_small_documents(items: DataFrame, *more: str) -> DataFrame:
+    """collapse_near_duplicates, with the columns more of the lines that stay, for documents of few lines, whose ord has no ties. items come out of a window by document, so nothing is shuffled or stored."""
+    rows = _keyed(items, F.struct("id", *more)).withColumn("text", F.col("key"))
+    kept = assignment.heads_in_small_groups(rows, ["ord"], _near, together=True)
+    return kept.select(F.col("group").alias("document_id"), "id.id", "place", "n", *[f"id.{c}" for c in more])
+
+
+def _keyed(items: DataFrame, line: Column) -> DataFrame:
+    """(group, ord, id, key, amount, priority) of items, where line stands for the id."""
+    amount = F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double"))
+    return items.select(F.col("document_id").alias("group"), "ord", line.alias("id"), F.lower("source_text").alias("key"), amount.alias("amount"), T.sheet_priority(F.col("sheet")).alias("priority"))
+
+
 def _near(one: tuple[str, float], other: tuple[str, float]) -> bool:
     """Whether a line (text, amount) is like an earlier one."""
     (a, x), (b, y) = one, other
